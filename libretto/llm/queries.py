@@ -21,15 +21,42 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op3_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxscore import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_blocks import extract_main_text
 
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
+    "op3_maxscore_topk": op3_maxscore_topk,
     "op7_html_main_text": op7_html_main_text,
+    "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_maxscore_topk": """
+        with rows as (
+            select distinct vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v
+            from embeddings
+            where vec_id is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        scored as (
+            select q.vec_id query_id, c.vec_id,
+                   cast(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0))), 0) as bigint) score
+            from rows q join rows c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)
+        select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) "rank", vec_id, score
+        from scored qualify "rank" <= 5""",
+}
