@@ -33,6 +33,13 @@ def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op9_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import hex_of, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
@@ -43,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op3_maxscore_topk": op3_maxscore_topk,
     "op7_html_main_text": op7_html_main_text,
+    "op9_simhash_gray": op9_simhash_gray,
     "op10_language_id": op10_language_id,
 }
 
