@@ -27,6 +27,20 @@ def op3_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_blocks import extract_main_text
 
@@ -49,12 +63,34 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op3_maxscore_topk": op3_maxscore_topk,
+    "op5_decontamination": op5_decontamination,
+    "op6_pivotal_mixing": op6_pivotal_mixing,
     "op7_html_main_text": op7_html_main_text,
     "op9_simhash_gray": op9_simhash_gray,
     "op10_language_id": op10_language_id,
 }
 
+#: A-Z to lower case, and the separators of decontamination words, in DuckDB.
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CUT = "list_filter(string_split_regex(" + _LOWER + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
 ORACLES: dict[str, str] = {
+    "op5_decontamination": f"""
+        with items as (select item_id, {_CUT.format("coalesce(text, '')")} w from benchmark),
+        wins as (
+            select distinct cast(item_id as varchar) item, array_to_string(w[k : k + 9], ' ') phrase, least(len(w), 10) n
+            from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) k from items where len(w) > 0)),
+        docs as (select doc_id, {_CUT.format("coalesce(text, '')")} w from documents),
+        sizes as (select distinct n from wins),
+        places as (
+            select doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') phrase
+            from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) k from docs, sizes where len(w) >= n)),
+        hits as (select doc_id, k, p.n, item from places p join wins using (phrase, n)),
+        words as (select doc_id, count(distinct pos) n_hit from (select doc_id, unnest(range(k, k + n)) pos from hits) group by doc_id),
+        names as (select doc_id, count(distinct item) n_items, string_agg(distinct item, ',' order by item) items from hits group by doc_id)
+        select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items,
+               sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+        from docs left join words using (doc_id) left join names using (doc_id)""",
     "op3_maxscore_topk": """
         with rows as (
             select distinct vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v
