@@ -27,6 +27,12 @@ def op3_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("runs")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -63,6 +69,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op3_maxscore_topk": op3_maxscore_topk,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_pivotal_mixing": op6_pivotal_mixing,
     "op7_html_main_text": op7_html_main_text,
@@ -75,6 +82,16 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _CUT = "list_filter(string_split_regex(" + _LOWER + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 ORACLES: dict[str, str] = {
+    "op4_substring_dedup": r"""
+        with docs as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+        wins as (select doc_id, k, md5(array_to_string(w[k : k + 49], ' ')) h from (select doc_id, w, unnest(range(1, len(w) - 48)) k from docs where len(w) >= 50)),
+        firsts as (select h, min(doc_id) lowest from wins group by h),
+        gone as (select distinct doc_id, unnest(range(k, k + 50)) pos from wins join firsts using (h) where lowest < doc_id),
+        lists as (select doc_id, list(pos) ps, count(*) n from gone group by doc_id),
+        words as (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) pos from docs),
+        kept as (select doc_id, string_agg(x, ' ' order by pos) t from words anti join gone using (doc_id, pos) group by doc_id)
+        select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n, 0) as bigint) n_removed, sha256(coalesce(t, '')) kept_sha256
+        from docs left join lists using (doc_id) left join kept using (doc_id)""",
     "op5_decontamination": f"""
         with items as (select item_id, {_CUT.format("coalesce(text, '')")} w from benchmark),
         wins as (
