@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 BUCKET_CHARS = 4_000_000
 
 REQUEST = "part int, bucket int, head long, keys binary, vals binary"
-REPLY = "bucket int, part int, vals binary"
+REPLY = "bucket int, part int, vals binary, stat array<long>"
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -88,21 +88,30 @@ def packed(bucket: int, head: int, keys: np.ndarray, vals: np.ndarray, parts: in
     ).astype({"part": "int32", "bucket": "int32", "head": "int64"})
 
 
-def answered(requests: DataFrame, reduce: Callable[[np.ndarray, np.ndarray, bytes], np.ndarray]) -> DataFrame:
+Reduce = Callable[[np.ndarray, np.ndarray, np.ndarray, bytes], tuple[np.ndarray, list[int] | None]]
+
+
+def answered(requests: DataFrame, reduce: Reduce) -> DataFrame:
     """Replies to packed ``requests``.
 
-    ``reduce(index, heads, vals)`` gets, for all keys a part was asked for, the
-    number of each key's distinct value, the head of its request row and the values
-    joined, and returns one row of reply values per distinct key.
+    ``reduce(keys, index, heads, vals)`` gets the distinct keys a part was asked
+    for, for every asked key its number among them and the head of its request row,
+    and the values joined. It returns one row of reply values per distinct key and,
+    if wanted, numbers about the part, which go out in a row of bucket -1.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = np.frombuffer(b"".join(rows["keys"]), dtype=np.uint64)
+        asked = np.frombuffer(b"".join(rows["keys"]), dtype=np.uint64)
         sizes = rows["keys"].map(len).to_numpy() // 8
-        _, index = np.unique(keys, return_inverse=True)
-        replies = reduce(index, np.repeat(rows["head"].to_numpy(), sizes), b"".join(rows["vals"]))
+        keys, index = np.unique(asked, return_inverse=True)
+        replies, stat = reduce(keys, index, np.repeat(rows["head"].to_numpy(), sizes), b"".join(rows["vals"]))
         at = np.concatenate([[0], np.cumsum(sizes)])
-        return pd.DataFrame({"bucket": rows["bucket"], "part": rows["part"], "vals": [replies[index[a:b]].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]})
+        out = {"bucket": rows["bucket"].tolist(), "part": rows["part"].tolist(), "vals": [replies[index[a:b]].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]}
+        out["stat"] = [None] * len(rows)
+        if stat is not None:
+            for name, value in (("bucket", -1), ("part", rows["part"].iloc[0]), ("vals", b""), ("stat", stat)):
+                out[name].append(value)
+        return pd.DataFrame(out)
 
     return requests.groupBy("part").applyInPandas(run, REPLY)
 

@@ -21,6 +21,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .maxscore import top_k
 
@@ -68,6 +74,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
+    "op2_deleted_interpolation": op2_deleted_interpolation,
     "op3_maxscore_topk": op3_maxscore_topk,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,

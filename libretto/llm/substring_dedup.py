@@ -148,10 +148,10 @@ def repeated_windows(docs: DataFrame, window: int, first: int, chars: int) -> Da
         final = k == len(levels) - 1
         requests = dealt.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(asking(k), REQUEST)
         if final:
-            got = answered(requests, lambda index, heads, vals: smallest(index, np.frombuffer(vals, dtype=np.int64), int(index.max(initial=-1)) + 1))
+            got = answered(requests, lambda keys, index, heads, vals: (smallest(index, np.frombuffer(vals, dtype=np.int64), len(keys)), None))
         else:
-            got = answered(requests, lambda index, heads, vals: (np.bincount(index, np.frombuffer(vals, dtype=np.uint8)) > 1).astype(np.uint8))
-        replies = replies.unionAll(stored(got, f"level{levels[k]}").withColumn("level", F.lit(k)))
+            got = answered(requests, lambda keys, index, heads, vals: ((np.bincount(index, np.frombuffer(vals, dtype=np.uint8), len(keys)) > 1).astype(np.uint8), None))
+        replies = replies.unionAll(stored(got.drop("stat"), f"level{levels[k]}").withColumn("level", F.lit(k)))
 
     def drop(rows: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
         out: dict = {"id": [], "kept": [], "n_removed": [], "rest": [], "runs": []}
