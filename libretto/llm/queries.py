@@ -59,6 +59,13 @@ def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_boilerplate
+
+    found = drop_boilerplate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op9_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import hex_of, near_duplicates
 
@@ -80,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op5_decontamination": op5_decontamination,
     "op6_pivotal_mixing": op6_pivotal_mixing,
     "op7_html_main_text": op7_html_main_text,
+    "op8_line_dedup": op8_line_dedup,
     "op9_simhash_gray": op9_simhash_gray,
     "op10_language_id": op10_language_id,
 }
@@ -99,6 +107,22 @@ ORACLES: dict[str, str] = {
         kept as (select doc_id, string_agg(x, ' ' order by pos) t from words anti join gone using (doc_id, pos) group by doc_id)
         select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n, 0) as bigint) n_removed, sha256(coalesce(t, '')) kept_sha256
         from docs left join lists using (doc_id) left join kept using (doc_id)""",
+    "op8_line_dedup": """
+        with pages as (select distinct source, text from documents where text is not null),
+        totals as (select source, count(*) total from pages group by source),
+        held as (select distinct source, text, trim(unnest(string_split(text, chr(10))), e'\\t \\r\\v\\f') line from pages),
+        bad as (
+            select source, line from held join totals using (source) where line <> ''
+            group by source, line, total having count(*) >= 3 and count(*) / total > 0.02),
+        lines as (
+            select doc_id, source, unnest(string_split(text, chr(10))) raw, generate_subscripts(string_split(text, chr(10)), 1) pos
+            from documents where text is not null),
+        marked as (select l.*, b.line is not null gone from lines l left join bad b on l.source = b.source and trim(raw, e'\\t \\r\\v\\f') = b.line),
+        done as (
+            select doc_id, count(*) n_lines, count(*) filter (where gone) n_dropped, string_agg(raw, chr(10) order by pos) filter (where not gone) t
+            from marked group by doc_id)
+        select doc_id, source, cast(coalesce(n_lines, 0) as bigint) n_lines, cast(coalesce(n_dropped, 0) as bigint) n_dropped, sha256(coalesce(t, '')) text_sha256
+        from documents left join done using (doc_id)""",
     "op5_decontamination": f"""
         with items as (select item_id, {_CUT.format("coalesce(text, '')")} w from benchmark),
         wins as (
