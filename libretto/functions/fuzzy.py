@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def lcs(a: str, b: str) -> int:
@@ -27,12 +28,12 @@ def indel_ratio(a: str, b: str) -> float:
     return 100.0 if total == 0 else 200.0 * lcs(a, b) / total
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="Float64")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _ratios(a: pd.Series, bs: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or ys is None else [indel_ratio(x, y) for y in ys] for x, ys in zip(a, bs, strict=True)])
 
@@ -42,8 +43,12 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def ratios(a: Column, bs: Column) -> Column:
-    """Similarity of a string to each of a list."""
-    return _ratios(a, bs)
+    """Similarity of a string to each of a list.
+
+    Marked as non-deterministic so that its result is computed once, in a column of
+    its own, instead of being written out again wherever that column is read.
+    """
+    return _ratios.asNondeterministic()(a, bs)
 
 
 def can_reach(a: Column, b: Column, least: float) -> Column:

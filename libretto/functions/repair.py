@@ -7,7 +7,9 @@ import re
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st"}
 QUOTES = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‟": '"'}
@@ -33,6 +35,11 @@ def fix_text(text: str | None) -> str | None:
     return unicodedata.normalize("NFC", CONTROL.sub("", text))
 
 
-@F.pandas_udf("string")
-def repaired(text: pd.Series) -> pd.Series:
+@F.pandas_udf(StringType())
+def _repaired(text: pd.Series) -> pd.Series:
     return text.map(fix_text, na_action="ignore")
+
+
+def repaired(text: Column) -> Column:
+    """Repaired text; non-deterministic to the optimiser, so that it is computed once."""
+    return _repaired.asNondeterministic()(text)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 LEAST_WORDS, TARGET_WORDS, MOST_WORDS, TARGET_PARAGRAPHS = 500, 2000, 15_000, 30
 #: Wording that hints at boilerplate left in a text.
 HINTS = r"(?i)(translator|tl note|patreon|stolen|read on|support the|ko-fi|donate)"
-REPETITION = r"(?d)(.{20,})\n\1"
+REPETITION = r"(?d)(.{20,}+)\n\1"
 #: Fields that count towards completeness, fully and as a bonus.
 IMPORTANT = ("title", "synopsis", "author", "status", "cover_url", "genres")
 BONUS = ("original_title", "original_language", "translator_group", "total_chapters", "release_year", "tags")
@@ -37,8 +37,16 @@ def hint_count(paragraphs: Column) -> Column:
 
 
 def repeats(paragraphs: Column) -> Column:
-    """Twenty or more characters that end a line and start the next one."""
-    return F.array_join(paragraphs, "\n").rlike(REPETITION)
+    """Twenty or more characters that end a line and start the next one.
+
+    The pattern is quadratic in a line, so it is tried only on pairs of lines of
+    which the first holds the second's first twenty characters, as it must.
+    """
+    lines = F.split(F.array_join(paragraphs, "\n"), "\n")
+    pairs = F.arrays_zip(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))).alias("a"), F.slice(lines, F.lit(2), F.size(lines)).alias("b"))
+    head = lambda x: F.left(x["b"], F.lit(20))
+    again = lambda x: (F.length(x["b"]) >= 20) & (F.instr(x["a"], head(x)) > 0) & F.concat(x["a"], F.lit("\n"), x["b"]).rlike(REPETITION)
+    return F.exists(pairs, again)
 
 
 def cleanliness(hits: Column, repetition: Column) -> Column:

@@ -15,12 +15,24 @@ from libretto.functions.scores import chapter_quality
 CLEANER_VERSION = "1.0"
 
 
-def dedup_heading(paragraphs: Column, title: Column, least: float = T.HEADING_RATIO, window: int = T.HEADING_WINDOW) -> Column:
-    """Of the first ``window`` paragraphs, those go that repeat the title or are bare headings; no title, no change."""
-    head = F.slice(paragraphs, 1, window)
-    alike = ratios(T.heading_key(title), F.transform(head, T.heading_key))
-    keep = F.filter(paragraphs, lambda p, i: (i >= window) | ~(T.is_bare_heading(p) | F.coalesce(F.get(alike, i) >= least, F.lit(False))))
-    return F.when(T.truthy(title).isNull() | (F.size(paragraphs) == 0), paragraphs).otherwise(keep)
+def heading_likeness(paragraphs: Column, title: Column, window: int = T.HEADING_WINDOW) -> Column:
+    """Similarity of each of the first ``window`` paragraphs to the title."""
+    return ratios(T.heading_key(title), F.transform(F.slice(paragraphs, 1, window), T.heading_key))
+
+
+def dedup_heading(paragraphs: Column, title: Column, alike: Column, least: float = T.HEADING_RATIO, window: int = T.HEADING_WINDOW) -> Column:
+    """Of the first ``window`` paragraphs, those go that repeat the title or are bare headings; no title, no change.
+
+    ``alike`` is a column with their ``heading_likeness``.
+    """
+    # one paragraph at a time: Python results cannot be read inside a lambda
+    kept = []
+    for k in range(window):
+        p = F.get(paragraphs, F.lit(k))
+        gone = T.is_bare_heading(p) | F.coalesce(F.get(alike, F.lit(k)) >= least, F.lit(False))
+        kept.append(F.when(p.isNull() | gone, F.array().cast("array<string>")).otherwise(F.array(p)))
+    rest = F.slice(paragraphs, F.lit(window + 1), F.greatest(F.size(paragraphs), F.lit(1)))
+    return F.when(T.truthy(title).isNull() | (F.size(paragraphs) == 0), paragraphs).otherwise(F.concat(*kept, rest))
 
 
 def clean(df: DataFrame, raw: str = "raw_content", title: str | None = "source_title_text", content_format: str | Column = "html", extra: Iterable[str] = (), repair: bool = True, fix: dict | None = None) -> DataFrame:
@@ -38,12 +50,16 @@ def clean(df: DataFrame, raw: str = "raw_content", title: str | None = "source_t
     out = out.withColumn("__cut", first)
     out = out.withColumn("__kept", T.drop_boilerplate(F.col("__cut"), extra))
     out = out.withColumn("__fixed", T.fix_paragraphs(F.col("__kept"), **(fix or {})))
-    out = out.withColumn("paragraphs", dedup_heading(F.col("__fixed"), F.col(title)) if title else F.col("__fixed"))
+    if title:
+        out = out.withColumn("__alike", heading_likeness(F.col("__fixed"), F.col(title)))
+        out = out.withColumn("paragraphs", dedup_heading(F.col("__fixed"), F.col(title), F.col("__alike")))
+    else:
+        out = out.withColumn("paragraphs", F.col("__fixed"))
     out = out.withColumns({
         "cleaned_content": F.array_join("paragraphs", "\n\n"), "paragraph_count": F.size("paragraphs"),
         "word_count": T.total_words(F.col("paragraphs")), "cleaner_version": F.lit(CLEANER_VERSION),
     })
-    return out.drop("__source", "__cut", "__kept", "__fixed")
+    return out.drop("__source", "__cut", "__kept", "__fixed", "__alike")
 
 
 def clean_and_score(df: DataFrame, **options) -> DataFrame:

@@ -161,12 +161,16 @@ def read_chapter(t: Tables, key: str, number: float) -> DataFrame:
     return one.select("id", "work_id", "work_title", "chapter_number", T.chapter_label(F.col("chapter_number"), F.col("title")).alias("label"), T.reader_paragraphs("content").alias("paragraphs"), "word_count", "prev_number", "next_number")
 
 
-def chapter_sources(t: Tables, version_id: str, number: float) -> DataFrame:
-    """Source chapters behind a version's chapter, with site and whether they were promoted."""
-    vc = t["version_chapters"].where((F.col("version_id") == version_id) & (F.col("chapter_number") == number)).select(F.col("id").alias("version_chapter_id"), "promoted_from_id")
+def chapter_sources(t: Tables, version_id: str | None = None, number: float | None = None) -> DataFrame:
+    """Source chapters behind a version's chapter (or behind all), with site and whether they were promoted."""
+    vc = t["version_chapters"]
+    vc = vc if version_id is None else vc.where(F.col("version_id") == version_id)
+    vc = vc if number is None else vc.where(F.col("chapter_number") == number)
+    vc = vc.select(F.col("id").alias("version_chapter_id"), "promoted_from_id")
     st = t["source_titles"].select(F.col("id").alias("source_title_id"), "source_site")
     sc = t["source_chapters"].join(vc, "version_chapter_id").join(st, "source_title_id", "left")
-    return sc.select("id", F.coalesce("source_site", F.lit("unknown")).alias("source_site"), "source_url", "quality_score", "word_count", F.col("id").eqNullSafe(F.col("promoted_from_id")).alias("is_promoted")).orderBy(F.desc_nulls_last("quality_score"), "id")
+    out = sc.select("version_chapter_id", "id", F.coalesce("source_site", F.lit("unknown")).alias("source_site"), "quality_score", F.col("id").eqNullSafe(F.col("promoted_from_id")).alias("is_promoted"))
+    return out if number is None else out.orderBy(F.desc_nulls_last("quality_score"), "id")
 
 
 def source_health(t: Tables) -> DataFrame:

@@ -9,24 +9,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from libretto.operators import ingest, match, resolve
-from libretto.schema import SCHEMAS, conform, det_id, empty
+from libretto.schema import DDL, conform, det_id, empty, schema
 from libretto.sources.extract import extract_contents, extract_listings, extract_titles
 
 Tables = dict[str, DataFrame]
 
 
 def new_tables(spark: SparkSession) -> Tables:
-    return {name: empty(spark, name) for name in SCHEMAS}
+    return {name: empty(spark, name) for name in DDL}
 
 
 def load(spark: SparkSession, root: str) -> Tables:
-    return {name: spark.read.schema(schema).parquet(f"{root}/{name}") for name, schema in SCHEMAS.items()}
+    return {name: spark.read.schema(schema(name)).parquet(f"{root}/{name}") for name in DDL}
 
 
 def save(tables: Tables, root: str) -> str:
     """Write every table below a fresh folder and return it; readers switch to it when all are complete."""
     target = f"{root}/{uuid.uuid4().hex}"
-    for name in SCHEMAS:
+    for name in DDL:
         conform(tables[name], name).write.parquet(f"{target}/{name}")
     return target
 

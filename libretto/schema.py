@@ -20,7 +20,11 @@ DDL: dict[str, str] = {
     "source_chapters": f"id string not null, source_title_id string not null, version_chapter_id string, source_url string not null, source_chapter_id string, chapter_number double, source_title_text string, raw_content string, content_format string, cleaned_content string, paragraph_count int, word_count int, quality_score double, cleaner_version string, last_scraped_at timestamp, last_cleaned_at timestamp, {_STAMPS}",
     "ingestion_jobs": f"id string not null, source_site string not null, source_url string not null, source_title_id string, job_type string not null, status string not null, error_message string, error_detail string, chapters_found int, chapters_new int, chapters_updated int, extra string, started_at timestamp, completed_at timestamp, {_STAMPS}",
 }
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in DDL.items()}
+
+
+def schema(table: str) -> StructType:
+    return StructType.fromDDL(DDL[table])
+
 
 #: Natural keys: unique in each table.
 KEYS: dict[str, tuple[str, ...]] = {
@@ -77,7 +81,7 @@ def det_id(*key: Column | str) -> Column:
 
 
 def empty(spark, table: str) -> DataFrame:
-    return spark.createDataFrame([], SCHEMAS[table])
+    return spark.createDataFrame([], schema(table))
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -85,7 +89,7 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     defaults = DEFAULTS.get(table, {})
     have = set(df.columns)
     out = []
-    for f in SCHEMAS[table]:
+    for f in schema(table):
         c = F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)
         out.append((F.coalesce(c, F.lit(defaults[f.name])) if f.name in defaults else c).alias(f.name))
     return df.select(*out)

@@ -214,7 +214,8 @@ def next_page(html: str, base_url: str) -> str | None:
 
 def _extract(pages: DataFrame, site: str | Column, schema: str, each: Callable[[SiteSpec, str, str], list[dict]]) -> DataFrame:
     """Rows that ``each`` makes of every page; pages of unknown sites and null pages make none."""
-    out = to_arrow_schema(StructType.fromDDL("site_key string, page_url string, " + schema))
+    ddl = "site_key string, page_url string, " + schema
+    out = to_arrow_schema(StructType.fromDDL(ddl))
     specs = {get_site(site).key: get_site(site)} if isinstance(site, str) else dict(SITES)
     key = F.lit(site) if isinstance(site, str) else site
 
@@ -226,7 +227,6 @@ def _extract(pages: DataFrame, site: str | Column, schema: str, each: Callable[[
                     rows += [{"site_key": k, "page_url": url, **r} for r in each(specs[k], url, html)]
             yield pa.RecordBatch.from_pylist(rows, schema=out)
 
-    ddl = "site_key string, page_url string, " + schema
     return pages.select(key.alias("k"), F.col("url"), F.col("html")).mapInArrow(run, ddl)
 
 

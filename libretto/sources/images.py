@@ -7,6 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from libretto.functions.scores import cover_score
 
@@ -14,6 +15,9 @@ from libretto.functions.scores import cover_score
 FRAMES = frozenset({*range(0xC0, 0xD0)} - {0xC4, 0xC8, 0xCC})
 
 
+HEADER = StructType([StructField("image_format", StringType()), StructField("width", IntegerType()), StructField("height", IntegerType())])
+
+
 def inspect(data: bytes | None) -> tuple[str | None, int | None, int | None]:
     """(format, width, height); unknown parts are null."""
     data = data or b""
@@ -43,7 +47,7 @@ def inspect(data: bytes | None) -> tuple[str | None, int | None, int | None]:
     return None, None, None
 
 
-@F.pandas_udf("struct<image_format:string,width:int,height:int>")
+@F.pandas_udf(HEADER)
 def image_header(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([inspect(c) for c in content], columns=["image_format", "width", "height"]).astype({"width": "Int64", "height": "Int64"})
 
