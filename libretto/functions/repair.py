@@ -16,7 +16,18 @@ QUOTES = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"'
 TABLE = str.maketrans(LIGATURES | QUOTES)
 CONTROL = re.compile(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F﻿]")
 #: Pairs that UTF-8 read as a one-byte encoding leaves behind.
-SUSPECT = re.compile(r"[\xC2-\xF4][\x80-\xBF€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
+SUSPECT = re.compile(r"[\xC2-\xF4][\x80-\xBF€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{1,3}")
+
+
+def _redecoded(m: re.Match) -> str:
+    """The character that a run of mis-read bytes stands for, or the run itself."""
+    for name in ("cp1252", "latin-1"):
+        for end in range(len(m[0]), 1, -1):
+            try:
+                return m[0][:end].encode(name).decode("utf-8") + m[0][end:]
+            except UnicodeError:
+                continue
+    return m[0]
 
 
 def fix_text(text: str | None) -> str | None:
@@ -24,13 +35,7 @@ def fix_text(text: str | None) -> str | None:
         return text
     if "&" in text and "<" not in text:
         text = html.unescape(text)
-    if SUSPECT.search(text):
-        for name in ("cp1252", "latin-1"):
-            try:
-                text = text.encode(name).decode("utf-8")
-                break
-            except UnicodeError:
-                continue
+    text = SUSPECT.sub(_redecoded, text)
     text = text.replace("\r\n", "\n").replace("\r", "\n").translate(TABLE)
     return unicodedata.normalize("NFC", CONTROL.sub("", text))
 

@@ -105,7 +105,8 @@ def parse(page: str | None) -> Node:
 PART = re.compile(
     r"(?P<tag>[a-z][a-z0-9]*|\*)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)"
     r"""|\[(?P<attr>[\w-]+)(?:(?P<op>[*^$~]?=)["']?(?P<val>[^"'\]]*)["']?)?\]"""
-    r"|:not\(\[(?P<lacks>[\w-]+)\]\)|:nth-of-type\((?P<nth>\d+)\)|:(?P<last>last-child)"
+    r"""|:not\(\[(?P<lacks>[\w-]+)(?:\*=["']?(?P<held>[^"'\]]*)["']?)?\]\)"""
+    r"|:nth-of-type\((?P<nth>\d+)\)|:(?P<last>last-child)"
 )
 
 
@@ -124,9 +125,10 @@ def compiled(selector: str) -> tuple[tuple[tuple[str, tuple], ...], ...]:
                 m = PART.match(piece, at)
                 if not m:
                     raise ValueError(f"selector {selector!r}")
-                tests.append((m.lastgroup if m.lastgroup not in ("op", "val") else "attr", m.groupdict()))
+                kind = {"op": "attr", "val": "attr", "held": "lacks"}.get(m.lastgroup, m.lastgroup)
+                tests.append((kind, m.groupdict()))
                 at = m.end()
-            chain.append((relation, tuple((k, g["attr"], g["op"], g["val"], g[k] if k != "attr" else None) for k, g in tests)))
+            chain.append((relation, tuple((k, g["attr"], g["op"], g["held"] if k == "lacks" else g["val"], g[k]) for k, g in tests)))
             relation = " "
         out.append(tuple(chain))
     return tuple(out)
@@ -141,7 +143,7 @@ def _passes(n: Node, test: tuple) -> bool:
     if kind == "cls":
         return arg in n.attrs.get("class", "").split()
     if kind == "lacks":
-        return arg not in n.attrs
+        return arg not in n.attrs or value is not None and value not in n.attrs[arg]
     if kind == "nth":
         return n in (same := [s for s in n.siblings() if s.tag == n.tag]) and same.index(n) + 1 == int(arg)
     if kind == "last":

@@ -306,7 +306,7 @@ register(
             "title": (text("h1.font-white"),), "author": (text("span[property='name']"),), "synopsis": (inner(".description .description-content"), inner(".description")),
             "status": (Rule("listed", ".label", words=("ongoing", "complete", "hiatus", "dropped", "stub")),), "cover_url": (attr(".thumbnail img", "src", "data-src"), attr("img.thumbnail", "src", "data-src")),
         },
-        status="loose", status_overrides={"stub": "dropped"}, genres="a.label[href*='genre']", tags="a.label[href*='tag']", total_rows="table#chapters tbody tr",
+        status="loose", status_overrides={"stub": "dropped"}, genres="a.label[href*='genre']", tags="a.label[href*='tag']:not([href*='genre'])", total_rows="table#chapters tbody tr",
         chapter_rows="table#chapters tbody tr", chapters="a[href*='/chapter/']", chapter_id=r"/chapter/(\d+)/", chapter_date="time", number_patterns=(r"(?i)chapter\s+(\d+(?:\.\d+)?)",), number_from_url=False,
         chapter_title=("h1", ".chapter-title"), content=("div.chapter-content",),
     )
