@@ -46,7 +46,8 @@ def clean(df: DataFrame, raw: str = "raw_content", title: str | None = "source_t
     source = repaired(F.col(raw)) if repair else F.col(raw)
     out = df.withColumn("__source", source)
     both = F.when(kind == "text", T.plain_paragraphs("__source")).otherwise(T.html_paragraphs("__source"))
-    first = T.plain_paragraphs("__source") if content_format == "text" else T.html_paragraphs("__source") if content_format == "html" else both
+    fixed = {"text": T.plain_paragraphs, "html": T.html_paragraphs}.get(content_format) if isinstance(content_format, str) else None
+    first = fixed("__source") if fixed else both
     out = out.withColumn("__cut", first)
     out = out.withColumn("__kept", T.drop_boilerplate(F.col("__cut"), extra))
     out = out.withColumn("__fixed", T.fix_paragraphs(F.col("__kept"), **(fix or {})))
@@ -69,6 +70,6 @@ def clean_and_score(df: DataFrame, **options) -> DataFrame:
     return out.withColumn("quality_score", F.col("quality.final_score"))
 
 
-def stale(df: DataFrame) -> Column:
+def stale() -> Column:
     """Rows that need cleaning: they have raw content and were not cleaned by this version."""
     return T.truthy("raw_content").isNotNull() & ~F.col("cleaner_version").eqNullSafe(F.lit(CLEANER_VERSION))

@@ -10,30 +10,32 @@ from libretto.functions.fuzzy import can_reach, ratio
 from libretto.schema import det_id
 
 WORK_RATIO, TRANSLATOR_RATIO, EXACT_RATIO = 90.0, 85.0, 98.0
-#: Letters of a gram. Over [a-z0-9 ] there are at most 37**2 of them, which bounds the frequency table.
-GRAM = 2
 
 
-def _grams(key: str) -> Column:
+def _grams(key: str, size: int) -> Column:
     n = F.length(key)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: F.substring(F.col(key), k, F.lit(GRAM)))
-    return F.array_distinct(pairs)
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda k: F.substring(F.col(key), k, F.lit(size)))
+    return F.array_distinct(pieces)
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(l_id, r_id, score): pairs of (id, key) rows whose keys have an indel ratio of at least ``least``.
 
-    Blocking loses nothing: a ratio of ``least`` allows d = (1 - least/100) * (both
-    lengths) insertions and deletions, each of which spoils at most GRAM grams, so
-    two such keys share one of their GRAM*d + 1 rarest grams, in one order for all.
-    Keys that are empty match nothing.
+    Blocking loses nothing. A ratio of ``least`` allows d = (1 - least/100) * (both
+    lengths) insertions and deletions, at most (2 * (100 - least) / least) times a
+    key's own length. Each spoils at most g grams of g letters, so the keys share one
+    of their g*d + 1 rarest grams, in one order for all. Pairs of letters do for a
+    ratio above 80; below, single letters. Keys that are empty match nothing. Keys
+    are over [a-z0-9 ], so the table of gram counts has at most 37**2 rows.
     """
-    slack = (100 - least) / least * 2  # d over a key's own length, for the longest partner
-    keyed = [side.where(F.length("key") > 0).select("id", "key", F.explode(_grams("key")).alias("gram")) for side in (left, right)]
+    slack = (100 - least) / least * 2
+    size = 2 if slack < 0.5 else 1
+    keyed = [side.where(F.length("key") > 0).select("id", "key", F.explode(_grams("key", size)).alias("gram")) for side in (left, right)]
     often = F.broadcast(keyed[1].groupBy("gram").count())
+
     def rare(df: DataFrame) -> DataFrame:
         order = Window.partitionBy("id").orderBy(F.coalesce("count", F.lit(0)), "gram")
-        allowed = F.floor(F.length("key") * slack / 2 + 1e-9) * GRAM + 1
+        allowed = F.floor(F.length("key") * slack + 1e-9) * size + 1
         return df.join(often, "gram", "left").withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= allowed)
 
     l, r = (rare(k) for k in keyed)

@@ -79,8 +79,8 @@ def resolve_chapters(version_chapters: DataFrame, source_chapters: DataFrame, so
     missing = titles.join(have, (F.col("version_id") == F.col("__v")) & (F.col("chapter_number") == F.col("__n")), "left_anti")
     stubs = conform(missing.withColumns({"id": det_id("version_id", "chapter_number"), "created_at": as_of, "updated_at": as_of}), "version_chapters")
     chapters = version_chapters.unionByName(stubs)
-    old = owned.where(~stale(owned))
-    cleaned = clean_and_score(owned.where(stale(owned)), content_format=F.coalesce("content_format", F.lit("html")) if "content_format" in owned.columns else "html").withColumn("last_cleaned_at", as_of)
+    old = owned.where(~stale())
+    cleaned = clean_and_score(owned.where(stale()), content_format=F.coalesce("content_format", F.lit("html")) if "content_format" in owned.columns else "html").withColumn("last_cleaned_at", as_of)
     columns = [*source_chapters.columns, "version_id"]
     both = old.select(*columns, F.lit(0).alias("__new")).unionByName(cleaned.select(*columns, F.lit(1).alias("__new")))
     ids = chapters.select(F.col("id").alias("__vc"), F.col("version_id").alias("__v"), F.col("chapter_number").alias("__n"))
