@@ -45,10 +45,26 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return scramble(a * M1 + b)
 
 
+def squeezed(a: np.ndarray) -> bytes:
+    """An array's bytes, plane by plane and compressed: what is alike in all its numbers costs next to nothing."""
+    import zstandard
+
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unsqueezed(data: bytes, dtype) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).ravel()
+
+
 class WordHash(dict):
     """64-bit hashes of words, remembered while they fit."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 18
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -75,38 +91,36 @@ def cuts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(bucket: int, head: int, keys: np.ndarray, vals: np.ndarray, parts: int) -> pd.DataFrame:
-    """Request rows for sorted distinct ``keys`` with ``vals`` (one row per key)."""
+    """Request rows for sorted distinct ``keys`` with ``vals`` (one number per key); keys travel as steps."""
     own, at = cuts(keys, parts)
-    return pd.DataFrame(
-        {
-            "part": own,
-            "bucket": np.full(len(own), bucket),
-            "head": np.full(len(own), head),
-            "keys": [keys[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)],
-            "vals": [vals[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)],
-        }
-    ).astype({"part": "int32", "bucket": "int32", "head": "int64"})
+    spans = list(zip(at[:-1], at[1:], strict=True))
+    out = {"part": own, "bucket": np.full(len(own), bucket), "head": np.full(len(own), head)}
+    out["keys"] = [squeezed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in spans]
+    out["vals"] = [squeezed(vals[a:b]) for a, b in spans]
+    return pd.DataFrame(out).astype({"part": "int32", "bucket": "int32", "head": "int64"})
 
 
-Reduce = Callable[[np.ndarray, np.ndarray, np.ndarray, bytes], tuple[np.ndarray, list[int] | None]]
+Reduce = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, list[int] | None]]
 
 
-def answered(requests: DataFrame, reduce: Reduce) -> DataFrame:
-    """Replies to packed ``requests``.
+def answered(requests: DataFrame, dtype, reduce: Reduce) -> DataFrame:
+    """Replies to packed ``requests`` whose values have ``dtype``.
 
     ``reduce(keys, index, heads, vals)`` gets the distinct keys a part was asked
-    for, for every asked key its number among them and the head of its request row,
-    and the values joined. It returns one row of reply values per distinct key and,
-    if wanted, numbers about the part, which go out in a row of bucket -1.
+    for; for every asked key its number among them, the head of its request row and
+    its value. It returns one reply per distinct key and, if wanted, numbers about
+    the part, which go out in a row of bucket -1.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        asked = np.frombuffer(b"".join(rows["keys"]), dtype=np.uint64)
-        sizes = rows["keys"].map(len).to_numpy() // 8
-        keys, index = np.unique(asked, return_inverse=True)
-        replies, stat = reduce(keys, index, np.repeat(rows["head"].to_numpy(), sizes), b"".join(rows["vals"]))
+        steps = [np.cumsum(unsqueezed(k, np.uint64), dtype=np.uint64) for k in rows["keys"]]
+        sizes = np.array([len(k) for k in steps], dtype=np.int64)
+        keys, index = np.unique(np.concatenate(steps), return_inverse=True)
+        del steps
+        vals = np.concatenate([unsqueezed(v, dtype) for v in rows["vals"]])
+        replies, stat = reduce(keys, index, np.repeat(rows["head"].to_numpy(), sizes), vals)
         at = np.concatenate([[0], np.cumsum(sizes)])
-        out = {"bucket": rows["bucket"].tolist(), "part": rows["part"].tolist(), "vals": [replies[index[a:b]].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]}
+        out = {"bucket": rows["bucket"].tolist(), "part": rows["part"].tolist(), "vals": [squeezed(replies[index[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]}
         out["stat"] = [None] * len(rows)
         if stat is not None:
             for name, value in (("bucket", -1), ("part", rows["part"].iloc[0]), ("vals", b""), ("stat", stat)):
@@ -119,4 +133,4 @@ def answered(requests: DataFrame, reduce: Reduce) -> DataFrame:
 def aligned(replies: pd.DataFrame, dtype) -> np.ndarray:
     """A bucket's replies in the order of the keys it sent."""
     rows = replies.sort_values("part")
-    return np.frombuffer(b"".join(rows["vals"]), dtype=dtype)
+    return np.concatenate([np.zeros(0, dtype=dtype), *(unsqueezed(v, dtype) for v in rows["vals"])])

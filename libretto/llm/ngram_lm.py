@@ -84,8 +84,7 @@ def counted(dealt: DataFrame, n: int) -> DataFrame:
         uni["part"] += np.int32(n)
         return pd.concat([packed(bucket, mode, t.bi_keys, t.bi_counts(), n), uni])
 
-    def tally(keys: np.ndarray, index: np.ndarray, heads: np.ndarray, vals: bytes):
-        counts = np.frombuffer(vals, dtype="<u4")
+    def tally(keys: np.ndarray, index: np.ndarray, heads: np.ndarray, counts: np.ndarray):
         out = np.zeros(len(keys), dtype=COUNTS)
         for name, mode in (("fit", FIT), ("held", HELD)):
             mine = heads % UNI_HEAD == mode
@@ -96,7 +95,7 @@ def counted(dealt: DataFrame, n: int) -> DataFrame:
         return out, [int(np.count_nonzero(real["fit"] + real["held"])), int(real["fit"].sum()), int(real["held"].sum())]
 
     requests = dealt.groupBy("bucket").applyInPandas(ask, REQUEST)
-    return stored(answered(requests, tally), "counts")
+    return stored(answered(requests, np.uint32, tally), "counts")
 
 
 def _split(heard: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,11 +1,11 @@
 """Repeated passages by level-wise doubling.
 
-Documents with the same word sequence are told apart by one hash: only the one
-with the smallest id is searched. Level one hashes every window of half the
-final length; windows repeated there, in two documents, are candidates, and two
-candidates in a row are extended to one window of twice the length, until the
-final length is reached or no candidate survives. At the final length each
-window learns the smallest id it starts in.
+Level one hashes every window of half the final length; windows repeated there,
+in two documents, are candidates, and two candidates in a row are extended to
+one window of twice the length, until the final length is reached or no
+candidate survives. At the final length each window learns the smallest id it
+starts in. Exact and near copies need no path of their own: their windows are
+repeated windows.
 """
 
 from __future__ import annotations
@@ -14,11 +14,10 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored
+from .common import stored, total_chars
 from .exchange import REQUEST, WordHash, aligned, answered, bucket_of, joined, n_buckets, packed
 
 #: Order of a null id: after all others.
@@ -26,25 +25,6 @@ LAST = 2**63 - 1
 NONE = np.zeros(0, dtype=np.uint64)
 
 
-def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, kept, n_words, chars) of each row; ``kept`` is the SHA-256 of its words joined by one space."""
-
-    def make():
-        def work(batch: pa.RecordBatch) -> dict:
-            kept, sizes, chars = [], [], []
-            for text in batch.column(1).to_pylist():
-                words = (text or "").encode().split()
-                kept.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                sizes.append(len(words))
-                chars.append(len(text or ""))
-            return {"id": batch.column(0), "kept": kept, "n_words": sizes, "chars": chars}
-
-        return work
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, "id long, kept string, n_words long, chars long", make)
-
-
 class Words:
     """The documents of a bucket as one run of word hashes, and hashes of their windows."""
 
@@ -107,15 +87,22 @@ def smallest(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def repeated_windows(docs: DataFrame, window: int, first: int, chars: int) -> DataFrame:
-    """(id, kept, n_removed, rest, words): documents of ``docs`` (id, kept, text) that lose words.
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, first: int = 25) -> DataFrame:
+    """(id, n_words, n_removed, kept_sha256, runs) of every row.
 
-    ``kept`` passes through, ``rest`` is the digest of what is left, ``words`` the
-    (start, end) runs of removed words.
+    A word is removed if a window of ``window`` words that covers it also starts in
+    a row with a smaller id. ``kept_sha256`` is of the kept words joined by one
+    space; ``runs`` lists the removed word positions as start, end, start, end, ...
+    A null or empty text has no words; a null id counts as larger than all others;
+    rows that repeat an id do not remove each other's words; other columns are
+    ignored; an empty table gives an empty result. Windows are compared by 64-bit
+    hashes of whole words.
     """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    chars = total_chars(docs, text_col)
     n = n_buckets(chars)
     levels = lengths(window, min(first, window))
-    dealt = docs.withColumn("bucket", bucket_of("kept", n))
+    dealt = rows.withColumn("bucket", bucket_of("id", n))
     spark = docs.sparkSession
     replies = spark.createDataFrame([], "bucket int, part int, vals binary, level int")
 
@@ -148,66 +135,33 @@ def repeated_windows(docs: DataFrame, window: int, first: int, chars: int) -> Da
         final = k == len(levels) - 1
         requests = dealt.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(asking(k), REQUEST)
         if final:
-            got = answered(requests, lambda keys, index, heads, vals: (smallest(index, np.frombuffer(vals, dtype=np.int64), len(keys)), None))
+            got = answered(requests, np.int64, lambda keys, index, heads, vals: (smallest(index, vals, len(keys)), None))
         else:
-            got = answered(requests, lambda keys, index, heads, vals: ((np.bincount(index, np.frombuffer(vals, dtype=np.uint8), len(keys)) > 1).astype(np.uint8), None))
+            got = answered(requests, np.uint8, lambda keys, index, heads, vals: ((np.bincount(index, vals, len(keys)) > 1).astype(np.uint8), None))
         replies = replies.unionAll(stored(got.drop("stat"), f"level{levels[k]}").withColumn("level", F.lit(k)))
 
     def drop(rows: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
-        out: dict = {"id": [], "kept": [], "n_removed": [], "rest": [], "runs": []}
+        out: dict = {"id": rows["id"], "n_words": [], "n_removed": [], "kept_sha256": [], "runs": []}
         if len(rows):
             words = Words(rows)
             index = np.flatnonzero(survivors(words, levels, heard))
             _, where = np.unique(words.windows(window)[index], return_inverse=True)
             low = aligned(heard[heard["level"] == len(levels) - 1], np.int64)
-            if len(low):
-                hit = index[low[where] < words.ids[words.doc[index]]]
-                edge = np.zeros(len(words.doc) + 1, dtype=np.int64)
-                np.add.at(edge, hit, 1)
-                np.add.at(edge, hit + window, -1)
-                gone = np.cumsum(edge)[:-1] > 0
-                for d in np.unique(words.doc[hit]):
-                    mask = gone[words.starts[d] : words.ends[d]]
-                    turns = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-                    left = [w for w, g in zip(words.words[d], mask.tolist(), strict=True) if not g]
-                    out["id"].append(rows["id"].iloc[d])
-                    out["kept"].append(rows["kept"].iloc[d])
-                    out["n_removed"].append(int(mask.sum()))
-                    out["rest"].append(hashlib.sha256(b" ".join(left)).hexdigest())
-                    out["runs"].append(turns.tolist())
-        return pd.DataFrame(out).astype({"id": "Int64", "n_removed": "int64"})
-
-    return dealt.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(drop, "id long, kept string, n_removed long, rest string, runs array<long>")
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, first: int = 25) -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256, runs) of every row.
-
-    A word is removed if a window of ``window`` words that covers it also starts in
-    a row with a smaller id. ``runs`` lists the removed word positions as start, end,
-    start, end, ... A null or empty text has no words; a null id counts as larger
-    than all others; rows that repeat an id do not remove each other's words; other
-    columns are ignored. Windows are compared by 64-bit hashes of whole words.
-    """
-    base = stored(described(docs, id_col, text_col), "described")
-    order = F.coalesce("id", F.lit(LAST))
-    firsts = stored(base.groupBy("kept").agg(F.min(order).alias("first"), F.first("n_words").alias("size"), F.first("chars").alias("chars")), "classes")
-    long_enough = firsts.where(F.col("size") >= window)
-    chars = int(long_enough.agg(F.sum("chars")).first()[0] or 0)
-    # texts of the first of each class that has windows, once each
-    heads = base.join(firsts.select(F.col("kept").alias("k"), "first"), (F.col("kept") == F.col("k")) & (order == F.col("first")) & (F.col("n_words") >= window)).select(F.col("id").alias("head"), F.col("kept")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    searched = texts.join(heads, F.col("id").eqNullSafe(F.col("head"))).select("id", "kept", "text")
-    searched = stored(searched.dropDuplicates(["id", "kept"]), "searched")
-    lost = stored(repeated_windows(searched, window, first, chars), "lost").select(F.col("id").alias("lost_id"), F.col("kept").alias("lost_kept"), "n_removed", "rest", "runs")
-    rows = base.join(firsts.select(F.col("kept").alias("k"), "first"), F.col("kept") == F.col("k"))
-    rows = rows.join(lost, F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("kept") == F.col("lost_kept")), "left")
-    copy = (order > F.col("first")) & (F.col("n_words") >= window)
-    nothing = hashlib.sha256(b"").hexdigest()
-    return rows.select(
-        F.col("id").alias(id_col),
-        "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, F.lit(nothing)).otherwise(F.coalesce("rest", "kept")).alias("kept_sha256"),
-        F.when(copy, F.array(F.lit(0).cast("long"), F.col("n_words"))).otherwise(F.coalesce("runs", F.array().cast("array<long>"))).alias("runs"),
-    )
+            hit = index[low[where] < words.ids[words.doc[index]]] if len(low) else index[:0]
+            edge = np.zeros(len(words.doc) + 1, dtype=np.int64)
+            np.add.at(edge, hit, 1)
+            np.add.at(edge, hit + window, -1)
+            gone = np.cumsum(edge)[:-1] > 0
+            for d, there in enumerate(words.words):
+                mask = gone[words.starts[d] : words.ends[d]]
+                removed = int(mask.sum())
+                turns = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))) if removed else NONE
+                left = [w for w, g in zip(there, mask.tolist(), strict=True) if not g] if removed else there
+                out["n_words"].append(len(there))
+                out["n_removed"].append(removed)
+                out["kept_sha256"].append(hashlib.sha256(b" ".join(left)).hexdigest())
+                out["runs"].append(turns.tolist())
+        return pd.DataFrame(out).astype({"id": "Int64"})
+
+    schema = "id long, n_words long, n_removed long, kept_sha256 string, runs array<long>"
+    return dealt.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(drop, schema).withColumnRenamed("id", id_col)
