@@ -81,8 +81,8 @@ def resolve_works(spark, sf_dir):
 
 
 SCORE = """case when width is null or height is null or width = 0 or height = 0 then 0.0 when width < 100 or height < 100 then 0.05
-    else round(0.5 * (0.5 * least(width / 300, 1) + 0.5 * least(height / 450, 1)) + 0.3 * greatest(0, 1 - 2 * abs(width / height - 2.0 / 3))
-    + 0.2 * case when file_size is null or file_size = 0 then 1.0 when file_size < 10000 then 0.3 when file_size > 10000000 then 0.5 else 1.0 end, 4) end"""
+    else cast(round(cast(cast(5e-1 * (5e-1 * least(width / 3e2, 1e0) + 5e-1 * least(height / 4.5e2, 1e0)) + 3e-1 * greatest(0e0, 1e0 - 2e0 * abs(width / height - 2e0 / 3e0))
+    + 2e-1 * case when file_size is null or file_size = 0 then 1e0 when file_size < 10000 then 3e-1 when file_size > 10000000 then 5e-1 else 1e0 end as varchar) as decimal(38, 20)), 4) as double) end"""
 
 
 @query("cover_score", f"select id, cast({SCORE} as double) score from cover_candidates", ("cover_candidates",))
