@@ -118,16 +118,16 @@ DIGITS = {
 NAMED = "|".join(sorted(DIGITS, key=len, reverse=True))
 DOT_NAMES = "dot|punkt|point|punto"
 OPEN, SHUT = r"[\[({<]", r"[\])}>]"
-DOT = rf"(?:\s*{OPEN}\s*(?:{DOT_NAMES}|\.)\s*{SHUT}\s*|\s+(?:{DOT_NAMES})\s+|[-_](?:{DOT_NAMES})[-_])"
+DOT = rf"(?:\s*{OPEN}\s*(?:{DOT_NAMES}|\.)\s*{SHUT}\s*|\s+(?:{DOT_NAMES})\s+|_(?:{DOT_NAMES})_|\s\.\s|&#46;|&period;)"
 AT_NAMES = "at|arobase|arroba|ät"
-AT_SURE = rf"(?:\s*{OPEN}\s*(?:{AT_NAMES}|@)\s*{SHUT}\s*|\s+@\s*|(?<=\S)@\s+|[-_](?:{AT_NAMES})[-_])"
-AT_BARE = rf"\s+(?:{AT_NAMES})\s+"
+AT_SURE = rf"(?:\s*{OPEN}\s*(?:{AT_NAMES}|@)\s*{SHUT}\s*|\s+@\s*|(?<=\S)@\s+|&#64;|&commat;)"
+AT_BARE = rf"(?:\s+(?:{AT_NAMES})\s+|_(?:{AT_NAMES})_)"
 LABEL = r"[A-Za-z0-9][A-Za-z0-9-]*+"
 
 #: A run of spelled or written digits, with the separators between them.
 ONE = rf"(?:\b(?:{NAMED})\b|[0-9]++)"
-RUN = re.compile(rf"(?:\b(?:plus)\b\s*|\+\s*)?{ONE}(?:(?:[ \t-]{{1,3}}|{DOT}|\.)?{ONE})+", re.I)
-PIECE = re.compile(rf"(?P<plus>\bplus\b\s*)|\b(?P<name>{NAMED})\b|(?P<dot>{DOT})|(?P<rest>[0-9]+|.)", re.I | re.S)
+RUN = re.compile(rf"(?:\b(?:plus)\b\s*|\+\s*)?{ONE}(?:(?:[ \t,-]{{1,3}}|{DOT}|\.)?{ONE})+", re.I)
+PIECE = re.compile(rf"(?P<plus>\bplus\b\s*)|\b(?P<name>{NAMED})\b|(?P<dot>{DOT})|(?P<rest>[0-9]+|[ \t,-]+|.)", re.I | re.S)
 DIGIT_NEAR = frozenset(DOT_NAMES.split("|"))
 BRACKETED_DOT = re.compile(rf"[0-9]{DOT}[0-9]", re.I)
 
@@ -137,7 +137,7 @@ def spells(text: str) -> bool:
     lower = text.lower()
     if ("[" in text or "(" in text or "{" in text or "<" in text or "dot" in lower or "pun" in lower or "point" in lower) and BRACKETED_DOT.search(text):
         return True
-    words = lower.replace("-", " ").split()
+    words = lower.replace("-", " ").replace(",", " ").split()
     if DIGITS.keys().isdisjoint(words):
         return False
     last = len(words) - 1
@@ -158,10 +158,10 @@ ADDRESS = re.compile(
 )
 DOTS = re.compile(DOT, re.I)
 LEFT_DOTS = re.compile(rf"([A-Za-z0-9_%+-]+)({DOT})\Z", re.I)
-HINTED = re.compile(rf"\b(?:{DOT_NAMES})\b|[\[({{<]\s*(?:{AT_NAMES}|@|\.)\s*[\])}}>]|\s@|@\s|[_](?:{DOT_NAMES})[_]", re.I)
+HINTED = re.compile(rf"\b(?:{DOT_NAMES})\b|[\[({{<]\s*(?:{AT_NAMES}|@|\.)\s*[\])}}>]|\s@|@\s|_(?:{DOT_NAMES})_|&#64;|&#46;|&commat;|&period;|@\S*\s\.\s", re.I)
 
 #: One of these is in every text that HINTED matches.
-CHEAP_HINTS = (*DOT_NAMES.split("|"), "[", "(", "{", "<", " @", "@ ", "@\n", "\n@", "\t@", "@\t")
+CHEAP_HINTS = (*DOT_NAMES.split("|"), "&#", "&c", "&p", " . ", "[", "(", "{", "<", " @", "@ ", "@\n", "\n@", "\t@", "@\t")
 #: Words that are no host name after a bare "at".
 NO_HOST = frozenset("the a an this that these those our your his her its my their le la les der die das el los las un une uno".split())
 
@@ -247,8 +247,11 @@ def spelled_digits(text: str) -> list[Edit]:
                 edits.append((*p.span(), str(DIGITS[p["name"].lower()])))
             elif p["dot"]:
                 edits.append((*p.span(), "."))
-            elif p["rest"] in (" ", "\t", "-") and k and pieces[k - 1]["name"] and k + 1 < len(pieces) and pieces[k + 1]["name"]:
-                edits.append((*p.span(), ""))
+            elif p["rest"][0] in " \t,-":
+                spelled = k and pieces[k - 1]["name"] and k + 1 < len(pieces) and pieces[k + 1]["name"]
+                new = "" if spelled else " " if len(p["rest"]) > 1 or p["rest"] in "\t," else p["rest"]
+                if new != p["rest"]:
+                    edits.append((*p.span(), new))
     return edits
 
 
@@ -275,7 +278,25 @@ def at_dots(text: str) -> list[Edit]:
     return edits
 
 
-TRANSDUCERS: tuple[Callable[[str], list[Edit]], ...] = (homoglyphs, spelled_digits, at_dots)
+#: Letters read as digits inside a number, and runs of digits in which they may stand.
+LETTER_DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1", "|": "1"}
+NUMBER = r"(?<![A-Za-z0-9])[0-9OolI|]*[0-9][0-9OolI|]*(?![A-Za-z0-9])"
+NUMBERS = re.compile(rf"\+?[(]?{NUMBER}(?:[ ().-]{{1,2}}{NUMBER}|\.[OolI|]{{1,3}}(?=\.))*")
+MIXED = re.compile(r"[0-9](?:(?=[OolI|])|(?<=[OolI|][0-9]))")
+
+
+def letter_digits(text: str) -> list[Edit]:
+    """Letters that stand for digits in runs of six digits or more, in tokens without other letters."""
+    if not MIXED.search(text):
+        return []
+    edits: list[Edit] = []
+    for m in NUMBERS.finditer(text):
+        if sum(map(str.isdigit, m[0])) >= 6:
+            edits += [(k, k + 1, LETTER_DIGITS[text[k]]) for k in range(*m.span()) if text[k] in LETTER_DIGITS]
+    return edits
+
+
+TRANSDUCERS: tuple[Callable[[str], list[Edit]], ...] = (homoglyphs, letter_digits, spelled_digits, at_dots)
 
 
 def find(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:

@@ -38,7 +38,10 @@ def found(text):
     ("call plus one four one five five five five one two three four ok", ["plus one four one five five five five one two three four"]),
     ("one nine two dot one six eight dot one dot one", ["one nine two dot one six eight dot one dot one"]),
     ("4111 1111 one one one one 1111", ["4111 1111 one one one one 1111"]),
-    ("192[.]168[.]1[.]1", ["192[.]168[.]1[.]1"]),
+    ("192[.]168[.]1[.]1", ["192[.]168[.]1[.]1"]), ("card 4111 1111 1111 llll ok", []), ("card 4111 11l1 1O11 1l18", []), ("pay 4539 578O 0l37 7O66 now", []),
+    ("+1 (4O8) 555-l234", ["+1 (4O8) 555-l234"]), ("host l92.168.O.1 up", ["l92.168.O.1"]), ("41l1 1111 1111 1111", ["41l1 1111 1111 1111"]),
+    ("four, one, one, one, one, one, one, one, one, one, one, one, one, one, one, one", ["four, one, one, one, one, one, one, one, one, one, one, one, one, one, one, one"]),
+    ("joe&#64;example&#46;com", ["joe&#64;example&#46;com"]), ("joe @ example . com", ["joe @ example . com"]), ("stay-at-home.com and look_at_file.txt", []), ("joe_at_example_dot_com", ["joe_at_example_dot_com"]),
     ("he looked at the dot com bubble", []), ("I was at home. The end.", []), ("one or two of three", []), ("", []), (None, []),
 ])
 def test_disguises(text, want):
