@@ -27,6 +27,7 @@ INLINE = frozenset(
 )
 #: White space rather than a block edge.
 SPACING = frozenset(("br", "img", "input"))
+ITEMS = frozenset("li dt dd tr td th option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Containers that are boilerplate, or main text, by their tag alone.
 BOILER_TAGS = frozenset("nav header footer aside form dialog menu head".split())
@@ -106,6 +107,8 @@ def zone_of(tag: str, attrs: str, outer: int) -> int:
         return -1
     if attrs:
         words = {w for m in ATTR.finditer(attrs) for w in HINT.findall((m[1] or m[2] or m[3] or "").lower())}
+        if outer == 1:
+            words.discard("header")  # the headline of an article
         if words & BOILER_WORDS and tag not in ("body", "html"):
             return -1
         if words & MAIN_WORDS and outer == 0:
@@ -145,13 +148,16 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
         elif tag not in INLINE:
             flush()
             in_link = False
+            # an open paragraph ends at any block, an open item at the next one
+            while not m["close"] and stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in ITEMS):
+                zone = stack.pop()[1]
             if m["close"]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
                         zone = stack[k][1]
                         del stack[k:]
                         break
-            elif tag not in VOID and tag not in ("p", "li", "dt", "dd", "tr", "td", "th") and not m["attrs"].endswith("/"):
+            elif tag not in VOID and not m["attrs"].endswith("/"):
                 stack.append((tag, zone))
                 zone = zone_of(tag, m["attrs"], zone)
     if at < len(page):

@@ -80,6 +80,7 @@ TREE = html_blocks.grow(np.array(html_blocks.LABELLED, dtype=float))
     ("<nav><a href=x>Home</a></nav><article><h1>Title &amp; more</h1><p>One <b>two</b>\n three.<br>four</p><p>Sh is.</article><footer>c</footer>", "Title & more\nOne two three. four\nSh is."),
     ('<article><p>Text.</p><div class="ad">Buy now, it is very cheap today.</div><section class="comments"><p>Nice post, thank you for it.</p></section></article>', "Text."),
     ('<body><div class="cookie-notice">We use cookies on this site to serve you.</div><main><p>Kept.</p><form><p>Your name</p></form></main><aside>Other stories you may like today</aside>', "Kept."),
+    ('<article><header class="entry-header"><h1>Head</h1></header><p class="advert">Buy this now<p>Stays here<p class="comment">I like it</p><ul><li class="share">Tell a friend<li>Point one</ul></article>', "Head\nStays here\nPoint one"),
     ('<script>var t="<p>no</p>";</script><style>p{}</style><!-- <p>no</p> --><article>Plain</article>', "Plain"),
     ("<div>" + "word " * 40 + "</div><ul><li><a>x</a><li><a>y</a></ul>", "word " * 39 + "word"),
     ("<article><p>cut off &am", "cut off &am"), ("<article><p>cut <a hre", "cut"), ("", ""), (None, ""), ("<p></p>", ""),
