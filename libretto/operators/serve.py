@@ -138,6 +138,25 @@ def chapters_of_version(chapters: DataFrame, version_id: str | None = None, size
     return out.orderBy("version_id", "chapter_number", "id").limit(size) if size else out
 
 
+def filter_chapters(chapters: DataFrame, q: str = "", newest_first: bool = False) -> DataFrame:
+    """Chapters whose title or number holds ``q``, in reading order or reversed."""
+    number = F.regexp_replace(F.col("chapter_number").cast("string"), r"\.0$", "")
+    hit = F.lower(F.coalesce("title", F.lit(""))).contains(q.lower()) | number.contains(q)
+    order = F.desc("chapter_number") if newest_first else F.asc("chapter_number")
+    return chapters.where(hit).orderBy(order, "id")
+
+
+def chapters_of_work(t: Tables, key: str, size: int = 5000) -> DataFrame:
+    """Chapters of all versions of a work, by number."""
+    w = by_id_or_slug(t["works"], key).select(F.col("id").alias("work_id"))
+    v = t["versions"].select(F.col("id").alias("version_id"), "work_id").join(w, "work_id", "left_semi")
+    return t["version_chapters"].join(v, "version_id").select("id", "version_id", "chapter_number", chapter_title(), "word_count").orderBy("chapter_number", "id").limit(size)
+
+
+def chapter_title() -> Column:
+    return T.chapter_label(F.col("chapter_number"), F.col("title")).alias("title")
+
+
 def neighbours(chapters: DataFrame, group: str, number: str = "chapter_number") -> DataFrame:
     """(group, number, prev, next): the nearest smaller and larger distinct numbers."""
     order = Window.partitionBy(group).orderBy(number)
