@@ -386,12 +386,22 @@ def chapter_quality(spark, sf_dir):
     return q.select("doc_id", F.col("q.word_count").alias("words"), F.col("q.paragraph_count").alias("paragraphs"), F.col("q.boilerplate_hits").alias("hits"), six("length_score"), six("structure_score"), six("cleanliness_score"), F.col("q.final_score").alias("final_score"))
 
 
-@query("repetition_check")
+@query("repetition_check", f"""
+    with t as (select doc_id, {PARAS} p from documents),
+    pairs as (select doc_id, unnest(p[1 : len(p) - 1]) a, unnest(p[2 : len(p)]) b from t),
+    hits as (select doc_id, bool_or(len(list_filter(range(20, least(length(a), length(b)) + 1), lambda k: right(a, k) = left(b, k))) > 0) h from pairs group by doc_id)
+    select doc_id, coalesce(h, false) has_repetition from documents left join hits using (doc_id)""")
 def repetition_check(spark, sf_dir):
     return doc_paragraphs(spark, sf_dir).select("doc_id", S.repeats(F.col("p")).alias("has_repetition"))
 
 
-@query("reader_paragraphs")
+@query("reader_paragraphs", r"""
+    with t as (
+        select doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, e' \t\r\n')), lambda x: x <> '') ls,
+               string_split(regexp_replace(text, '([.!?])\s+([A-Z"“])', e'\\1\x01\\2', 'g'), e'\x01') ss from documents),
+    p as (select doc_id, case when len(ls) > 1 then ls when len(ss) > 2 then list_transform(range(0, len(ss), 3), lambda k: trim(array_to_string(ss[k + 1 : k + 3], ' ')))
+        when trim(text) = '' then [] else [trim(text)] end p from t)
+    select doc_id, cast(unnest(range(len(p))) as integer) pos, unnest(p) paragraph from p""")
 def reader_paragraphs(spark, sf_dir):
     return raw(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.reader_paragraphs("text")).alias("pos", "paragraph"))
 
