@@ -28,21 +28,19 @@ CONTEXTS = 32
 OCTAVE, CELLS = 8, 320
 COUNTS = np.dtype([("fit", "<u8"), ("held", "<u8")])
 #: Characters of a bucket.
-PER_BUCKET = 8_000_000
+PER_BUCKET = 5_000_000
 
 
 class Tokens:
     """Token hashes of a bucket's documents and the keys it asks for."""
 
     def __init__(self, texts: list[str | None]):
-        cache = WordHash()
-        lists = [_lowered(t).split() for t in texts]
-        self.sizes = np.array([len(w) + 1 for w in lists], dtype=np.int64)
-        ends = np.cumsum(self.sizes)
-        self.starts = ends - self.sizes
-        self.token = np.full(int(ends[-1]) if len(ends) else 0, END, dtype=np.uint64)
-        for w, a in zip(lists, self.starts, strict=True):
-            self.token[a : a + len(w)] = cache.array(w)
+        cache, end = WordHash(), np.array([END], dtype=np.uint64)
+        hashed = [np.concatenate([cache.array(_lowered(t).split()), end]) for t in texts]
+        del cache
+        self.sizes = np.array([len(h) for h in hashed], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.token = np.concatenate([end[:0], *hashed])
         self.context = np.concatenate([[START], self.token[:-1]]).astype(np.uint64)
         self.context[self.starts] = START
         uni, bi = joined(np.full_like(self.token, UNIGRAM), self.token), joined(self.context, self.token)
