@@ -74,7 +74,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     index = build_index(docs, id_col, text_col, terms, term_rows)
     lengths = index.groupBy("term").agg(F.count("*").alias("df"))
     order = Window.partitionBy("win").orderBy("df", "off")
-    known = placed.join(terms, "word").join(lengths, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    known = placed.join(small(terms, term_rows), "word").join(small(lengths, term_rows), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     anchors = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rarest)
     anchors = stored(anchors.select("term", "win", "off", F.least("len", F.lit(rarest)).alias("need")), "anchors")
     shifted = index.join(small(anchors, window_rows * rarest), "term").select("id", "th", "win", "off", "need", (F.col("pos") - F.col("off")).alias("start"))
