@@ -31,11 +31,15 @@ def boilerplate(docs: DataFrame, host: str, text: str, ratio: float = RATIO, few
     hashed = pages.select("host", F.xxhash64("text").alias("page"), "text")
     totals = hashed.groupBy("host", "page").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("total"))
     single = F.explode(F.array_distinct(F.transform(lines_of("text"), lambda s: F.btrim(s, F.lit(EDGES)))))
-    held = hashed.select("host", "page", single.alias("line")).where(F.col("line") != "").distinct()
-    counts = held.groupBy("host", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= fewest)
+    lines = hashed.select("host", "page", single.alias("line")).where(F.col("line") != "").select("host", "page", "line", F.xxhash64("line").alias("h"))
+    # counted by hash, so that no text is shuffled; the few frequent lines get their text in a second look
+    counts = lines.select("host", "page", "h").distinct().groupBy("host", "h").agg(F.count("*").alias("pages")).where(F.col("pages") >= fewest)
     joined = counts.join(totals.withColumnRenamed("host", "site"), F.col("host").eqNullSafe(F.col("site")))
     share = F.col("pages") / F.col("total")
-    return stored(joined.where(share > ratio).select("host", "line", "pages", share.alias("share")), "boilerplate")
+    frequent = stored(joined.where(share > ratio).select(F.col("host").alias("site"), F.col("h").alias("key"), "pages", share.alias("share")), "frequent-lines")
+    side = F.broadcast(frequent) if frequent.count() <= BROADCAST_LINES else frequent
+    found = lines.join(side, F.col("host").eqNullSafe(F.col("site")) & (F.col("h") == F.col("key")))
+    return stored(found.groupBy("host", "line").agg(F.first("pages").alias("pages"), F.first("share").alias("share")), "boilerplate")
 
 
 def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", ratio: float = RATIO, fewest: int = FEWEST, carry: tuple[str, ...] = ()) -> DataFrame:
