@@ -67,6 +67,8 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     window occurs where its words stand in a row; with a larger one also where all
     of its words stand within ``slop`` words of their places.
     """
+    if not 1 <= rarest <= 63:
+        raise ValueError("the anchors of a window are the bits of a long")
     windows, holders = test_windows(items, item_col, item_text_col, window)
     placed = windows.select("win", F.size("words").alias("len"), F.posexplode("words").alias("off", "word"))
     terms = stored(placed.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "terms")
@@ -76,8 +78,8 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     order = Window.partitionBy("win").orderBy("df", "off")
     known = placed.join(small(terms, term_rows), "word").join(small(lengths, term_rows), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     anchors = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rarest)
-    anchors = stored(anchors.select("term", "win", "off", F.least("len", F.lit(rarest)).alias("need")), "anchors")
-    shifted = index.join(small(anchors, window_rows * rarest), "term").select("id", "th", "win", "off", "need", (F.col("pos") - F.col("off")).alias("start"))
+    anchors = stored(anchors.select("term", "win", "off", F.expr("shiftleft(1L, r - 1)").alias("bit"), F.least("len", F.lit(rarest)).alias("need")), "anchors")
+    shifted = index.join(small(anchors, window_rows * rarest), "term").select("id", "th", "win", "off", "bit", "need", (F.col("pos") - F.col("off")).alias("start"))
     if slop:
         bucket = F.floor(F.col("start") / (slop + 1))
         shifted = shifted.withColumn("b", F.explode(F.array(bucket, bucket + 1)))
@@ -85,7 +87,9 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         hits = hits.select("id", "th", "win", "start").distinct()
     else:
         shifted = shifted.where(F.col("start") >= 0)
-        hits = shifted.groupBy("id", "th", "win", "start").agg(F.count("*").alias("n"), F.min("need").alias("need")).where(F.col("n") == F.col("need")).select("id", "th", "win", "start")
+        # one bit per anchor: a row that occurs more than once sets the same bits again
+        met_anchors = F.bit_count(F.bit_or("bit"))
+        hits = shifted.groupBy("id", "th", "win", "start").agg(met_anchors.alias("n"), F.min("need").alias("need")).where(F.col("n") == F.col("need")).select("id", "th", "win", "start")
     phrased = hits.join(small(windows, window_rows), "win")
     by_doc = phrased.groupBy("id", "th").agg(F.collect_set(F.struct("win", "start", "words")).alias("hits"))
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).where(F.length("text") > 0).dropDuplicates(["id", "th"])

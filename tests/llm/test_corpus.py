@@ -167,6 +167,16 @@ def test_contamination_brute(spark):
     assert decontaminate.contamination(docs_of(spark, rows).limit(0), bench).count() == 0
 
 
+def test_contamination_of_repeated_rows(spark):
+    items = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"), (2, "single")]
+    dirty, clean = f"x y {items[0][1]} z", "nothing of that kind stands in here"
+    rows = [(1, dirty, "s"), (1, dirty, "s"), (1, dirty, "s"), (2, "a single word", "s"), (2, "a single word", "s"), (None, dirty, "s"), (None, dirty, "s"), (3, clean, "s"), (3, clean, "s")]
+    docs, bench = docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(docs, bench).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got) == brute_hits(rows, items)
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).orderBy("doc_id").collect()] == [2, 2, 3, 3]
+
+
 def test_proximity(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     rows = [(1, "x alpha beta gamma delta y", "s"), (2, "alpha new beta gamma delta", "s"), (3, "alpha x x x x x beta gamma delta", "s"), (4, "delta gamma", "s")]
