@@ -33,7 +33,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate class."""
+    """Keeps the document with the smallest id of each near-duplicate class; one without an id where none has one."""
     return simhash.keep_one(docs.select(*COLUMNS))
 
 
@@ -45,9 +45,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds how many copies the mix takes of each document, and their words; documents it does not take go."""
-    rows = docs.select(*COLUMNS)
-    found = mixing.mix(rows).where(F.col("copies") > 0).select(F.col("doc_id").alias("mixed_id"), "copies", "taken")
-    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("mixed_id"))).select(*COLUMNS, "copies", "taken")
+    # rows are told apart by a stored number: ids may repeat or be null, and of the same rows any may stand for another
+    rows = stored(docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("hash"), F.monotonically_increasing_id().alias("row")), "rows")
+    found = mixing.mix(rows, carry=("hash", "row")).where(F.col("copies") > 0).select(F.col("row").alias("mixed"), "copies", "taken")
+    return rows.join(found, F.col("row") == F.col("mixed")).select(*COLUMNS, "copies", "taken")
 
 
 STAGES = [

@@ -65,9 +65,9 @@ def _coin(*parts) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") * (2.0**-53)
 
 
-def _fold(items: Column, level: int, seed: int) -> Column:
+def _fold(items: Column, level: int, seed: int, carried: str) -> Column:
     """Fold a block: ``out`` has the decided items (with ``extra`` 0 or 1), ``rest`` the one left over, if any."""
-    kind = "struct<size:long,h:long,doc_id:long,mass:double,base:long,source_size:long,target:double>"
+    kind = f"struct<size:long,h:long,doc_id:long,mass:double,base:long,source_size:long,target:double{carried}>"
     start = F.struct(F.lit(None).cast(kind).alias("rest"), F.array().cast(f"array<struct<item:{kind},extra:long>>").alias("out"))
 
     def meet(acc: Column, x: Column) -> Column:
@@ -92,17 +92,20 @@ def _fold(items: Column, level: int, seed: int) -> Column:
     return F.aggregate(items, start, meet)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
-    """(id, size, source_size, target, copies, taken): one row per document.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, size, source_size, target, copies, taken) and the columns of ``carry``: one row per document.
 
     ``taken`` = copies * size; a source's taken words differ from its target by less
     than its largest document, and no document has more than ``most`` copies. Null
     text has size 0 and takes nothing; null is a source of its own, last in order;
-    rows that repeat an id are documents of their own; other columns are ignored; an
+    rows that repeat an id are documents of their own, ordered by ``carry`` where id
+    and size are the same; other columns are ignored; an
     empty table gives an empty result. Every draw is a hash of ids and sizes, so
     reruns agree.
     """
-    sized = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size")), "sized")
+    sized = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), *carry), "sized")
+    carried = "".join(f",{c}:{sized.schema[c].dataType.simpleString()}" for c in carry)
+    of_item = [f"item.{c}" for c in carry]
     targets = source_targets(sized, weights, most)
     sources = targets.agg(F.count("*").alias("n"), F.max("n_docs").alias("most")).first()
     small = targets.select(F.col("source").alias("name"), "source_size", "n_docs", "target")
@@ -111,11 +114,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(ratio + 1e-12)
     rows = sized.join(small, F.col("source").eqNullSafe(F.col("name"))).select(
-        "doc_id", "source", "size", "source_size", "n_docs", "target", base.alias("base"), F.greatest(ratio - base, F.lit(0.0)).alias("part")
+        "doc_id", "source", "size", "source_size", "n_docs", "target", base.alias("base"), F.greatest(ratio - base, F.lit(0.0)).alias("part"), *carry
     )
     whole = (F.col("part") == 0) | (F.col("size") == 0)
-    plain = rows.where(whole).select("doc_id", "size", "source_size", "target", F.col("base").alias("copies"))
-    item = F.struct("size", F.xxhash64("doc_id", "size", F.lit(seed)).alias("h"), "doc_id", F.col("mass").cast("double").alias("mass"), "base", "source_size", "target")
+    plain = rows.where(whole).select("doc_id", "size", "source_size", "target", F.col("base").alias("copies"), *carry)
+    item = F.struct("size", F.xxhash64("doc_id", "size", F.lit(seed)).alias("h"), "doc_id", F.col("mass").cast("double").alias("mass"), "base", "source_size", "target", *carry)
     level, blocks = 0, -(-(sources["most"] or 0) // BLOCK)
     left = rows.where(~whole).withColumn("mass", F.col("part") * F.col("size")).select("source", F.col("n_docs").alias("n"), item.alias("item"))
     done = [plain]
@@ -124,16 +127,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         count = F.ceil(F.col("n") / BLOCK)
         block = F.pmod(F.xxhash64("item.h", F.lit(level)), count)
         groups = left.groupBy("source", block.alias("block")).agg(F.first(count).alias("n"), F.array_sort(F.collect_list("item")).alias("items"))
-        folded = stored(groups.select("source", "n", _fold(F.col("items"), level, seed).alias("f")), f"fold{level}")
+        folded = stored(groups.select("source", "n", _fold(F.col("items"), level, seed, carried).alias("f")), f"fold{level}")
         decided = folded.select(F.inline("f.out"))
-        done.append(decided.select("item.doc_id", "item.size", "item.source_size", "item.target", (F.col("item.base") + F.col("extra")).alias("copies")))
+        done.append(decided.select("item.doc_id", "item.size", "item.source_size", "item.target", (F.col("item.base") + F.col("extra")).alias("copies"), *of_item))
         left = folded.where(F.col("f.rest").isNotNull()).select("source", "n", F.col("f.rest").alias("item"))
         if blocks <= 1:
             break
         level, blocks = level + 1, -(-blocks // BLOCK)
     last = F.when(_coin("item.doc_id", "item.size", F.lit(-1), F.lit(seed)) * F.col("item.size") < F.col("item.mass"), 1).otherwise(0)
-    done.append(left.select("item.doc_id", "item.size", "item.source_size", "item.target", (F.col("item.base") + last).alias("copies")))
+    done.append(left.select("item.doc_id", "item.size", "item.source_size", "item.target", (F.col("item.base") + last).alias("copies"), *of_item))
     out = done[0]
     for more in done[1:]:
         out = out.unionAll(more)
-    return out.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return out.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), *carry)

@@ -51,17 +51,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint of each row as a signed long."""
+    """(id, th, fp): the hash of each row's text and its fingerprint as a signed long."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            return {"id": batch.column(0), "fp": found.view(np.int64)}
+            found = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], dtype=np.uint64)
+            return {"id": batch.column(0), "th": batch.column(1), "fp": found.view(np.int64)}
 
         return work
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, "id long, fp long", make)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
+    return map_arrow(rows, "id long, th long, fp long", make)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -214,6 +214,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", "root")
 
 
+def class_heads(found: DataFrame, limit: int) -> DataFrame:
+    """(fp, first, head): first row (nameless, id, th) of each distinct fingerprint and of its class: the smallest id, null last, then text hash."""
+    row = F.struct(F.col("id").isNull().alias("nameless"), "id", "th")
+    distinct = stored(found.groupBy("fp").agg(F.min(row).alias("first")), "distinct")
+    linked = components(links(distinct.select("fp"), limit))
+    members = linked.join(distinct, linked["node"] == distinct["fp"]).select("fp", "root", "first")
+    heads = members.groupBy("root").agg(F.min("first").alias("head"))
+    class_of = members.join(heads, "root").select("fp", "head")
+    return distinct.join(class_of, "fp", "left").select("fp", "first", F.coalesce("head", "first").alias("head"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 3) -> DataFrame:
     """(id, fp, component_id): the class of each row, named by the smallest id reachable from it.
 
@@ -224,12 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty result. Copies share a fingerprint and are never paired with each other.
     """
     found = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = stored(found.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    linked = components(links(distinct.select("fp"), limit))
-    members = linked.join(distinct, linked["node"] == distinct["fp"]).select("fp", "root", "first")
-    named = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    class_of = members.join(named, "root").select("fp", "component_id")
-    every = distinct.join(class_of, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    every = class_heads(found, limit).select("fp", F.col("head.id").alias("component_id"))
     return found.join(every, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
@@ -238,6 +244,9 @@ def hex_of(fp: str) -> Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 3) -> DataFrame:
-    """``docs`` with one row of each near-duplicate class: the one that names it; of repeated rows, one."""
-    kept = near_duplicates(docs, id_col, text_col, shingle, limit).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates([id_col])
+    """``docs`` with one row of each near-duplicate class: the one with the smallest id, null last, then text hash; of repeated rows, one."""
+    found = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    kept = class_heads(found, limit).where(F.col("first") == F.col("head")).select(F.col("head.id").alias("__id"), F.col("head.th").alias("__th"))
+    hashed = docs.withColumn("__hash", F.xxhash64(text_col))
+    one = hashed.join(kept, hashed[id_col].eqNullSafe(kept["__id"]) & (hashed["__hash"] == kept["__th"]), "left_semi")
+    return one.dropDuplicates([id_col, "__hash"]).drop("__hash")

@@ -306,6 +306,24 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keep_one_without_usable_ids(spark):
+    texts = ["red fox runs over hills", "blue whale sings below waves", "green tree stands near rivers", "old clock ticks behind doors"]
+    rows = [(None, t, "s") for t in texts] + [(None, texts[0], "s"), (4, texts[1], "s"), (5, "iron bridge spans wide valley", "s"), (5, "quiet monk copies ancient books", "s")]
+    got = Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(docs_of(spark, rows)).collect())
+    assert got == Counter([(None, texts[0]), (4, texts[1]), (None, texts[2]), (None, texts[3]), rows[6][:2], rows[7][:2]])
+
+
+def test_mixing_stage_keeps_rows_of_one_id_apart(spark, sf):
+    import corpus_pipeline as p
+
+    rows = [(k % 3 or None, f"{'w ' * (1 + k % 4)}t{k // 2}", "ab"[k % 2]) for k in range(40)] + [(1, "same text", "a")] * 5
+    docs = docs_of(spark, rows)
+    got = p.mixing_stage(spark, docs, sf).collect()
+    held = Counter((r["doc_id"], r["text"], r["source"]) for r in got)
+    assert all(n <= Counter(rows)[k] for k, n in held.items())
+    assert all(r["taken"] == r["copies"] * len(r["text"].split()) for r in got)
+
+
 # -- oracles and pipeline -----------------------------------------------------------
 
 
