@@ -428,7 +428,8 @@ def title_normalise(spark, sf_dir):
 
 @query("slugify", "select doc_id, trim(regexp_replace(translate(replace(lower(left(text, 40)), 'ß', 'ss'), '" + T.ACCENTED + "', '" + T.PLAIN + "'), '[^a-z0-9]+', '-', 'g'), '-') slug from documents")
 def slugify(spark, sf_dir):
-    return raw(spark, sf_dir, "documents").select("doc_id", T.slugify(F.left("text", F.lit(40))).alias("slug"))
+    """The whole text; the SQL knows only its first 40 characters."""
+    return raw(spark, sf_dir, "documents").select("doc_id", T.slugify("text").alias("slug"))
 
 
 @query("version_slug_label", """

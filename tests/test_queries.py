@@ -1,6 +1,8 @@
 """Every registered query runs, and agrees with its SQL oracle where it has one."""
 
 import datetime
+import hashlib
+import re
 from collections import Counter
 
 import duckdb
@@ -8,6 +10,7 @@ import pytest
 
 from libretto import queries
 from libretto.fixtures import TABLES
+from libretto.functions import scores, text
 
 
 def plain(v):
@@ -38,6 +41,27 @@ def test_query(spark, sf, duck, name):
     assert Counter(tuple(plain(r[c]) for c in names) for r in rows) == Counter(tuple(map(plain, r)) for r in want.fetchall())
 
 
+LARGER = "/root/testdata/sf0.01"
+
+
+def texts_of(spark, sf):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def lines_of(t):
+    return [x for x in (line.strip() for line in t.split("\n")) if x]
+
+
+def test_slugify_whole_text(spark):
+    def slug(t):
+        t = t.lower().translate(str.maketrans(text.ACCENTED, text.PLAIN)).replace("ß", "ss").replace("æ", "ae").replace("œ", "oe")
+        return re.sub(r"[^a-z0-9]+", "-", re.sub(r"(?<=[0-9]),(?=[0-9])", "", t)).strip("-")
+
+    docs = texts_of(spark, LARGER)
+    got = {r["doc_id"]: r["slug"] or "" for r in queries.QUERIES["slugify"](spark, LARGER).collect()}
+    assert got == {i: slug(t) for i, t in docs.items()} and max(map(len, got.values())) > 40
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
