@@ -336,8 +336,8 @@ def boilerplate_filter(spark, sf_dir):
     with t as (select doc_id, list_filter({PARAS}, lambda p: {WORDS.format("p")} < 500 and {WORDS.format("p")} >= 3) p from documents)
     select doc_id, cast(len(p) as integer) n, md5(array_to_string(p, '|')) digest from t""")
 def paragraph_fix(spark, sf_dir):
-    """Without blobs, which ``blob_split`` covers."""
-    p = doc_paragraphs(spark, sf_dir).select("doc_id", T.fix_paragraphs(F.filter("p", lambda x: T.word_count(x) < T.BLOB_WORDS)).alias("p"))
+    """Blobs are split; the SQL knows only the paragraphs that are none."""
+    p = doc_paragraphs(spark, sf_dir).select("doc_id", T.fix_paragraphs(F.col("p")).alias("p"))
     return p.select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", "|")).alias("digest"))
 
 

@@ -62,6 +62,30 @@ def test_slugify_whole_text(spark):
     assert got == {i: slug(t) for i, t in docs.items()} and max(map(len, got.values())) > 40
 
 
+def test_paragraph_fix_with_blobs(spark, tmp_path):
+    def groups(p):
+        done = []
+        for s in (s.strip() for s in re.split(r"(?<=[.!?…])\s+|(?<=[.!?…][\"'])\s+", p)):
+            if s and done and len(f"{done[-1]} {s}".split()) <= 200:
+                done[-1] += f" {s}"
+            elif s:
+                done.append(s)
+        return done
+
+    blob = " ".join(f"Sentence {k} has {'very ' * (k % 90)}many words." for k in range(100))
+    rows = [(1, f"First line of three.\n{blob}\nToo short\n{'word ' * 600}"), (2, "Only one short line here.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for sf in (LARGER, str(tmp_path)):
+        want, blobs = {}, 0
+        for i, t in texts_of(spark, sf).items():
+            blobs += any(len(p.split()) >= 500 for p in lines_of(t))
+            p = [x for y in lines_of(t) for x in (groups(y) if len(y.split()) >= 500 else [y]) if len(x.split()) >= 3]
+            want[i] = len(p), hashlib.md5("|".join(p).encode()).hexdigest()
+        got = {r["doc_id"]: (r["n"], r["digest"]) for r in queries.QUERIES["paragraph_fix"](spark, sf).collect()}
+        assert got == want and blobs
+    assert got[1][0] > 10
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
