@@ -379,9 +379,9 @@ QUALITY = f"""
 
 @query("chapter_quality", QUALITY)
 def chapter_quality(spark, sf_dir):
-    """Repetition, whose pattern needs a back-reference, has a query of its own."""
+    """With the deduction for repetition, which the SQL leaves out."""
     p = doc_paragraphs(spark, sf_dir).withColumn("w", T.total_words(F.col("p")))
-    q = p.select("doc_id", S.chapter_quality(F.col("p"), F.col("w"), F.lit(False)).alias("q"))
+    q = p.select("doc_id", S.chapter_quality(F.col("p"), F.col("w")).alias("q"))
     six = lambda c: F.round(F.col(f"q.{c}"), 6).alias(c)
     return q.select("doc_id", F.col("q.word_count").alias("words"), F.col("q.paragraph_count").alias("paragraphs"), F.col("q.boilerplate_hits").alias("hits"), six("length_score"), six("structure_score"), six("cleanliness_score"), F.col("q.final_score").alias("final_score"))
 

@@ -86,6 +86,18 @@ def test_paragraph_fix_with_blobs(spark, tmp_path):
     assert got[1][0] > 10
 
 
+def test_chapter_quality_counts_repetition(spark):
+    docs = {i: lines_of(t) for i, t in texts_of(spark, LARGER).items()}
+    again = {i: any(a[-k:] == b[:k] for a, b in zip(p, p[1:]) for k in range(20, min(len(a), len(b)) + 1)) for i, p in docs.items()}  # noqa: B905
+    rows = queries.QUERIES["chapter_quality"](spark, LARGER).collect()
+    for r in rows:
+        hits = len(re.findall(scores.HINTS, "\n".join(docs[r["doc_id"]])))
+        clean = max(0.0, 1 - min(hits * 0.1, 0.4) - 0.2 * again[r["doc_id"]])
+        assert r["cleanliness_score"] == pytest.approx(clean, abs=1e-6)
+        assert r["final_score"] == pytest.approx(0.35 * r["length_score"] + 0.35 * r["structure_score"] + 0.3 * clean, abs=6e-5)
+    assert len(rows) == len(docs) and any(again.values())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
