@@ -118,15 +118,17 @@ DIGITS = {
 NAMED = "|".join(sorted(DIGITS, key=len, reverse=True))
 DOT_NAMES = "dot|punkt|point|punto"
 OPEN, SHUT = r"[\[({<]", r"[\])}>]"
-DOT = rf"(?:\s*{OPEN}\s*(?:{DOT_NAMES}|\.)\s*{SHUT}\s*|\s+(?:{DOT_NAMES})\s+|_(?:{DOT_NAMES})_|\s\.\s|&#46;|&period;)"
+#: White space before a disguise is read from its first character on, and never given back: a long run of it costs its length, once.
+GAP, LEAD = r"\s*+", r"(?<!\s)\s++"
+DOT = rf"(?:(?:{LEAD})?{OPEN}{GAP}(?:{DOT_NAMES}|\.){GAP}{SHUT}{GAP}|{LEAD}(?:{DOT_NAMES})\s++|_(?:{DOT_NAMES})_|\s\.\s|&#46;|&period;)"
 AT_NAMES = "at|arobase|arroba|ät"
-AT_SURE = rf"(?:\s*{OPEN}\s*(?:{AT_NAMES}|@)\s*{SHUT}\s*|\s+@\s*|(?<=\S)@\s+|&#64;|&commat;)"
-AT_BARE = rf"(?:\s+(?:{AT_NAMES})\s+|_(?:{AT_NAMES})_)"
+AT_SURE = rf"(?:(?:{LEAD})?{OPEN}{GAP}(?:{AT_NAMES}|@){GAP}{SHUT}{GAP}|{LEAD}@{GAP}|(?<=\S)@\s++|&#64;|&commat;)"
+AT_BARE = rf"(?:{LEAD}(?:{AT_NAMES})\s++|_(?:{AT_NAMES})_)"
 LABEL = r"[A-Za-z0-9][A-Za-z0-9-]*+"
 
 #: A run of spelled or written digits, with the separators between them.
 ONE = rf"(?:\b(?:{NAMED})\b|[0-9]++)"
-RUN = re.compile(rf"(?:\b(?:plus)\b\s*|\+\s*)?{ONE}(?:(?:[ \t,-]{{1,3}}|{DOT}|\.)?{ONE})+", re.I)
+RUN = re.compile(rf"(?:\b(?:plus)\b{GAP}|\+{GAP})?{ONE}(?:(?:[ \t,-]{{1,3}}|{DOT}|\.)?{ONE})+", re.I)
 PIECE = re.compile(rf"(?P<plus>\bplus\b\s*)|\b(?P<name>{NAMED})\b|(?P<dot>{DOT})|(?P<rest>[0-9]+|[ \t,-]+|.)", re.I | re.S)
 DIGIT_NEAR = frozenset(DOT_NAMES.split("|"))
 BRACKETED_DOT = re.compile(rf"[0-9]{DOT}[0-9]", re.I)
@@ -157,8 +159,7 @@ ADDRESS = re.compile(
     re.I,
 )
 DOTS = re.compile(DOT, re.I)
-LEFT_DOTS = re.compile(rf"([A-Za-z0-9_%+-]+)({DOT})\Z", re.I)
-HINTED = re.compile(rf"\b(?:{DOT_NAMES})\b|[\[({{<]\s*(?:{AT_NAMES}|@|\.)\s*[\])}}>]|\s@|@\s|_(?:{DOT_NAMES})_|&#64;|&#46;|&commat;|&period;|@\S*\s\.\s", re.I)
+HINTED = re.compile(rf"\b(?:{DOT_NAMES})\b|[\[({{<]{GAP}(?:{AT_NAMES}|@|\.){GAP}[\])}}>]|\s@|@\s|_(?:{DOT_NAMES})_|&#64;|&#46;|&commat;|&period;|@[^\s@]*+\s\.\s", re.I)
 
 #: One of these is in every text that HINTED matches.
 CHEAP_HINTS = (*DOT_NAMES.split("|"), "&#", "&c", "&p", " . ", "[", "(", "{", "<", " @", "@ ", "@\n", "\n@", "\t@", "@\t")
@@ -255,32 +256,44 @@ def spelled_digits(text: str) -> list[Edit]:
     return edits
 
 
+def local_start(text: str, end: int, floor: int) -> int:
+    """Where the run of local-part characters that ends at ``end`` begins, not before ``floor``."""
+    while end > floor and text[end - 1] in LOCAL_CHARS:
+        end -= 1
+    return end
+
+
 def at_dots(text: str) -> list[Edit]:
+    """Disguised at signs and dots of addresses, left to right: what one match has read, none after it reads again."""
     lower = text.lower()
     if not any(x in lower for x in CHEAP_HINTS) or not HINTED.search(text):
         return []
     edits: list[Edit] = []
+    dots: dict[int, int] | None = None
+    floor = 0
     for m in ADDRESS.finditer(text):
         group, dom = ("sure", "d1") if m["sure"] else ("bare", "d2") if m["bare"] else ("plain", "d3")
-        start, floor = m.start(), edits[-1][1] if edits else 0
-        while start > floor and text[start - 1] in LOCAL_CHARS:
-            start -= 1
-        if start == m.start() or m["bare"] and re.split(r"[^a-z]", m["d2"].lower(), maxsplit=1)[0] in NO_HOST:
+        start, low = local_start(text, m.start(), floor), floor
+        floor = m.start(dom)
+        if start == m.start() or m["bare"] and re.match(r"[a-z0-9-]*", m["d2"].lower())[0] in NO_HOST:
             continue
+        if dots is None:
+            dots = {d.end(): d.start() for d in DOTS.finditer(text)}
         left: list[Edit] = []
-        while d := LEFT_DOTS.search(text, max(floor, start - 80), start):
-            left.append((*d.span(2), "."))
-            start = d.start(1)
+        while (dot := dots.get(start, -1)) > low and (before := local_start(text, dot, low)) < dot:
+            left.append((dot, start, "."))
+            start = before
         edits += reversed(left)
         if group != "plain":
             edits.append((*m.span(group), "@"))
         edits += [(*d.span(), ".") for d in DOTS.finditer(text, m.start(dom), m.end(dom))]
+        floor = m.end()
     return edits
 
 
 #: Letters read as digits inside a number, and runs of digits in which they may stand.
 LETTER_DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1", "|": "1"}
-NUMBER = r"(?<![A-Za-z0-9])[0-9OolI|]*[0-9][0-9OolI|]*(?![A-Za-z0-9])"
+NUMBER = r"(?<![A-Za-z0-9|])(?=[OolI|]*+[0-9])[0-9OolI|]++(?![A-Za-z0-9])"
 NUMBERS = re.compile(rf"\+?[(]?{NUMBER}(?:[ ().-]{{1,2}}{NUMBER}|\.[OolI|]{{1,3}}(?=\.))*")
 MIXED = re.compile(r"[0-9](?:(?=[OolI|])|(?<=[OolI|][0-9]))")
 
@@ -326,8 +339,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Spans are ``kind:start:end`` in code points of the source, end exclusive, by
     kind and start. Map-only. A null or empty text has no spans; null ids pass
-    through; repeated rows give repeated rows; other columns are ignored. Every
-    pattern is linear in the text, so very long texts are taken whole.
+    through; repeated rows give repeated rows; other columns are ignored; an empty
+    table gives an empty result. Every pattern is linear in the text, so very long
+    texts are taken whole.
     """
 
     def make():
