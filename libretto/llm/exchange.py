@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import dealt_out, forget, stored
+
 #: Characters of text that a bucket holds on average.
 BUCKET_CHARS = 4_000_000
 
@@ -29,8 +31,18 @@ def n_buckets(chars: int, per: int = BUCKET_CHARS) -> int:
     return max(1, -(-chars // per))
 
 
-def bucket_of(doc_id: str, n: int) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(n)).cast("int")
+def dealt(rows: DataFrame, text: str, bucket: Callable[[Column, int], Column], per: int = BUCKET_CHARS) -> tuple[DataFrame, int]:
+    """``rows`` as a stored table bucketed by ``bucket(row, n)``, and n, the number of buckets that ``per`` asks for.
+
+    ``row`` is a stored number of the row: rows that repeat an id or are the same
+    throughout spread over the buckets like any others. The texts are shuffled once,
+    here; every later round finds its bucket's rows in place.
+    """
+    numbered = stored(rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__chars", F.length(text)), "numbered")
+    n = n_buckets(int(numbered.agg(F.sum("__chars")).first()[0] or 0), per)
+    out = dealt_out(numbered.withColumn("bucket", bucket(F.xxhash64("__row"), n).cast("int")).drop("__row", "__chars"), "bucket", n, "dealt")
+    forget(numbered)
+    return out, n
 
 
 def scramble(x: np.ndarray) -> np.ndarray:

@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, total_chars
-from .exchange import REQUEST, WordHash, aligned, answered, bucket_of, joined, n_buckets, packed
+from .common import stored
+from .exchange import REQUEST, WordHash, aligned, answered, dealt, joined, packed
 
 #: Order of a null id: after all others.
 LAST = 2**63 - 1
@@ -45,7 +45,8 @@ class Words:
             half = length // 2
             a, b = self.windows(half), self.windows(length - half)
             shifted = np.zeros_like(b)
-            shifted[: len(b) - half] = b[half:] if half <= len(b) else NONE
+            if len(b) > half:
+                shifted[:-half] = b[half:]
             self.hashes[length] = joined(a, shifted)
         return self.hashes[length]
 
@@ -76,7 +77,7 @@ def survivors(words: Words, levels: list[int], replies: pd.DataFrame) -> np.ndar
         longer = levels[k + 1]
         shift = longer - length
         alive = np.zeros_like(repeated)
-        alive[: len(repeated) - shift] = repeated[: len(repeated) - shift] & repeated[shift:]
+        alive[:-shift] = repeated[:-shift] & repeated[shift:]
         alive &= words.whole(longer)
     return alive
 
@@ -95,14 +96,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     space; ``runs`` lists the removed word positions as start, end, start, end, ...
     A null or empty text has no words; a null id counts as larger than all others;
     rows that repeat an id do not remove each other's words; other columns are
-    ignored; an empty table gives an empty result. Windows are compared by 64-bit
-    hashes of whole words.
+    ignored; an empty table gives an empty result. A text is handled whole in one
+    bucket, so a task needs memory for its longest text. Windows are compared by
+    64-bit hashes of whole words.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    chars = total_chars(docs, text_col)
-    n = n_buckets(chars)
+    texts, n = dealt(rows, "text", lambda row, n: F.pmod(row, F.lit(n)))
     levels = lengths(window, min(first, window))
-    dealt = rows.withColumn("bucket", bucket_of("id", n))
     spark = docs.sparkSession
     replies = spark.createDataFrame([], "bucket int, part int, vals binary, level int")
 
@@ -115,8 +115,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             words = Words(rows)
             index = np.flatnonzero(survivors(words, levels[: upto + 1], heard))
             keys, where = np.unique(words.windows(levels[upto])[index], return_inverse=True)
-            owner_id = words.ids[words.doc[index]]
-            low = smallest(where, owner_id, len(keys))
+            low = smallest(where, words.ids[words.doc[index]], len(keys))
             if last:
                 vals = low
             else:
@@ -131,14 +130,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         return run
 
-    for k in range(len(levels)):
-        final = k == len(levels) - 1
-        requests = dealt.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(asking(k), REQUEST)
-        if final:
-            got = answered(requests, np.int64, lambda keys, index, heads, vals: (smallest(index, vals, len(keys)), None))
-        else:
-            got = answered(requests, np.uint8, lambda keys, index, heads, vals: ((np.bincount(index, vals, len(keys)) > 1).astype(np.uint8), None))
-        replies = replies.unionAll(stored(got.drop("stat"), f"level{levels[k]}").withColumn("level", F.lit(k)))
+    def tally(keys: np.ndarray, index: np.ndarray, heads: np.ndarray, vals: np.ndarray):
+        again = np.bincount(index, vals, len(keys)) > 1
+        return again.astype(np.uint8), [int(again.sum())]
+
+    for k in range(len(levels) - 1):
+        requests = texts.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(asking(k), REQUEST)
+        got = stored(answered(requests, np.uint8, tally), f"level{levels[k]}")
+        replies = replies.unionAll(got.where("bucket >= 0").drop("stat").withColumn("level", F.lit(k)))
+        if not got.where("bucket < 0").agg(F.sum(F.col("stat")[0])).first()[0]:
+            break  # no candidate survives, so none does at any greater length
+    else:
+        requests = texts.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(asking(len(levels) - 1), REQUEST)
+        got = stored(answered(requests, np.int64, lambda keys, index, heads, vals: (smallest(index, vals, len(keys)), None)), f"level{window}")
+        replies = replies.unionAll(got.drop("stat").withColumn("level", F.lit(len(levels) - 1)))
 
     def drop(rows: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
         out: dict = {"id": rows["id"], "n_words": [], "n_removed": [], "kept_sha256": [], "runs": []}
@@ -164,4 +169,4 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pd.DataFrame(out).astype({"id": "Int64"})
 
     schema = "id long, n_words long, n_removed long, kept_sha256 string, runs array<long>"
-    return dealt.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(drop, schema).withColumnRenamed("id", id_col)
+    return texts.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(drop, schema).withColumnRenamed("id", id_col)

@@ -129,6 +129,39 @@ def test_passages_empty(spark):
     assert substring_dedup.repeated_passages(docs_of(spark, [(1, "a", "s")]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(1,), (5,), (7, 3), (10,), (11,), (24,), (25,), (26, 49), (50,), (51, 9), (60, 60)])
+def test_passages_of_few_words(spark, sizes):
+    rows = [(k, " ".join(f"w{j}" for j in range(n)), "s") for k, n in enumerate(sizes)]
+    got = substring_dedup.repeated_passages(docs_of(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_passages(rows, 50)
+
+
+def test_windows_shorter_than_half():
+    import pandas as pd
+
+    for n in range(60):
+        words = substring_dedup.Words(pd.DataFrame({"id": [1], "text": ["w " * n]}))
+        assert len(words.windows(50)) == n and words.whole(50).sum() == max(0, n - 49)
+
+
+def test_passages_of_a_crowd_of_one_row(spark):
+    """A third of all rows is one row, another third has one id: they spread over the buckets and keep their words."""
+    text = " ".join(f"w{j}" for j in range(60))
+    rows = [(7, text, "s")] * 40 + [(8, f"{text} {k}", "s") for k in range(40)] + [(k, f"x{k} " * 70, "s") for k in range(100, 140)]
+    docs = docs_of(spark, rows)
+    got = substring_dedup.repeated_passages(docs).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_passages(rows, 50)
+    dealt, n = exchange.dealt(docs.select("doc_id", "text"), "text", lambda row, n: row % n, per=400)
+    sizes = [r["count"] for r in dealt.where("doc_id = 7").groupBy("bucket").count().collect()]
+    assert n > 20 and max(sizes) <= 8 and sum(sizes) == 40
+
+
+def test_dealt_table_needs_no_second_shuffle(spark):
+    dealt, _ = exchange.dealt(docs_of(spark, [(k, "a b c", "s") for k in range(50)]).select("doc_id", "text"), "text", lambda row, n: row % n, per=20)
+    plan = dealt.groupBy("bucket").applyInPandas(lambda p: p[["doc_id"]], "doc_id long")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 # -- op5 --------------------------------------------------------------------------
 
 
