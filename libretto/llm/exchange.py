@@ -31,18 +31,25 @@ def n_buckets(chars: int, per: int = BUCKET_CHARS) -> int:
     return max(1, -(-chars // per))
 
 
-def dealt(rows: DataFrame, text: str, bucket: Callable[[Column, int], Column], per: int = BUCKET_CHARS) -> tuple[DataFrame, int]:
-    """``rows`` as a stored table bucketed by ``bucket(row, n)``, and n, the number of buckets that ``per`` asks for.
+def dealt(rows: DataFrame, text: str, per: int = BUCKET_CHARS, kind: Column | None = None) -> tuple[DataFrame, dict[int, range]]:
+    """``rows`` as a stored table with a ``bucket`` each, bucketed by it; and the buckets of each ``kind`` (one kind, 0, by default).
 
-    ``row`` is a stored number of the row: rows that repeat an id or are the same
-    throughout spread over the buckets like any others. The texts are shuffled once,
-    here; every later round finds its bucket's rows in place.
+    A bucket holds about ``per`` characters of rows of one kind. It is drawn from a
+    stored number of the row: rows that repeat an id, have none or are the same
+    throughout spread like any others. The texts are shuffled once, here; every
+    later round finds its bucket's rows in place.
     """
-    numbered = stored(rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__chars", F.length(text)), "numbered")
-    n = n_buckets(int(numbered.agg(F.sum("__chars")).first()[0] or 0), per)
-    out = dealt_out(numbered.withColumn("bucket", bucket(F.xxhash64("__row"), n).cast("int")).drop("__row", "__chars"), "bucket", n, "dealt")
+    extra = {"__row": F.monotonically_increasing_id(), "__chars": F.length(text), "__kind": F.lit(0) if kind is None else kind}
+    numbered = stored(rows.withColumns(extra), "numbered")
+    at, buckets, place = 0, {}, F.lit(0)
+    for r in sorted(numbered.groupBy("__kind").agg(F.sum("__chars").alias("chars")).collect(), key=lambda r: r["__kind"]):
+        n = n_buckets(int(r["chars"] or 0), per)
+        buckets[r["__kind"]] = range(at, at + n)
+        place = F.when(F.col("__kind") == r["__kind"], at + F.pmod(F.xxhash64("__row"), F.lit(n))).otherwise(place)
+        at += n
+    out = dealt_out(numbered.withColumn("bucket", place.cast("int")).drop(*extra), "bucket", max(1, at), "dealt")
     forget(numbered)
-    return out, n
+    return out, buckets
 
 
 def scramble(x: np.ndarray) -> np.ndarray:

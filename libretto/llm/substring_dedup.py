@@ -101,7 +101,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     64-bit hashes of whole words.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts, n = dealt(rows, "text", lambda row, n: F.pmod(row, F.lit(n)))
+    texts, buckets = dealt(rows, "text")
+    n = max(1, sum(map(len, buckets.values())))
     levels = lengths(window, min(first, window))
     spark = docs.sparkSession
     replies = spark.createDataFrame([], "bucket int, part int, vals binary, level int")

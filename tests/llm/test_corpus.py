@@ -61,9 +61,78 @@ def test_no_training_rows(spark):
 
 
 def test_weights_follow_the_likelier_part():
-    cells = np.array([[3, 90, 0.5, 0.01, 0.001], [3, 10, 0.0, 0.01, 0.001]])
-    lam = ngram_lm.learn_weights(cells)
-    assert lam[3, 0] > 0.8 and np.allclose(lam.sum(axis=1), 1) and lam[0, 0] == 0
+    lam = ngram_lm.expectation_maximisation(np.array([90.0, 10.0]), np.array([[0.5, 0.01, 0.001], [0.0, 0.01, 0.001]]))
+    assert lam[0] > 0.8 and np.isclose(lam.sum(), 1)
+    table = ngram_lm.weight_table({5: lam}, 2)
+    assert table.shape == (ngram_lm.CONTEXTS, 3) and np.allclose(table.sum(axis=1), 1) and table[0, 0] == 0 and np.allclose(table[5], lam, atol=1e-5)
+    third = ngram_lm.weight_table({}, 3)
+    assert (third[: ngram_lm.CONTEXTS, 0] == 0).all() and (third[ngram_lm.CONTEXTS :] > 0).all() and third[0, 1] == 0
+
+
+def brute_interpolation(rows, order, weights=None):
+    """(score per row, weights) with dictionaries of n-grams and EM over single held-out tokens, if weights are not given."""
+    fold = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 7
+    texts = [(fold(i), (t or "").encode().lower().split() + [b"\0end"]) for i, t, _ in rows]
+
+    def tables(keep):
+        grams, contexts = Counter(), Counter()
+        for f, w in texts:
+            if keep(f):
+                padded = [b"\0s"] * (order - 1) + w
+                for k in range(len(w)):
+                    for n in range(1, order + 1):
+                        gram = tuple(padded[k + order - n : k + order])
+                        grams[gram] += 1
+                        contexts[gram[:-1]] += 1
+        return grams, contexts
+
+    def parts(grams, contexts, w, types):
+        padded = [b"\0s"] * (order - 1) + w
+        total, out = contexts[()], []
+        for k in range(len(w)):
+            f, bucket = [], 0
+            for n in range(order, 1, -1):
+                gram = tuple(padded[k + order - n : k + order])
+                c = contexts[gram[:-1]]
+                if c and not bucket:
+                    bucket = ngram_lm.CONTEXTS * (n - 2) + min(c.bit_length(), ngram_lm.CONTEXTS - 1)
+                f.append(grams[gram] / c if c else 0.0)
+            out.append((bucket, [*f, grams[(w[k],)] / total if total else 0.0, 1 / (types + 1)]))
+        return out
+
+    trained = lambda f: f is not None and f != 2
+    types = len({g for g in tables(trained)[0] if len(g) == 1})
+    if weights is None:
+        fitted = tables(lambda f: trained(f) and f != 3)
+        by_bucket = {}
+        for f, w in texts:
+            if f == 3:
+                for b, p in parts(*fitted, w, types):
+                    by_bucket.setdefault(b, []).append(p)
+                    by_bucket.setdefault(-1, []).append(p)
+        learned = {b: ngram_lm.expectation_maximisation(np.ones(len(p)), np.array(p)) for b, p in by_bucket.items()}
+        weights = ngram_lm.weight_table(learned, order)
+    every = tables(trained)
+    return [sum(math.log10(float(weights[b] @ np.array(p))) for b, p in parts(*every, w, types)) for _, w in texts], weights
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_interpolation_brute(spark, order):
+    rng = np.random.default_rng(order)
+    vocab = [f"w{k}" for k in range(60)]
+    odds = 1 / np.arange(1, 61)
+    text = lambda: " ".join(rng.choice(vocab, int(rng.integers(5, 60)), p=odds / odds.sum()))
+    rows = [(k, text(), "s") for k in range(150)]
+    rows += [(200 + k, rows[k][1], "s") for k in range(40)] + [(None, "w1 w2 w3", "s"), (300, None, "s"), (301, "W1 w2  w3", "s"), (302, "w1 " * 3000, "s")] + [(5, "the same row", "s")] * 60
+    docs = docs_of(spark, rows)
+    model = ngram_lm.Model(docs, "doc_id", "text", 7, 2, 3, order)
+    got = Counter((r["id"], round(r["score"], 5)) for r in model.scores().collect())
+    scores, _ = brute_interpolation(rows, order, model.weights)
+    assert got == Counter((i, round(s, 5)) for (i, _, _), s in zip(rows, scores, strict=True))
+    # the weights by cells against those of EM over every single held-out token
+    exact, weights = brute_interpolation(rows, order)
+    assert np.abs(weights - model.weights).max() < 0.05
+    assert np.allclose(exact, scores, rtol=0.01, atol=0.02)
 
 
 # -- op3 --------------------------------------------------------------------------
@@ -151,13 +220,13 @@ def test_passages_of_a_crowd_of_one_row(spark):
     docs = docs_of(spark, rows)
     got = substring_dedup.repeated_passages(docs).collect()
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_passages(rows, 50)
-    dealt, n = exchange.dealt(docs.select("doc_id", "text"), "text", lambda row, n: row % n, per=400)
+    dealt, buckets = exchange.dealt(docs.select("doc_id", "text"), "text", per=400)
     sizes = [r["count"] for r in dealt.where("doc_id = 7").groupBy("bucket").count().collect()]
-    assert n > 20 and max(sizes) <= 8 and sum(sizes) == 40
+    assert len(buckets[0]) > 20 and max(sizes) <= 8 and sum(sizes) == 40
 
 
 def test_dealt_table_needs_no_second_shuffle(spark):
-    dealt, _ = exchange.dealt(docs_of(spark, [(k, "a b c", "s") for k in range(50)]).select("doc_id", "text"), "text", lambda row, n: row % n, per=20)
+    dealt, _ = exchange.dealt(docs_of(spark, [(k, "a b c", "s") for k in range(50)]).select("doc_id", "text"), "text", per=20)
     plan = dealt.groupBy("bucket").applyInPandas(lambda p: p[["doc_id"]], "doc_id long")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
 
