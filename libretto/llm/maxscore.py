@@ -1,122 +1,128 @@
 """Exact top-k inner-product search with MaxScore over sharded postings.
 
 Dimensions are the terms of a query and a vector's integer components its
-weights. Within a shard every term has score bounds (its lowest and highest
-contribution for the query). The terms whose bounds together cannot lift a
-vector past the k-th best score so far are non-essential: postings of the
-essential terms are traversed for all vectors of a segment, and the others are
-probed, from the widest bound down, only while a vector stays competitive. The
-k best of each shard are merged by a window over the query.
+weights. A shard keeps, for every term, the postings of the vectors whose
+component is not zero and the bounds of their weights. For a query the bounds
+limit what each term can add to a score. The terms that together cannot lift a
+vector to the k-th best score known are non-essential: only the postings of the
+others, the essential ones, are traversed; vectors that stay competitive are
+probed in the non-essential terms, widest bound first, and leave as soon as what
+is left cannot lift them. The k best of each shard are merged by a window.
+
+Every query starts from the k-th best score among a few pilot vectors, so that
+all shards share a threshold from the start.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a shard, queries of a block, vectors of a segment, terms of a probe.
-SHARD, QUERY_BLOCK, SEGMENT, PROBE = 4096, 4096, 1024, 8
-#: Below this share of competitive pairs, probes follow the pairs instead of the whole segment.
-SPARSE = 0.05
+from .common import forget, stored
+
+#: Bytes of vectors in a shard and in a block of queries; bytes and number of pilot vectors.
+SHARD_BYTES, BLOCK_BYTES, PILOT_BYTES, PILOT = 8 << 20, 8 << 20, 2 << 20, 2048
+#: Vectors of a shard that are traversed before the threshold is raised, and terms probed at once.
+SEGMENT, PROBE = 2048, 8
 #: Products and sums of integers up to this are exact in doubles.
 EXACT = 2.0**53
 
 
-def top_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """The ``k`` best (query row, id, score) of a shard for each query; ties to smaller ids; a query skips its own id."""
-    n_q, width = len(queries), max(queries.shape[1], vectors.shape[1])
-    q = np.zeros((n_q, width))
-    q[:, : queries.shape[1]] = queries
-    x = np.zeros((len(vectors), width))
-    x[:, : vectors.shape[1]] = vectors
-    if len(x) and n_q and float(np.abs(q).sum(axis=1).max()) * float(np.abs(x).max(initial=0)) >= EXACT:
-        return _plain(q, query_ids, x, ids, k)
-    order = np.argsort(ids, kind="stable")
-    x, ids = x[order], ids[order]
-    best_score = np.full((n_q, k), -np.inf)
-    best_id = np.zeros((n_q, k), dtype=np.int64)
-    if not len(x) or not width:
-        x = np.zeros((len(x), 1))
-        q = np.zeros((n_q, 1))
-        width = 1
-    lo, hi = (x.min(axis=0), x.max(axis=0)) if len(x) else (np.zeros(width), np.zeros(width))
-    up, down = np.maximum(q * lo, q * hi), np.minimum(q * lo, q * hi)
-    slack = up - down
-    terms = np.argsort(-slack, axis=1, kind="stable")
-    place = np.empty_like(terms)
-    np.put_along_axis(place, terms, np.broadcast_to(np.arange(width), terms.shape), axis=1)
-    # tail[:, t]: what terms from place t on can add at most; base: what all add at least
-    tail = np.zeros((n_q, width + 1))
-    tail[:, :width] = np.cumsum(np.take_along_axis(up, terms, 1)[:, ::-1], axis=1)[:, ::-1]
-    reach = np.zeros((n_q, width + 1))
-    reach[:, :width] = np.cumsum(np.take_along_axis(slack, terms, 1)[:, ::-1], axis=1)[:, ::-1]
-    base = down.sum(axis=1)
-    for at in range(0, len(x), SEGMENT):
-        part, part_ids = x[at : at + SEGMENT], ids[at : at + SEGMENT]
-        floor = best_score[:, -1]
-        # essential: up to the last place whose tail could still reach the floor by itself
-        essential = (reach[:, :width] + base[:, None] >= floor[:, None]).sum(axis=1)
-        score = part @ (q * (place < essential[:, None])).T
-        done = essential.copy()
-        alive = np.ones(score.shape, dtype=bool)
-        while True:
-            alive &= score + np.take_along_axis(tail, done[:, None], 1).T >= floor
-            if (done >= width).all() or alive.mean() < SPARSE:
-                break
-            score += part @ (q * ((place >= done[:, None]) & (place < done[:, None] + PROBE))).T
-            done = np.minimum(done + PROBE, width)
-        v, w = np.nonzero(alive)
-        own = part_ids[v] == query_ids[w]
-        v, w = v[~own], w[~own]
-        found = score[v, w]
-        while len(v) and (left := done[w] < width).any():
-            # probe the next terms of each competitive pair by itself
-            for step in range(PROBE):
-                t = np.minimum(done[w] + step, width - 1)
-                d = terms[w, t]
-                found += np.where(done[w] + step < width, part[v, d] * q[w, d], 0.0)
-            done = np.minimum(done + PROBE, width)
-            keep = found + tail[w, done[w]] >= floor[w]
-            v, w, found = v[keep], w[keep], found[keep]
-        if not len(v):
-            continue
-        rows = np.concatenate([w, np.repeat(np.arange(n_q), k)])
-        scores = np.concatenate([found, best_score.ravel()])
-        names = np.concatenate([part_ids[v], best_id.ravel()])
-        ranked = np.lexsort((names, -scores, rows))
-        rows, scores, names = rows[ranked], scores[ranked], names[ranked]
-        first = np.searchsorted(rows, np.arange(n_q))
-        take = first[:, None] + np.arange(k)
-        best_score, best_id = scores[take], names[take]
-    w, r = np.nonzero(np.isfinite(best_score))
-    return query_ids[w], best_id[w, r], best_score[w, r].astype(np.int64)
-
-
-def _plain(q, query_ids, x, ids, k):
-    """Components too large for exact doubles: whole numbers without bound, cut to the range of a long at the end."""
-    whole = [[int(c) for c in row] for row in x]
+class Postings:
+    """Postings of a shard by term, cut into segments, and its vectors by row for probing."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.rows = ids[order], vectors[order]
+        self.n, self.width = self.rows.shape
+        self.low = np.minimum(self.rows.min(axis=0, initial=0.0), 0.0)
+        self.high = np.maximum(self.rows.max(axis=0, initial=0.0), 0.0)
+        self.segments = []
+        for at in range(0, self.n, SEGMENT):
+            part = self.rows[at : at + SEGMENT]
+            lists = []
+            for d in range(self.width):
+                where = np.flatnonzero(part[:, d])
+                # a term that every vector of the segment has needs no list of vectors
+                lists.append((None if len(where) == len(part) else where, np.ascontiguousarray(part[where, d])))
+            self.segments.append((at, len(part), lists))
+
+    def search(self, query: np.ndarray, query_id: int, k: int, floor: float) -> tuple[list[tuple[float, int]], int]:
+        """The ``k`` best (score, id) not below ``floor``, ties to smaller ids, and how many postings were touched."""
+        q = np.zeros(self.width)
+        q[: min(self.width, len(query))] = query[: self.width]
+        bound = np.maximum(q * self.low, q * self.high)
+        terms = np.flatnonzero(q)
+        terms = terms[np.argsort(-bound[terms], kind="stable")]
+        # left[t]: the most that the terms from place t on can add
+        left = np.append(np.cumsum(bound[terms][::-1])[::-1], 0.0)
+        best: list[tuple[float, int]] = []
+        touched = 0
+        for at, size, lists in self.segments:
+            # non-essential: the longest tail of terms that cannot reach the floor by itself
+            essential = min(len(terms), int(np.searchsorted(-left, -floor, side="right")))
+            score = np.zeros(size)
+            for d in terms[:essential].tolist():
+                where, weights = lists[d]
+                touched += len(weights)
+                if where is None:
+                    score += weights * q[d]
+                else:
+                    score[where] += weights * q[d]
+            # a vector in no essential list stands at zero here, below the floor
+            live = np.flatnonzero(score + left[essential] >= floor)
+            found, done = score[live], essential
+            rows = self.rows[at : at + size]
+            while done < len(terms) and len(live):
+                probe = terms[done : done + PROBE]
+                touched += len(live) * len(probe)
+                found = found + rows[np.ix_(live, probe)] @ q[probe]
+                done += len(probe)
+                keep = found + left[done] >= floor
+                live, found = live[keep], found[keep]
+            names = self.ids[at + live]
+            other = names != query_id
+            best = sorted([*best, *((-s, i) for s, i in zip(found[other].tolist(), names[other].tolist(), strict=True))])[:k]
+            if len(best) == k:
+                floor = max(floor, -best[-1][0])
+        return best, touched
+
+
+def exact(queries: np.ndarray, vectors: np.ndarray) -> bool:
+    """Whether all inner products are exact in doubles."""
+    return not len(queries) or not len(vectors) or float(np.abs(queries).sum(axis=1).max()) * float(np.abs(vectors).max(initial=0)) < EXACT
+
+
+def top_of(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, shard: Postings, k: int):
+    """The ``k`` best (query id, id, score) of a shard for each query, and the postings touched."""
     out: tuple[list, list, list] = ([], [], [])
-    for row, name in zip(q, query_ids, strict=True):
-        terms = [int(c) for c in row]
-        found = sorted((-sum(a * b for a, b in zip(terms, v, strict=True)), int(i)) for v, i in zip(whole, ids, strict=True) if i != name)
-        for s, i in found[:k]:
-            out[0].append(int(name))
-            out[1].append(i)
-            out[2].append(max(-(2**63), min(2**63 - 1, -s)))
-    return tuple(np.array(c, dtype=np.int64) for c in out)
-
-
-def _matrix(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Quantised matrix and ids; repeated (id, vector) rows count once."""
-    seen = {(i, np.asarray(v, dtype=np.float64).tobytes()): None for i, v in zip(rows["id"], rows["v"], strict=True)}
-    width = max((len(b) // 8 for _, b in seen), default=0)
-    out = np.zeros((len(seen), width))
-    for k, (_, b) in enumerate(seen):
-        v = np.frombuffer(b)
-        out[k, : len(v)] = np.floor(256.0 * v)
-    return out, np.array([i for i, _ in seen], dtype=np.int64)
+    touched = 0
+    plain = not exact(queries, shard.rows)
+    whole = [[int(c) for c in row] for row in shard.rows] if plain else []
+    for query, name, floor in zip(queries, query_ids.tolist(), floors.tolist(), strict=True):
+        if plain:
+            # components too large for exact doubles: whole numbers without bound, cut to the range of a long at the end
+            terms = [int(c) for c in query]
+            best = sorted((-sum(a * b for a, b in zip(terms, v, strict=False)), i) for v, i in zip(whole, shard.ids.tolist(), strict=True) if i != name)[:k]
+            best = [(max(-(2**63) + 1, min(2**63, s)), i) for s, i in best]
+        else:
+            best, n = shard.search(query, name, k, floor)
+            touched += n
+        out[0].extend([name] * len(best))
+        out[1].extend(i for _, i in best)
+        out[2].extend(min(2**63 - 1, int(-s)) for s, _ in best)
+    return tuple(np.array(c, dtype=np.int64) for c in out), touched
+
+
+def matrix(vectors: pd.Series, width: int) -> np.ndarray:
+    out = np.zeros((len(vectors), width))
+    for k, v in enumerate(vectors):
+        out[k, : len(v)] = v
+    return out
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -125,33 +131,71 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     Components x become floor(256 * x). Queries: ids divisible by ``every``.
     Returns (query_id, rank from 1, vec_id, score); fewer than ``k`` rows where
     there are fewer candidates; ties to the smaller id. Rows with a null id, a null
-    vector, or a null or non-finite component take no part. Rows that repeat an id
+    vector, or a component that is null or not finite (256-fold) take no part. Rows that repeat an id
     and its vector count once, and no row with the query's id is its candidate. Of
-    vectors of unequal length the missing components are 0. Other columns are
-    ignored; an empty table gives an empty result.
+    vectors of unequal length the missing components are 0. Scores beyond the range
+    of a long are cut to it. Other columns are ignored; an empty table gives an
+    empty result. A vector is held whole, whatever its length.
 
-    The stated query set meets all rows in a grid of (query block, shard) cells of
-    bounded size; each cell is one group of a cogroup.
+    The postings of a shard, at most SHARD_BYTES of vectors, are built once and
+    stored. The stated query set meets them in blocks of at most BLOCK_BYTES: each
+    pass ships one block to all shards, and no vector is shuffled or copied again.
     """
     v, x = F.col("v"), F.col(id_col).cast("long")
-    finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c * 256) < F.lit(float("inf"))))
     rows = vectors.select(x.alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & v.isNotNull()).where(finite)
+    # floor gives a long; doubles beyond its range are whole numbers anyway
+    rows = rows.withColumn("v", F.transform("v", lambda c: F.when(F.abs(c) < 2.0**44, F.floor(c * 256).cast("double")).otherwise(c * 256)))
+    norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
+    rows = stored(rows.dropDuplicates(["id", "v"]).withColumn("norm", norm), "vectors")
     asked = F.col("id") % every == 0
-    sizes = rows.agg(F.count("*").alias("n"), F.count_if(asked).alias("q")).first()
-    shards, blocks = -(-sizes["n"] // SHARD) or 1, -(-sizes["q"] // QUERY_BLOCK) or 1
-    cells = shards * blocks
+    stat = rows.agg(F.count("*").alias("n"), F.count_if(asked).alias("q"), F.max(F.size("v")).alias("width")).first()
+    width = max(1, stat["width"] or 0)
+    blocks = max(1, -(-stat["q"] * width * 8 // BLOCK_BYTES))
+    # as many shards as their size asks for, and enough for all cores
+    shards = max(-(-stat["n"] * width * 8 // SHARD_BYTES), min(rows.sparkSession.sparkContext.defaultParallelism, -(-stat["n"] // SEGMENT)), 1)
     place = F.xxhash64("id", "v")
-    left = rows.where(asked).select("*", F.pmod(place, F.lit(blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    right = rows.select("*", F.pmod(place, F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"))
-    key = [F.col("qb").cast("int").alias("qb"), F.col("shard").cast("int").alias("shard")]
-    left, right = (side.select("id", "v", *key).repartition(cells, "qb", "shard") for side in (left, right))
-
-    def cell(asking: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        q, q_ids = _matrix(asking)
-        c, c_ids = _matrix(there)
-        names, found, scores = top_of(q, q_ids, c, c_ids, k)
-        return pd.DataFrame({"query_id": names, "vec_id": found, "score": scores})
-
-    near = left.groupBy("qb", "shard").cogroup(right.groupBy("qb", "shard")).applyInPandas(cell, "query_id long, vec_id long, score long")
+
+    pilot = rows.orderBy(F.desc("norm"), "id").limit(max(k + 1, min(PILOT, PILOT_BYTES // (8 * width)))).select("id", "v").toPandas()
+    pilot_ids, pilot_rows = pilot["id"].to_numpy(dtype=np.int64), matrix(pilot["v"], width)
+
+    def start(rows: pd.DataFrame) -> pd.DataFrame:
+        """A block of queries, with the k-th best score of each among the pilot vectors."""
+        ids, q = rows["id"].to_numpy(dtype=np.int64), matrix(rows["v"], width)
+        floors = np.full(len(q), -np.inf)
+        if exact(q, pilot_rows):
+            for at in range(0, len(q), 1024):
+                score = q[at : at + 1024] @ pilot_rows.T
+                score[ids[at : at + 1024, None] == pilot_ids] = -np.inf
+                if score.shape[1] >= k:
+                    floors[at : at + 1024] = np.partition(score, -k, axis=1)[:, -k]
+        return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "data": [pickle.dumps((ids, q, floors))]})
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        postings = Postings(rows["id"].to_numpy(dtype=np.int64), matrix(rows["v"], width))
+        return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "data": [pickle.dumps(postings)]})
+
+    queries = stored(rows.where(asked).withColumn("block", F.pmod(place, F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(start, "block int, data binary"), "query-blocks")
+    index = stored(rows.withColumn("shard", F.pmod(place, F.lit(shards)).cast("int")).repartition(shards, "shard").groupBy("shard").applyInPandas(build, "shard int, data binary"), "postings")
+
+    near = None
+    for block in range(blocks):
+        if (row := queries.where(F.col("block") == block).first()) is None:
+            continue
+        shipped = rows.sparkSession.sparkContext.broadcast(bytes(row["data"]))
+
+        def search(batches, shipped=shipped):
+            q_ids, q, floors = (a for a in pickle.loads(shipped.value))
+            for batch in batches:
+                for data in batch["data"]:
+                    (names, found, scores), _ = top_of(q, q_ids, floors, pickle.loads(data), k)
+                    yield pd.DataFrame({"query_id": names, "vec_id": found, "score": scores})
+
+        found = index.select("data").mapInPandas(search, "query_id long, vec_id long, score long")
+        near = stored(found, "near") if near is None else near.unionAll(stored(found, "near"))
+        shipped.unpersist()
+    forget(rows, queries, index)
+    if near is None:
+        near = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -143,21 +143,66 @@ def brute_top(q, q_ids, x, ids, k=5):
     return [(int(q_ids[r]), int(i), int(-v)) for r in range(len(q)) for v, i in sorted((-s[r, j], ids[j]) for j in range(len(x)) if ids[j] != q_ids[r])[:k]]
 
 
-@pytest.mark.parametrize("n,d,seed", [(3000, 16, 0), (2500, 64, 1), (3, 4, 2), (1, 2, 3)])
-def test_maxscore_brute(n, d, seed):
+NO_FLOOR = -np.inf
+
+
+@pytest.mark.parametrize("n,d,seed,kept", [(3000, 16, 0, 1.0), (2500, 64, 1, 1.0), (5000, 40, 5, 0.1), (3, 4, 2, 1.0), (1, 2, 3, 1.0)])
+def test_maxscore_brute(n, d, seed, kept):
     rng = np.random.default_rng(seed)
-    x = np.floor(256 * rng.normal(size=(n, d)) * 0.2)
-    x[rng.integers(0, n, n // 2)] = x[0]
+    x = np.floor(256 * rng.normal(size=(n, d)) * 0.2) * (rng.random((n, d)) < kept)
+    x[rng.integers(0, n, n // 4)] = x[0]
     ids = rng.permutation(3 * n)[:n]
     q = x[:20]
-    assert sorted(zip(*map(list, maxscore.top_of(q, ids[:20], x, ids, 5)))) == sorted(brute_top(q, ids[:20], x, ids))
+    want = sorted(brute_top(q, ids[:20], x, ids))
+    floors = {i: [s for j, _, s in want if j == i] for i in ids[:20].tolist()}
+    best = np.array([min(floors[i]) if len(floors[i]) == 5 else NO_FLOOR for i in ids[:20].tolist()], dtype=float)
+    for floor in (np.full(len(q), NO_FLOOR), best - 1000, best):
+        got, _ = maxscore.top_of(q, ids[:20], floor, maxscore.Postings(ids, x), 5)
+        assert sorted(zip(*map(list, got), strict=True)) == want
+
+
+def test_maxscore_skips_postings():
+    """Postings touched, of all of the shard: sparse vectors with few heavy terms, and dense ones of equal length."""
+    rng = np.random.default_rng(6)
+    share = {}
+    for name, x in (
+        ("sparse", np.floor(rng.exponential(20, (20_000, 200)) * (rng.random((20_000, 200)) < 0.05) * np.where(np.arange(200) < 8, 20, 1))),
+        ("dense", np.floor(256 * (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(rng.normal(size=(20_000, 64))))),
+    ):
+        ids = np.arange(len(x))
+        shard = maxscore.Postings(ids, x)
+        q = x[:40]
+        # the floor that a pilot of a tenth of the vectors gives
+        score = q @ x[::10].T
+        score[np.arange(40)[:, None] == ids[::10]] = -np.inf
+        got, touched = maxscore.top_of(q, ids[:40], np.partition(score, -5, axis=1)[:, -5], shard, 5)
+        assert sorted(zip(*map(list, got), strict=True)) == sorted(brute_top(q, ids[:40], x, ids))
+        share[name] = touched / sum(np.count_nonzero(x[:, np.flatnonzero(v)]) for v in q)
+    assert max(share.values()) < 0.75, share
 
 
 def test_maxscore_large_numbers():
-    a, b, c = maxscore.top_of(np.array([[2.0**60]]), np.array([0]), np.array([[2.0**60], [-1.0]]), np.array([1, 2]), 5)
+    shard = maxscore.Postings(np.array([1, 2]), np.array([[2.0**60], [-1.0]]))
+    (_, _, c), _ = maxscore.top_of(np.array([[2.0**60]]), np.array([0]), np.array([NO_FLOOR]), shard, 5)
     assert list(c) == [2**63 - 1, -(2**60)]
 
 
+def test_maxscore_blocks_and_long_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(maxscore, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(maxscore, "SHARD_BYTES", 4000)
+    x = rng.normal(size=(300, 12)).astype(np.float32)
+    rows = [(int(k), v.tolist(), 0) for k, v in enumerate(x)] + [(100, x[100].tolist(), 1)] * 100
+    got = maxscore.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")).collect()
+    whole = np.floor(256.0 * x.astype(float))
+    ids = np.arange(300)
+    assert sorted((r["query_id"], r["vec_id"], r["score"]) for r in got) == sorted(brute_top(whole[::50], ids[::50], whole, ids))
+    long = [(k, [float(k)] * 50_000, 0) for k in (0, 1, 2)] + [(3, [1e306, 1.0], 0), (50, [1e300], 0)]
+    got = maxscore.top_k(spark.createDataFrame(long, "vec_id long, embedding array<double>, rank int")).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got][:3] == [(0, 1, 0), (0, 2, 0), (0, 50, 0)]
+    assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == 50] == [(1, 2**63 - 1), (2, 2**63 - 1), (0, 0)]
+
+
 def test_maxscore_table(spark):
     rows = [(0, [0.5, 0.5], 1), (1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (50, [-1.0], 1), (3, None, 1), (4, [None, 1.0], 1), (5, [float("nan"), 1.0], 1), (None, [1.0, 1.0], 1)]
     got = maxscore.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")).orderBy("query_id", "rank").collect()
