@@ -1,16 +1,21 @@
 """Main-text extraction from flat text blocks.
 
 A page is cut into flat text blocks (runs of text between block-level tags).
-Each block is described by its word count and link density, those of its two
-neighbours, and the kind of the innermost hinted container around it. A CART
-decision tree, trained when the operator is built on the small labelled table
-below, keeps or drops each block. No DOM is built: one linear tokenizer pass.
+Blocks of sections that are no article by their markup (nav, footer, aside, a
+container whose whole name is ``ad``, ``comments``, ...) go, as scripts do: text
+features cannot tell a reader's comment from a paragraph. Every other block is
+described by its word count and link density, those of its two neighbours, whether
+it is inside an article element and whether a compound name around it sounds like
+another section. A CART decision tree, trained when the operator is built on the
+blocks of the small labelled pages below, keeps or drops it. No DOM is built: one
+linear tokenizer pass.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +34,20 @@ INLINE = frozenset(
 SPACING = frozenset(("br", "img", "input"))
 ITEMS = frozenset("li dt dd tr td th option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Containers that are boilerplate, or main text, by their tag alone.
-BOILER_TAGS = frozenset("nav header footer aside form dialog menu head".split())
-MAIN_TAGS = frozenset(("article", "main"))
-#: Words in class, id or role that mark a container.
-BOILER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer header masthead comment comments disqus respond reply replies cookie cookies consent gdpr notice notices notification alert popup modal overlay "
-    "newsletter subscribe signup login share sharing social related recommended widget toolbar pagination pager copyright legal disclaimer search form complementary contentinfo".split()
+#: Sections that are no part of an article by their element alone; a header inside an article is its headline.
+OTHER_SECTIONS = frozenset("nav header footer aside form dialog menu head".split())
+ARTICLES = frozenset(("article", "main"))
+#: Names (class, id or role) of sections that are no part of an article: menus, headers, footers, sidebars, notices, adverts, forms and comments.
+OTHER_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs "
+    "footer header masthead comment comments disqus reply replies cookie cookies consent gdpr notice notices notification alert popup modal overlay "
+    "newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager copyright legal disclaimer search form complementary contentinfo".split()
+)
+#: Parts of compound names that say where something stands, not what it is.
+PLACES = frozenset(
+    "container wrapper wrap slot box block unit area section inner outer list item items link links left right top bottom main primary secondary bar group row col column module panel zone region "
+    "content body text js is the site page global post entry article blog".split()
 )
-MAIN_WORDS = frozenset("article content post entry story main body text".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -49,31 +58,322 @@ TOKEN = re.compile(
     re.I | re.S,
 )
 ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HINT = re.compile(r"[a-z]+")
+ANCHOR = re.compile(r"\b(?:name|id)\s*=", re.I)
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-#: The labelled table: words, link density, words and density of the previous block, of the next one,
-#: zone (1 inside main text, 0 unknown, -1 inside boilerplate), and whether people keep the block.
+#: The labelled pages: a line for each text block, + where people keep it as article text, {n} for n words.
 LABELLED = (
-    # article paragraphs, headings and short lines inside a main container
-    (11, 0.0, 0, 0.0, 90, 0.0, 1, 1), (90, 0.0, 11, 0.0, 60, 0.0, 1, 1), (2, 0.0, 80, 0.0, 9, 0.0, 1, 1), (1, 0.0, 30, 0.0, 45, 0.0, 1, 1),
-    (150, 0.02, 40, 0.0, 3, 0.0, 1, 1), (24, 0.2, 70, 0.0, 70, 0.1, 1, 1), (6, 0.0, 5, 0.0, 0, 0.0, 1, 1), (9, 0.5, 60, 0.0, 60, 0.0, 1, 1),
-    (40, 0.0, 1, 1.0, 12, 0.0, 1, 1), (4, 0.0, 8, 0.0, 10, 0.0, 1, 1), (3, 1.0, 55, 0.0, 40, 0.0, 1, 1), (300, 0.0, 0, 0.0, 0, 0.0, 1, 1),
-    (1, 0.0, 0, 0.0, 0, 0.0, 1, 1), (12, 0.0, 2, 1.0, 4, 0.0, 1, 1), (5, 1.0, 20, 0.1, 30, 0.0, 1, 1), (60, 0.4, 22, 0.0, 18, 0.0, 1, 1),
-    # menus, headers, footers, side columns, notices, adverts, forms and comments
-    (1, 1.0, 1, 1.0, 1, 1.0, -1, 0), (2, 1.0, 0, 0.0, 1, 1.0, -1, 0), (8, 0.0, 1, 1.0, 11, 0.0, -1, 0), (13, 0.0, 60, 0.0, 0, 0.0, -1, 0),
-    (45, 0.0, 30, 0.0, 30, 0.0, -1, 0), (120, 0.0, 80, 0.0, 40, 0.0, -1, 0), (6, 0.5, 5, 0.4, 7, 0.5, -1, 0), (20, 0.1, 3, 1.0, 50, 0.0, -1, 0),
-    (30, 0.0, 40, 0.0, 4, 0.0, -1, 0), (3, 0.0, 12, 0.0, 100, 0.0, -1, 0), (250, 0.0, 10, 0.0, 10, 0.0, -1, 0), (10, 0.9, 2, 0.0, 2, 0.0, -1, 0),
-    # no hint: long text with few links stays, link lists and crumbs go
-    (60, 0.0, 50, 0.0, 70, 0.0, 0, 1), (35, 0.1, 3, 0.0, 40, 0.0, 0, 1), (22, 0.0, 30, 0.0, 5, 0.0, 0, 1), (14, 0.0, 45, 0.0, 60, 0.0, 0, 1),
-    (5, 0.0, 55, 0.0, 48, 0.0, 0, 1), (8, 0.0, 2, 1.0, 75, 0.0, 0, 1), (110, 0.25, 20, 0.0, 20, 0.0, 0, 1), (18, 0.0, 0, 0.0, 0, 0.0, 0, 1),
-    (3, 0.0, 25, 0.0, 30, 0.0, 0, 1), (40, 0.0, 0, 0.0, 0, 0.0, 0, 1), (26, 0.2, 4, 1.0, 2, 1.0, 0, 1), (12, 0.0, 33, 0.0, 2, 1.0, 0, 1),
-    (1, 1.0, 1, 1.0, 2, 1.0, 0, 0), (3, 1.0, 2, 1.0, 60, 0.0, 0, 0), (6, 0.9, 4, 1.0, 3, 1.0, 0, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, 0),
-    (20, 0.8, 12, 0.7, 9, 0.9, 0, 0), (2, 0.0, 3, 0.6, 0, 0.0, 0, 0), (5, 0.0, 6, 0.0, 4, 0.0, 0, 0), (9, 0.6, 40, 0.0, 3, 1.0, 0, 0),
-    (50, 0.7, 6, 0.9, 8, 0.8, 0, 0), (7, 0.0, 4, 0.5, 2, 0.9, 0, 0), (2, 1.0, 70, 0.0, 65, 0.0, 0, 0), (3, 0.0, 0, 0.0, 1, 1.0, 0, 0),
+    # an article element with a menu of its own, plain and linked items, and boilerplate that no name gives away
+    """
+- <html><body><div><a href="/">{2}</a></div>
+- <ul><li><a href="/a">{1}</a></li>
+- <li><a href="/b">{1}</a></li>
+- <li><a href="/c">{2}</a></li></ul>
+- <div>{8}</div>
++ <article><h1>{9}</h1>
++ <p>{85}</p>
++ <p>{2}</p>
++ <h2>{3}</h2>
++ <ul><li>{4}</li>
++ <li>{1}</li>
++ <li>{6}</li></ul>
++ <p>{40} <a href="/x">{4}</a> {20}</p>
++ <p><a href="/long">{7}</a></p>
++ <p>{120}</p>
+- <ul><li><a href="/t">{1}</a></li>
+- <li><a href="/f">{1}</a></li>
+- <li><a href="/m">{1}</a></li></ul></article>
+- <p>{11}</p></body></html>""",
+    # an article that starts with a list of its sections
+    """
+- <nav><a href="/">{1}</a>
+- </nav><div class="breadcrumbs"><a href="/d">{1}</a> <a href="/e">{2}</a>
++ </div><main><h1>{5}</h1>
+- <ul><li><a href="#a">{1}</a>
+- <li><a href="#b">{2}</a>
+- <li><a href="#c">{1}</a>
+- <li><a href="#d">{2}</a></ul>
++ <h2>{1}</h2>
++ <p>{55}</p>
++ <pre>{14}</pre>
++ <p>{9}</p>
++ <h2>{2}</h2>
++ <p>{33} <a href="/y">{2}</a> {3}</p>
++ <p><a href="/z">{1}</a></p>
++ <p>{70}</p>
++ <p>{1}</p>
++ <p>{64}</p></main>
+- <footer>{10}</footer>""",
+    # many links in the text, as in an encyclopaedia, and sources as linked lines
+    """
+- <div>{3}</div>
++ <article><h1>{3}</h1>
++ <p>{30} <a href="/1">{12}</a> {25} <a href="/2">{15}</a></p>
++ <p><a href="/3">{10}</a> {18} <a href="/4">{9}</a></p>
++ <h2>{2}</h2>
++ <ul><li><a href="/5">{6}</a></li>
++ <li><a href="/6">{9}</a></li>
++ <li><a href="/7">{5}</a></li></ul>
++ <p>{44} <a href="/8">{22}</a></p>
++ <p>{4}</p></article>
+- <div>{12}</div>""",
+    # divisions only, without a name
+    """
+- <div><a href="/">{2}</a></div>
+- <div><a href="/a">{1}</a></div>
+- <div><a href="/b">{1}</a></div>
+- <div><a href="/c">{1}</a></div>
++ <div><h1>{7}</h1>
++ <div>{62}</div>
++ <div>{15}</div>
++ <div>{140}</div>
++ <div>{4}</div>
++ <div>{88} <a href="/d">{3}</a></div></div>
+- <div>{3}</div>
+- <div><a href="/e">{6}</a></div>
+- <div><a href="/f">{8}</a></div>
+- <div><a href="/g">{7}</a></div>
+- <div>{9} <a href="/h">{2}</a></div>""",
+    # a table layout with a menu beside the text
+    """
+- <table><tr><td><a href="/a">{2}</a>
+- <tr><td><a href="/b">{1}</a>
+- <tr><td><a href="/c">{3}</a>
+- <tr><td>{2}
++ </table><h2>{6}</h2>
++ <p>{95}
++ <p>{28} <a href="/d">{5}</a> {31}
++ <p>{210}
++ <p>{12}
++ <p>{47}
+- <hr><a href="/e">{1}</a> {1} <a href="/f">{1}</a> {1} <a href="/g">{2}</a>
+- <div>{7}</div>""",
+    # a short notice before and a line after the text, no article element
+    """
+- <ul><li><a href="/a">{1}</a>
+- <li><a href="/b">{1}</a>
+- </ul><div>{9}</div>
++ <h1>{8}</h1>
++ <p>{52}</p>
++ <p>{38}</p>
++ <p>{61}</p>
+- <div>{11}</div>""",
+    # crumbs and teasers around one long paragraph
+    """
+- <div><a href="/a">{1}</a> {1} <a href="/b">{2}</a> {1} <a href="/c">{3}</a></div>
++ <div>{180}</div>
+- <div><a href="/d">{9}</a> {6}</div>
+- <div><a href="/e">{11}</a> {4}</div>
+- <div><a href="/f">{8}</a> {7}</div>
+- <div>{2}</div>""",
+    # names that only sound like other sections: the text decides
+    """
+- <div class="ad-teaser">{7}</div>
++ <div class="social-history"><h2>{3}</h2>
++ <p>{58}</p>
++ <p>{36}</p></div>
++ <div class="search-theory"><p>{75}</p>
++ <p>{41} <a href="/x">{4}</a></p></div>
+- <div class="related-stories"><a href="/y">{6}</a></div>
+- <div class="share-this-page">{3}</div>
+- <div class="login-help">{6} <a href="/z">{2}</a></div>
+- <div>{4}</div>""",
+    # an article with such names inside
+    """
+- <header>{4}</header>
++ <article><h1>{11}</h1>
++ <div class="menu-planning"><p>{66}</p>
++ <p>{29}</p></div>
+- <div class="promo-teaser">{6}</div>
++ <p>{90}</p>
++ <div class="banner-history"><p>{48}</p></div>
+- <div class="newsletter-offer">{9} <a href="/n">{2}</a></div>
++ <p>{3}</p>
++ <p>{31}</p></article>
+- <footer>{13}</footer>""",
+    # paragraphs of every length, one of which ends the page
+    """
+- <nav><ul><li><a href="/a">{1}</a></li>
+- <li><a href="/b">{1}</a></li></ul></nav>
+- <div class="ad">{7}</div>
++ <article><h1>{10}</h1>
++ <p>{101}</p>
++ <p>{1}</p>
++ <p>{92}</p>
++ <p>{2}</p>
++ <p>{1}</p>
++ <p>{143}</p>
++ <p>{6}</p>
++ <p>{12}</p>
++ <p>{250}</p>
++ <p>{3}</p>
++ <p>{24}</p>
++ <p>{1}</p></article></body></html>""",
+    """
+- <div>{6}</div>
++ <article><h1>{2}</h1>
++ <p>{1}</p></article>
+- <footer>{9}</footer>""",
+    """
+- <ul><li><a href="/a">{1}</a></li></ul>
++ <article><p>{3}</p>
++ <p>{160}</p>
++ <p>{5} <a href="/b">{1}</a></p>
++ <p>{90} <a href="/c">{9}</a> {80}</p>
++ <p>{2} <a href="/d">{3}</a></p>
++ <p>{31}</p>
++ <p>{9}</p></article>""",
+    # divisions only, the text ends the page
+    """
+- <div><a href="/a">{1}</a> <a href="/b">{1}</a></div>
++ <div>{6}</div>
++ <div>{77}</div>
++ <div>{3}</div>
++ <div>{54}</div>
++ <div>{130}</div>""",
+    """
+- <div><a href="/a">{1}</a></div>
+- <div>{5}</div>
++ <h1>{9}</h1>
++ <p>{48}</p>
++ <p>{7}</p>
++ <p>{66}</p>
++ <p>{5}</p>
++ <p>{102}</p>
++ <p>{39}</p>
+- <p>{8} <a href="/c">{2}</a></p>""",
+    # an encyclopaedia without an article element
+    """
+- <div><a href="/a">{1}</a> {1} <a href="/b">{1}</a></div>
++ <h1>{2}</h1>
++ <p>{40} <a href="/c">{14}</a> {12}</p>
++ <p>{25} <a href="/d">{20}</a> {30}</p>
++ <p>{30} <a href="/e">{18}</a> {9}</p>
++ <p>{50} <a href="/f">{8}</a></p>
+- <p><a href="/g">{3}</a></p>
+- <p><a href="/h">{4}</a></p>
+- <p>{2} <a href="/i">{2}</a></p>""",
+    # the text follows a menu, or teasers, without a headline
+    """
+- <div><a href="/a">{1}</a></div>
+- <div><a href="/b">{2}</a></div>
+- <div><a href="/c">{1}</a></div>
++ <p>{70}</p>
++ <p>{33}</p>
++ <p><a href="/d">{5}</a></p>
++ <p>{90}</p>
+- <div><a href="/e">{3}</a></div>
+- <div><a href="/f">{2}</a></div>""",
+    """
+- <p><a href="/a">{8}</a></p>
+- <p><a href="/b">{9}</a></p>
+- <p><a href="/c">{7}</a></p>
++ <p>{84}</p>
++ <p>{3} <a href="/d">{4}</a></p>
++ <p>{61}</p>
++ <p>{5}</p>
++ <p>{47}</p>""",
+    """
+- <div><a href="/a">{2}</a></div>
+- <div><a href="/b">{1}</a></div>
++ <div>{95}</div>
++ <div>{58}</div>
+- <div>{3} <a href="/c">{2}</a></div>
+- <div><a href="/d">{2}</a></div>""",
+    """
+- <ul><li><a href="/a">{1}</a></li>
+- <li><a href="/b">{3}</a></li></ul>
++ <p>{66} <a href="/c">{2}</a> {9}</p>
++ <p>{120}</p>""",
+    # nothing but the text
+    """
++ <article><p>{3}</p></article>""",
+    """
++ <article>{1}</article>""",
+    """
++ <main><h1>{4}</h1>
++ <p>{7}</p></main>""",
+    """
++ <article><h1>{6}</h1>
++ <p>{5}</p>
++ <p>{2}</p></article>""",
+    """
++ <div>{60}</div>
++ <div>{24}</div>""",
+    """
++ <p>{35}</p>""",
+    """
++ <p>{28}</p>
++ <p>{52}</p>
++ <p>{30}</p>""",
+    # more names that only sound like other sections, around promises and around prose
+    """
+- <nav><a href="/a">{1}</a></nav>
++ <article><h1>{7}</h1>
++ <p>{44}</p>
+- <div class="sponsored-offer">{9}</div>
++ <p>{63}</p>
+- <div class="subscribe-now">{12}</div>
++ <p>{18}</p>
++ <div class="legal-history"><p>{37}</p>
++ <p>{80}</p></div>
+- <div class="share-options">{4}</div>
++ <p>{6}</p>
++ <p>{57}</p></article>
+- <footer>{8}</footer>""",
+    """
+- <div class="cookie-manager">{14}</div>
+- <div class="login-status">{3}</div>
++ <div class="banner-making"><h1>{6}</h1>
++ <p>{49}</p>
++ <p>{73}</p>
++ <p>{35}</p></div>
+- <div class="related-reading">{5}</div>
+- <div class="newsletter-teaser">{11}</div>""",
+    # a page of short lines, as a poem or a recipe
+    """
+- <nav><a href="/a">{1}</a></nav>
++ <main><h1>{4}</h1>
++ <p>{6}</p>
++ <p>{5}</p>
++ <p>{7}</p>
++ <p>{1}</p>
++ <ul><li>{2}</li>
++ <li>{3}</li>
++ <li>{2}</li></ul>
++ <p>{8}</p></main>
+- <div>{6}</div>""",
 )
 
 
-def grow(table: np.ndarray, depth: int = 8):
+def labelled_blocks(pages: tuple[str, ...] = LABELLED) -> list[tuple[Block, bool]]:
+    """Blocks of labelled pages, in order, each with its label."""
+    out = []
+    for page in pages:
+        lines = page.strip().split("\n")
+        whole = "".join(re.sub(r"\{(\d+)\}", lambda m: " ".join(["word"] * int(m[1])), line[2:]) for line in lines)
+        found = blocks(whole)
+        if len(found) != len(lines):
+            raise ValueError(f"{len(lines)} labels for {len(found)} blocks")
+        out += [(b, line[0] == "+") for b, line in zip(found, lines, strict=True)]
+    return out
+
+
+def training_table(pages: tuple[str, ...] = LABELLED) -> np.ndarray:
+    """Features and label of every block that markup alone does not decide."""
+    rows = []
+    for page in pages:
+        part = labelled_blocks((page,))
+        shape = features([b for b, _ in part])
+        rows += [(*f, keep) for (b, keep), f in zip(part, shape, strict=True) if not b.other]
+    return np.array(rows, dtype=float)
+
+
+#: Deepest tree, and fewest labelled blocks of a leaf.
+DEPTH, FEWEST = 10, 2
+
+
+def grow(table: np.ndarray, depth: int = DEPTH):
     """A CART tree by Gini impurity: a leaf is 0 or 1, a node (feature, threshold, at most, above)."""
     y = table[:, -1]
     if depth == 0 or y.min() == y.max():
@@ -84,6 +384,8 @@ def grow(table: np.ndarray, depth: int = 8):
         for cut in (edges[1:] + edges[:-1]) / 2:
             left = table[:, f] <= cut
             a, b = y[left], y[~left]
+            if min(len(a), len(b)) < FEWEST:
+                continue
             impurity = len(a) * a.mean() * (1 - a.mean()) + len(b) * b.mean() * (1 - b.mean())
             if best is None or impurity < best[0] - 1e-12:
                 best = (impurity, f, float(cut), left)
@@ -99,42 +401,66 @@ def decide(tree, features) -> int:
     return tree
 
 
-def zone_of(tag: str, attrs: str, outer: int) -> int:
-    """Zone that a container opens, or the zone around it."""
-    if tag in MAIN_TAGS:
-        return 1
-    if tag in BOILER_TAGS and not (tag == "header" and outer == 1):
-        return -1
-    if attrs:
-        words = {w for m in ATTR.finditer(attrs) for w in HINT.findall((m[1] or m[2] or m[3] or "").lower())}
-        if outer == 1:
-            words.discard("header")  # the headline of an article
-        if words & BOILER_WORDS and tag not in ("body", "html"):
-            return -1
-        if words & MAIN_WORDS and outer == 0:
-            return 1
-    return outer
-
-
-def blocks(page: str) -> list[tuple[str, int, int, int]]:
-    """Flat text blocks of a page: text, words, linked words, zone."""
-    found: list[tuple[str, int, int, int]] = []
+class Block(NamedTuple):
+    """A text block; ``linked`` of its words are in links; ``inside`` an article element; ``hinted``: a compound name around it sounds like another section; ``other``: it is in one."""
+
+    text: str
+    words: int
+    linked: int
+    inside: bool
+    hinted: bool
+    other: bool
+
+
+def names_say(attrs: str, inside: bool) -> int:
+    """2 if a name in the attributes is that of another section, 1 if part of a compound name is, else 0."""
+    said = 0
+    for m in ATTR.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = [p.lower() for p in PARTS.findall(name)]
+            if not parts or parts[0] in ("has", "with", "no", "without"):
+                continue
+            told = [p for p in parts if p not in PLACES]
+            kinds = [p in OTHER_NAMES and not (inside and p == "header") for p in told]
+            if any(kinds):
+                said = max(said, 2 if kinds[-1] or all(kinds) or any(p.startswith("comment") for p in told) else 1)
+    return said
+
+
+def opened(tag: str, attrs: str, state: tuple[bool, bool, str]) -> tuple[bool, bool, str]:
+    """(inside, hinted, the other section's tag) within a container."""
+    inside, hinted, other = state
+    if tag in ARTICLES:
+        # a form may be wrapped around a whole page
+        return (True, False, "" if other == "form" else other)
+    if tag in ("body", "html") or other and other != "form":
+        return state
+    if tag in OTHER_SECTIONS and not (tag == "header" and inside):
+        return (inside, hinted, tag)
+    said = names_say(attrs, inside) if attrs else 0
+    return (inside, hinted or said == 1, tag if said == 2 else other)
+
+
+def blocks(page: str) -> list[Block]:
+    """Flat text blocks of a page in order."""
+    found: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int]] = []
-    zone, in_link, at = 0, False, 0
+    stack: list[tuple[str, tuple[bool, bool, str]]] = []
+    state, link, at = (False, False, ""), -1, 0
 
     def flush() -> None:
         if parts:
             if text := " ".join(html.unescape("".join(parts)).split()):
-                found.append((text, text.count(" ") + 1, len(html.unescape(" ".join(linked)).split()), zone))
+                inside, hinted, other = state
+                found.append(Block(text, text.count(" ") + 1, len(html.unescape(" ".join(linked)).split()), inside, hinted, bool(other)))
             parts.clear()
             linked.clear()
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
             parts.append(page[at : m.start()])
-            if in_link:
+            if link >= 0:
                 linked.append(parts[-1])
         at = m.end()
         tag = m["tag"]
@@ -142,50 +468,57 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
             continue
         tag = tag.lower()
         if tag == "a":
-            in_link = not m["close"]
+            # a link reaches over block edges, up to the end of the container it was opened in
+            named = ANCHOR.search(m["attrs"]) and "href" not in m["attrs"].lower()
+            link = -1 if m["close"] or named else len(stack)
         elif tag in SPACING:
             parts.append(" ")
         elif tag not in INLINE:
             flush()
-            in_link = False
             # an open paragraph ends at any block, an open item at the next one
             while not m["close"] and stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in ITEMS):
-                zone = stack.pop()[1]
+                state = stack.pop()[1]
             if m["close"]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
-                        zone = stack[k][1]
+                        state = stack[k][1]
                         del stack[k:]
                         break
             elif tag not in VOID and not m["attrs"].endswith("/"):
-                stack.append((tag, zone))
-                zone = zone_of(tag, m["attrs"], zone)
+                stack.append((tag, state))
+                state = opened(tag, m["attrs"], state)
+            if link > len(stack):
+                link = -1
     if at < len(page):
         parts.append(page[at:])
+        if link >= 0:
+            linked.append(parts[-1])
     flush()
     return found
 
 
+def features(found: list[Block]) -> list[tuple]:
+    """Words and link density of each block, of the one before and of the one after; whether it is inside an article, and hinted."""
+    shape = [(0, 0.0), *((b.words, min(1.0, b.linked / b.words)) for b in found), (0, 0.0)]
+    return [(*shape[k + 1], *shape[k], *shape[k + 2], b.inside, b.hinted) for k, b in enumerate(found)]
+
+
 def main_text(page: str | None, tree) -> str:
     if not page:
         return ""
     found = blocks(page)
-    shape = [(0, 0.0), *((n, min(1.0, k / n)) for _, n, k, _ in found), (0, 0.0)]
-    keep = []
-    for i, (text, _, _, zone) in enumerate(found, 1):
-        if decide(tree, (*shape[i], *shape[i - 1], *shape[i + 1], zone)):
-            keep.append(text)
-    return "\n".join(keep)
+    return "\n".join(b.text for b, f in zip(found, features(found), strict=True) if not b.other and decide(tree, f))
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", labelled=LABELLED) -> DataFrame:
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", labelled: tuple[str, ...] = LABELLED) -> DataFrame:
     """Main text of every page: (id, url, text, n_chars), one row per input row.
 
     Map-only, no shuffle. Null or empty html gives the empty text; null ids and
     urls pass through; repeated rows give repeated rows; other columns are
-    ignored whatever their names. Pages are read whole, of any length.
+    ignored whatever their names; an empty table gives an empty result. Pages are
+    read whole, of any length, well formed or not; the tokenizer is linear.
     """
-    tree = grow(np.array(labelled, dtype=float))
+    tree = grow(training_table(labelled))
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
