@@ -1,10 +1,11 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index holds postings (term, document, position) of the training texts for
-the terms that test items ask for, stored in segments sorted by term. A test
-window is looked up by its rarest terms: their posting lists are shifted by the
-terms' offsets and intersected, which leaves few candidate places; each is then
-compared word by word. DataFrame functions only.
+A first pass counts how often each test term occurs in the training texts. A test
+window is looked up by its rarest terms; the index holds the postings (term,
+document, position) of the terms that are so used, stored in segments sorted by
+term. Their posting lists are shifted by the terms' offsets and intersected, which
+leaves few candidate places; each is then compared word by word. DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -13,20 +14,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import stored
+from .common import forget, stored
 
-#: Separators: ASCII that is no lower-case letter or digit, once A-Z are lower-cased.
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Separators: ASCII that is no letter or digit.
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a window; rarest terms whose lists are intersected.
 WINDOW, RAREST = 10, 2
+#: Share of a document's words that items of fewer words than a window must make up for it to go.
+SHORT_SHARE = 0.5
 #: Test-side tables of at most so many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
 
+def lowered(text: Column) -> Column:
+    return F.translate(text, UPPER, LOWER)
+
+
 def pieces(text: Column) -> Column:
-    """The text cut at separators; its first and last piece may be empty, others are words."""
-    return F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS)
+    """The text cut at separators, in its own case; its first and last piece may be empty, others are words."""
+    return F.split(F.coalesce(text, F.lit("")), SEPARATORS)
+
+
+def words_of(text: Column) -> Column:
+    return F.filter(pieces(lowered(text)), lambda w: w != "")
 
 
 def n_words(cut: Column) -> Column:
@@ -42,7 +53,7 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 def test_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
     """Distinct windows (win, words) and which items hold them (win, item). An item of fewer words is one window."""
-    words = F.filter(pieces(F.col(text_col)), lambda w: w != "")
+    words = words_of(F.col(text_col))
     rows = items.select(F.col(id_col).cast("string").alias("item"), words.alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)))
     every = stored(rows.select("item", F.explode(F.transform(starts, lambda k: F.slice("w", k, window))).alias("words")).distinct(), "windows")
@@ -50,22 +61,47 @@ def test_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> t
     return named, every.join(named, "words").select("win", "item")
 
 
+def met_terms(tokens: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
+    """Tokens (word, ...) with the ``term`` each is, of terms (word, term).
+
+    Words are compared in full lower case first, which is cheap, and the few that
+    meet with only A-Z lowered.
+    """
+    asked = small(terms.select(F.col("word").alias("asked"), "term"), rows)
+    return tokens.join(asked, (F.lower("word") == F.lower("asked")) & (lowered(F.col("word")) == F.col("asked")))
+
+
+def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, term_rows: int) -> DataFrame:
+    """Stored (term, df): how often each term of ``terms`` occurs; counted before anything is shuffled."""
+    tokens = docs.select(F.explode(pieces(F.col(text_col))).alias("word"))
+    if term_rows > BROADCAST_ROWS:
+        # words are counted where they are, so that a common word is no hot key
+        counted = tokens.groupBy("word").agg(F.count("*").alias("n"))
+        met = met_terms(counted, terms, term_rows).groupBy("term").agg(F.sum("n").alias("df"))
+    else:
+        met = met_terms(tokens, terms, term_rows).groupBy("term").agg(F.count("*").alias("df"))
+    return stored(met, "term-counts")
+
+
 def build_index(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, term_rows: int) -> DataFrame:
     """Stored postings (term, id, th, pos) of the terms in ``terms`` (word, term); th tells rows of one id apart."""
     cut = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), pieces(F.col(text_col)).alias("cut"))
     lead = (F.col("cut")[0] == "").cast("int")
     tokens = cut.select("id", "th", lead.alias("lead"), F.posexplode("cut").alias("at", "word"))
-    postings = tokens.join(small(terms, term_rows), "word").select("term", "id", "th", (F.col("at") - F.col("lead")).alias("pos"))
+    postings = met_terms(tokens, terms, term_rows).select("term", "id", "th", (F.col("at") - F.col("lead")).alias("pos"))
     return stored(postings.sortWithinPartitions("term"), "index")
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, rarest: int = RAREST, slop: int = 0) -> DataFrame:
-    """(id, th, spans, items): documents in which test windows occur.
-
-    ``spans`` are the (start, end) word positions of the occurrences, sorted;
-    ``items`` the ids (as text) of the items they belong to. With ``slop`` 0 a
-    window occurs where its words stand in a row; with a larger one also where all
-    of its words stand within ``slop`` words of their places.
+    """Stored (id, th, size, full, spans, items): documents in which test windows occur.
+
+    ``size`` is the number of words; ``full`` whether a window of ``window`` words
+    occurs (others are whole items); ``spans`` are the (start, end) word positions of
+    the occurrences, sorted; ``items`` the ids (as text) of the items they belong to.
+    With ``slop`` 0 a window occurs where its words stand in a row; with a larger one
+    at every start from which each of its words stands within ``slop`` words of its
+    place. The hits of a document meet in one row: they are at most its words times
+    the windows that occur at a place.
     """
     if not 1 <= rarest <= 63:
         raise ValueError("the anchors of a window are the bits of a long")
@@ -73,44 +109,47 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     placed = windows.select("win", F.size("words").alias("len"), F.posexplode("words").alias("off", "word"))
     terms = stored(placed.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "terms")
     term_rows, window_rows = terms.count(), windows.count()
-    index = build_index(docs, id_col, text_col, terms, term_rows)
-    lengths = index.groupBy("term").agg(F.count("*").alias("df"))
+    lengths = term_counts(docs, text_col, terms, term_rows)
     order = Window.partitionBy("win").orderBy("df", "off")
     known = placed.join(small(terms, term_rows), "word").join(small(lengths, term_rows), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     anchors = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rarest)
-    anchors = stored(anchors.select("term", "win", "off", F.expr("shiftleft(1L, r - 1)").alias("bit"), F.least("len", F.lit(rarest)).alias("need")), "anchors")
-    shifted = index.join(small(anchors, window_rows * rarest), "term").select("id", "th", "win", "off", "bit", "need", (F.col("pos") - F.col("off")).alias("start"))
+    anchors = stored(anchors.select("term", "word", "win", "off", F.expr("shiftleft(1L, r - 1)").alias("bit"), F.least("len", F.lit(rarest)).alias("need")), "anchors")
+    index = build_index(docs, id_col, text_col, anchors.select("word", "term").distinct(), term_rows)
+    start = F.col("pos") - F.col("off")
+    shifted = index.join(small(anchors.drop("word"), window_rows * rarest), "term").select("id", "th", "win", "bit", "need", start.alias("start"))
     if slop:
-        bucket = F.floor(F.col("start") / (slop + 1))
-        shifted = shifted.withColumn("b", F.explode(F.array(bucket, bucket + 1)))
-        hits = shifted.groupBy("id", "th", "win", "b").agg(F.count_distinct("off").alias("n"), F.min("need").alias("need"), F.min("start").alias("start")).where(F.col("n") == F.col("need"))
-        hits = hits.select("id", "th", "win", "start").distinct()
+        shifted = shifted.withColumn("start", F.explode(F.sequence(F.col("start") - slop, F.col("start") + slop)))
     else:
         shifted = shifted.where(F.col("start") >= 0)
-        # one bit per anchor: a row that occurs more than once sets the same bits again
-        met_anchors = F.bit_count(F.bit_or("bit"))
-        hits = shifted.groupBy("id", "th", "win", "start").agg(met_anchors.alias("n"), F.min("need").alias("need")).where(F.col("n") == F.col("need")).select("id", "th", "win", "start")
-    phrased = hits.join(small(windows, window_rows), "win")
-    by_doc = phrased.groupBy("id", "th").agg(F.collect_set(F.struct("win", "start", "words")).alias("hits"))
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).where(F.length("text") > 0).dropDuplicates(["id", "th"])
-    # the rows that carry candidates are few beside the texts: only their keys decide what is cut into words
-    met = texts.join(by_doc, texts["id"].eqNullSafe(by_doc["id"]) & (texts["th"] == by_doc["th"])).select(texts["id"], texts["th"], "text", "hits")
-    words = F.filter(pieces(F.col("text")), lambda w: w != "")
-    if slop:
-        def there(h: Column) -> Column:
-            around = F.slice("w", F.greatest(h["start"] - slop, F.lit(0)) + 1, F.size(h["words"]) + 2 * slop)
-            return F.size(F.array_except(h["words"], around)) == 0
-        reach = slop
-    else:
-        def there(h: Column) -> Column:
+    # one bit per anchor: a row that occurs more than once sets the same bits again
+    met_anchors = F.bit_count(F.bit_or("bit"))
+    hits = shifted.groupBy("id", "th", "win", "start").agg(met_anchors.alias("n"), F.min("need").alias("need")).where(F.col("n") == F.col("need"))
+    hits = stored(hits.select("id", "th", "win", "start"), "candidates")
+    forget(index)
+    keys = hits.select(F.col("id").alias("kid"), F.col("th").alias("kth")).distinct()
+    every = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    held = every.join(small(keys, keys.count()), F.col("id").eqNullSafe(F.col("kid")) & (F.col("th") == F.col("kth")), "left_semi").dropDuplicates(["id", "th"])
+    by_doc = hits.join(small(windows, window_rows), "win").groupBy(F.col("id").alias("hid"), F.col("th").alias("hth")).agg(F.collect_set(F.struct("win", "start", "words")).alias("hits"))
+    met = held.join(by_doc, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")))
+
+    def there(h: Column) -> Column:
+        if not slop:
             return F.slice("w", h["start"] + 1, F.size(h["words"])) == h["words"]
-        reach = 0
-    sure = met.withColumn("w", words).select("id", "th", F.size("w").alias("size"), F.filter("hits", there).alias("hits")).where(F.size("hits") > 0)
-    span = F.transform("hits", lambda h: F.struct(F.greatest(h["start"] - reach, F.lit(0)).alias("start"), F.least(h["start"] + F.size(h["words"]) + reach, F.col("size")).alias("end")))
-    exact = stored(sure.select("id", "th", F.array_sort(F.array_distinct(span)).alias("spans"), F.array_distinct(F.col("hits.win")).alias("wins")), "matches")
+
+        def near(word: Column, j: Column) -> Column:
+            low = F.greatest(h["start"] + j - slop, F.lit(0))
+            return F.array_contains(F.slice("w", low + 1, F.greatest(h["start"] + j + slop - low + 1, F.lit(0))), word)
+
+        return F.forall(F.transform(h["words"], near), lambda x: x)
+
+    sure = met.withColumn("w", words_of(F.col("text"))).select("id", "th", F.size("w").alias("size"), F.filter("hits", there).alias("hits")).where(F.size("hits") > 0)
+    span = F.transform("hits", lambda h: F.struct(F.greatest(h["start"], F.lit(0)).cast("int").alias("start"), F.least(h["start"] + F.size(h["words"]), F.col("size")).cast("int").alias("end")))
+    full = F.exists("hits", lambda h: F.size(h["words"]) >= window)
+    exact = stored(sure.select("id", "th", "size", full.alias("full"), F.array_sort(F.array_distinct(span)).alias("spans"), F.array_distinct(F.col("hits.win")).alias("wins")), "exact")
     named = exact.select("id", "th", F.explode("wins").alias("win")).join(small(holders, window_rows), "win")
     owners = named.groupBy(F.col("id").alias("owner"), F.col("th").alias("owner_th")).agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return exact.join(owners, F.col("id").eqNullSafe(F.col("owner")) & (F.col("th") == F.col("owner_th"))).select("id", "th", "spans", "items")
+    found = exact.join(owners, F.col("id").eqNullSafe(F.col("owner")) & (F.col("th") == F.col("owner_th"))).select("id", "th", "size", "full", "spans", "items")
+    return stored(found, "matches")
 
 
 def covered(spans: Column) -> Column:
@@ -129,20 +168,24 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     A null or empty text has no words and no hits; items without words match
     nothing; a null id is an id like any other; repeated rows give repeated rows;
-    other columns are ignored; with no items or no documents nothing is hit.
+    other columns are ignored; with no items or no documents nothing is hit. Texts of
+    any length are read whole.
     """
     found = matches(docs, items, id_col, text_col, item_col, item_text_col, window, rarest, slop)
     every = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("hash"), n_words(pieces(F.col(text_col))).alias("n_words"))
-    joined = every.join(found, every["doc"].eqNullSafe(found["id"]) & (every["hash"] == found["th"]), "left")
+    side = small(found, found.count())
+    joined = every.join(side, F.col("doc").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("th")), "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))
     return joined.select(F.col("doc").alias(id_col), "n_words", covered(spans).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), spans.alias("spans"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, short_share: float = SHORT_SHARE) -> DataFrame:
     """``docs`` without the rows in which a full window of ``window`` words of a test item occurs.
 
-    Shorter items, which common words may spell by chance, drop nothing here.
+    Items of fewer words, which common words may spell by chance, drop a row where
+    they make up at least ``short_share`` of its words. Null and empty texts stay;
+    repeated rows stay or go together; a null id is an id like any other.
     """
-    long_enough = items.where(F.size(F.filter(pieces(F.col("text")), lambda w: w != "")) >= window)
-    found = matches(docs, long_enough, id_col, text_col, window=window).select(F.col("id").alias("__id"), F.col("th").alias("__th"))
-    return docs.join(found, docs[id_col].eqNullSafe(found["__id"]) & (F.xxhash64(docs[text_col]) == found["__th"]), "left_anti")
+    found = matches(docs, items, id_col, text_col, window=window)
+    dirty = found.where(F.col("full") | (covered(F.col("spans")) >= F.col("size") * short_share)).select(F.col("id").alias("__id"), F.col("th").alias("__th"))
+    return docs.join(small(dirty, dirty.count()), docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th")), "left_anti")

@@ -333,6 +333,49 @@ def test_proximity(spark):
     assert {r["doc_id"] for r in exact.collect() if r["n_hit"]} == {1}
 
 
+@pytest.mark.parametrize("slop", [1, 2, 3])
+def test_proximity_brute(spark, slop):
+    rng = np.random.default_rng(slop)
+    vocab = list("abcdefg")
+    items = [(k, " ".join(rng.choice(vocab, int(n)))) for k, n in enumerate([5, 6, 4, 1, 9])]
+    rows = [(k, " ".join(rng.choice(vocab, 20)), "s") for k in range(25)]
+    for k in range(10):
+        w = items[k % 5][1].split()
+        for _ in range(2):
+            w.insert(int(rng.integers(0, len(w) + 1)), "z")
+        rows.append((100 + k, "y " * k + " ".join(w), "s"))
+    want = Counter()
+    wins = {(tuple(w[k : k + 5]), i) for i, t in items for w in [t.split()] for k in range(max(1, len(w) - 4))}
+    for d, t, _ in rows:
+        w, hit, names = t.split(), set(), set()
+        for win, i in wins:
+            for s in range(-slop, len(w) + slop):
+                if all(x in w[max(s + j - slop, 0) : max(s + j + slop + 1, 0)] for j, x in enumerate(win)):
+                    hit |= {p for p in range(s, s + len(win)) if 0 <= p < len(w)}
+                    names.add(str(i))
+        want[d, len(hit), tuple(sorted(names))] += 1
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(docs_of(spark, rows), bench, window=5, slop=slop).collect()
+    assert Counter((r["doc_id"], r["n_hit"], tuple(r["items"])) for r in got) == want
+
+
+def test_contamination_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", -1)
+    rng = np.random.default_rng(11)
+    vocab = ["The", "of", "Ä", "ä", "rare1", "ÉT", "b"]
+    text = lambda n: " ".join(rng.choice(vocab, n))
+    items = [(k, text(int(n))) for k, n in enumerate([12, 15, 3, 1, 10])]
+    rows = [(k, text(30) + " " + items[k % 5][1].upper().replace("Ä", "ä") * (k % 2), "s") for k in range(30)] + [(None, items[0][1], "s")] * 3 + [(5, "the " * 500, "s")]
+    got = decontaminate.contamination(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got) == brute_hits(rows, items)
+
+
+def test_drop_of_short_items(spark):
+    items = spark.createDataFrame([(1, "what is two plus two"), (2, "the")], "item_id long, text string")
+    rows = [(1, "What is two plus two? Four.", "s"), (2, "so what is two plus two in a long and clean text about the sums that children learn at school", "s"), (3, "the", "s"), (4, None, "s"), (5, "", "s")]
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs_of(spark, rows), items).collect()) == [2, 4, 5]
+
+
 # -- op6 --------------------------------------------------------------------------
 
 
@@ -378,6 +421,29 @@ def test_mixing_invariants(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_of_a_crowd_of_one_row(spark, monkeypatch):
+    """A third of all rows is one row, another third has no id: no block holds them all, and targets are met."""
+    monkeypatch.setattr(mixing, "PIECE", 50)
+    rows = [(7, "a b c", "x")] * 300 + [(None, "p q", "x")] * 300 + [(k, "w " * (1 + k % 5), "xy"[k % 2]) for k in range(300)]
+    docs = docs_of(spark, rows)
+    for carry in ((), ("words",)):
+        got = mixing.mix(docs, carry=carry).collect()
+        assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(t.split())) for i, t, _ in rows)
+        assert len({r["taken"] for r in got if r["doc_id"] == 7}) <= 2
+        for total in {r["source_size"] for r in got}:
+            mine = [r for r in got if r["source_size"] == total]
+            assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine) + 1e-6
+    key = lambda rs: sorted((r["doc_id"] or -1, r["size"], r["taken"]) for r in rs)
+    assert key(mixing.mix(docs.repartition(7)).collect()) == key(mixing.mix(docs).collect())
+
+
+def test_mixing_beyond_the_broadcast_bound(spark, monkeypatch):
+    docs = docs_of(spark, [(k, "w " * (k % 6), "abc"[k % 3]) for k in range(90)])
+    want = Counter(map(tuple, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", -1)
+    assert Counter(map(tuple, mixing.mix(docs).collect())) == want
+
+
 def test_mixing_is_fair(spark):
     rows = [(k, "w " * (1 + k % 9), "a" if k < 300 else "b") for k in range(600)]
     docs = docs_of(spark, rows)
@@ -404,6 +470,14 @@ def test_lines(spark, monkeypatch):
         assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in got if r["doc_id"] in want} == want
         assert [r["text"] for r in got if r["doc_id"] is None] == ["x"]
     assert line_dedup.drop_boilerplate(docs_of(spark, rows).limit(0)).count() == 0
+    table = line_dedup.boilerplate(docs_of(spark, rows), "source", "text", 0.3).collect()
+    assert {(r["host"], r["line"], r["pages"]) for r in table} == {("h", "menu", 9), ("h", "foot", 8), (None, "menu", 4)}
+
+
+def test_lines_of_a_long_text(spark):
+    rows = [(k, "head\n" + "\n".join(f"line {j} of {k}" for j in range(20_000)) + "\nhead", "h") for k in range(4)]
+    got = line_dedup.drop_boilerplate(docs_of(spark, rows), ratio=0.5).collect()
+    assert {(r["n_lines"], r["n_dropped"]) for r in got} == {(20_002, 2)}
 
 
 # -- op9 --------------------------------------------------------------------------
@@ -453,6 +527,19 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_classes_beyond_the_broadcast_bound(spark, monkeypatch):
+    base = [" ".join(f"w{k % 37}x{k}y{j}" for k in range(300)) for j in range(4)]
+    rows = [(k, base[k % 3] + (" more" if k % 5 == 0 else ""), "s") for k in range(60)] + [(100, base[3], "s"), (None, base[3], "s"), (101, "alone here", "s"), (None, None, "s")]
+    docs = docs_of(spark, rows)
+    want = Counter(map(tuple, simhash.near_duplicates(docs).collect()))
+    kept = Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect())
+    label = brute_classes([simhash.fingerprint(t) for _, t, _ in rows])
+    assert sum(kept.values()) == len(set(label.tolist()))
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", -1)
+    assert Counter(map(tuple, simhash.near_duplicates(docs).collect())) == want
+    assert Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()) == kept
+
+
 def test_keep_one_without_usable_ids(spark):
     texts = ["red fox runs over hills", "blue whale sings below waves", "green tree stands near rivers", "old clock ticks behind doors"]
     rows = [(None, t, "s") for t in texts] + [(None, texts[0], "s"), (4, texts[1], "s"), (5, "iron bridge spans wide valley", "s"), (5, "quiet monk copies ancient books", "s")]
