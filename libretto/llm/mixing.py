@@ -23,6 +23,8 @@ MOST = 3
 BLOCK = 64
 #: Sources whose table may be broadcast.
 BROADCAST_SOURCES = 100_000
+#: Repeated rows that one task makes of their count.
+PIECE = 65_536
 
 
 def word_count(text: str) -> Column:
@@ -32,8 +34,8 @@ def word_count(text: str) -> Column:
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """(source, source_size, n_docs, target): shares by weight, filled up to ``most`` times each source's size."""
-    stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    """(source, source_size, n_docs, target) of rows (source, size, m of them): shares by weight, filled up to ``most`` times each source's size."""
+    stats = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.sum("m").alias("n_docs"))
     # rank in code-point order without one task over all sources: position in a range partition plus the rows before it
     placed = stored(stats.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()), "sources")
     part = F.shiftright("at", 33)
@@ -75,7 +77,7 @@ def _fold(items: Column, level: int, seed: int, carried: str) -> Column:
         a, room_a = r["mass"], r["size"] - r["mass"]
         b, room_b = x["mass"], x["size"] - x["mass"]
         up, down = F.least(room_a, b), F.least(a, room_b)
-        raised = _coin(r["doc_id"], r["size"], x["doc_id"], x["size"], F.lit(level), F.lit(seed)) * (up + down) < down
+        raised = _coin(r["h"], x["h"], F.lit(level), F.lit(seed)) * (up + down) < down
 
         def step(left: Column, mass: Column, done: Column, extra: int) -> Column:
             one = F.struct(done.alias("item"), F.lit(extra).cast("long").alias("extra"))
@@ -98,12 +100,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``taken`` = copies * size; a source's taken words differ from its target by less
     than its largest document, and no document has more than ``most`` copies. Null
     text has size 0 and takes nothing; null is a source of its own, last in order;
-    rows that repeat an id are documents of their own, ordered by ``carry`` where id
-    and size are the same; other columns are ignored; an
-    empty table gives an empty result. Every draw is a hash of ids and sizes, so
-    reruns agree.
+    rows that repeat an id are documents of their own; other columns are ignored; an
+    empty table gives an empty result; texts of any length are counted whole. Every
+    draw is a hash of ids, sizes and ``carry``, so reruns agree.
+
+    Rows that are the same in id, source, size and ``carry`` are counted before
+    anything is dealt out. Among themselves they are rounded at once: their common
+    fraction times their number says how many take one copy more, and one of them at
+    most goes on into the tree with what is left. So no crowd meets in a block.
     """
-    sized = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), *carry), "sized")
+    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), *carry)
+    sized = stored(sized.groupBy("doc_id", "source", "size", *carry).agg(F.count("*").alias("m")), "sized")
     carried = "".join(f",{c}:{sized.schema[c].dataType.simpleString()}" for c in carry)
     of_item = [f"item.{c}" for c in carry]
     targets = source_targets(sized, weights, most)
@@ -114,13 +121,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(ratio + 1e-12)
     rows = sized.join(small, F.col("source").eqNullSafe(F.col("name"))).select(
-        "doc_id", "source", "size", "source_size", "n_docs", "target", base.alias("base"), F.greatest(ratio - base, F.lit(0.0)).alias("part"), *carry
+        "doc_id", "source", "size", "m", "source_size", "n_docs", "target", base.alias("base"), F.when(F.col("size") == 0, 0.0).otherwise(F.greatest(ratio - base, F.lit(0.0))).alias("part"), *carry
     )
-    whole = (F.col("part") == 0) | (F.col("size") == 0)
-    plain = rows.where(whole).select("doc_id", "size", "source_size", "target", F.col("base").alias("copies"), *carry)
-    item = F.struct("size", F.xxhash64("doc_id", "size", F.lit(seed)).alias("h"), "doc_id", F.col("mass").cast("double").alias("mass"), "base", "source_size", "target", *carry)
+    wanted = F.col("m") * F.col("part")
+    extra = F.floor(wanted + 1e-9)
+    rows = rows.withColumn("extra", extra).withColumn("rest", F.greatest(wanted - extra, F.lit(0.0)))
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(PIECE).cast("long")))
+    pieces = rows.withColumn("first", first)
+    if (sized.agg(F.max("m")).first()[0] or 0) > PIECE:
+        pieces = pieces.repartition("doc_id", "size", "first")
+    every = pieces.withColumn("r", F.explode(F.sequence(F.col("first"), F.least(F.col("m"), F.col("first") + PIECE) - 1)))
+    goes_on = (F.col("r") == F.col("extra")) & (F.col("rest") > 0)
+    plain = every.where(~goes_on).select("doc_id", "size", "source_size", "target", (F.col("base") + (F.col("r") < F.col("extra")).cast("long")).alias("copies"), *carry)
+    item = F.struct("size", F.xxhash64("doc_id", "size", F.lit(seed), *carry).alias("h"), "doc_id", F.col("mass").cast("double").alias("mass"), "base", "source_size", "target", *carry)
     level, blocks = 0, -(-(sources["most"] or 0) // BLOCK)
-    left = rows.where(~whole).withColumn("mass", F.col("part") * F.col("size")).select("source", F.col("n_docs").alias("n"), item.alias("item"))
+    left = rows.where(F.col("rest") > 0).withColumn("mass", F.col("rest") * F.col("size")).select("source", F.col("n_docs").alias("n"), item.alias("item"))
     done = [plain]
     while True:
         # a source's items are dealt over ceil(n / BLOCK) blocks by hash
@@ -134,7 +149,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         if blocks <= 1:
             break
         level, blocks = level + 1, -(-blocks // BLOCK)
-    last = F.when(_coin("item.doc_id", "item.size", F.lit(-1), F.lit(seed)) * F.col("item.size") < F.col("item.mass"), 1).otherwise(0)
+    last = F.when(_coin("item.h", F.lit(-1), F.lit(seed)) * F.col("item.size") < F.col("item.mass"), 1).otherwise(0)
     done.append(left.select("item.doc_id", "item.size", "item.source_size", "item.target", (F.col("item.base") + last).alias("copies"), *of_item))
     out = done[0]
     for more in done[1:]:
