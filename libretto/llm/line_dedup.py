@@ -25,21 +25,31 @@ def lines_of(text: str) -> Column:
     return F.split(F.col(text), "\n", -1)
 
 
-def boilerplate(docs: DataFrame, host: str, text: str, ratio: float = RATIO, fewest: int = FEWEST) -> DataFrame:
-    """Stored (host, line, pages, share): the lines that more than ``ratio`` of a host's pages hold."""
+def hashed_lines(text: str) -> Column:
+    """Hashes of the lines without the white space around them, in order; the hash of a blank line is null."""
+    return F.transform(lines_of(text), lambda s: F.when(F.btrim(s, F.lit(EDGES)) != "", F.xxhash64(F.btrim(s, F.lit(EDGES)))))
+
+
+def frequent_lines(docs: DataFrame, host: str, text: str, ratio: float = RATIO, fewest: int = FEWEST) -> DataFrame:
+    """Stored (site, key, pages, share): hashes of the lines that more than ``ratio`` of a host's pages hold. No text is shuffled."""
     pages = docs.select(F.col(host).alias("host"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     hashed = pages.select("host", F.xxhash64("text").alias("page"), "text")
     totals = hashed.groupBy("host", "page").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("total"))
-    single = F.explode(F.array_distinct(F.transform(lines_of("text"), lambda s: F.btrim(s, F.lit(EDGES)))))
-    lines = hashed.select("host", "page", single.alias("line")).where(F.col("line") != "").select("host", "page", "line", F.xxhash64("line").alias("h"))
-    # counted by hash, so that no text is shuffled; the few frequent lines get their text in a second look
-    counts = lines.select("host", "page", "h").distinct().groupBy("host", "h").agg(F.count("*").alias("pages")).where(F.col("pages") >= fewest)
+    lines = hashed.select("host", "page", F.explode(F.array_distinct(hashed_lines("text"))).alias("h")).where(F.col("h").isNotNull())
+    counts = lines.distinct().groupBy("host", "h").agg(F.count("*").alias("pages")).where(F.col("pages") >= fewest)
     joined = counts.join(totals.withColumnRenamed("host", "site"), F.col("host").eqNullSafe(F.col("site")))
     share = F.col("pages") / F.col("total")
-    frequent = stored(joined.where(share > ratio).select(F.col("host").alias("site"), F.col("h").alias("key"), "pages", share.alias("share")), "frequent-lines")
+    return stored(joined.where(share > ratio).select(F.col("host").alias("site"), F.col("h").alias("key"), "pages", share.alias("share")), "frequent-lines")
+
+
+def boilerplate(docs: DataFrame, host: str, text: str, ratio: float = RATIO, fewest: int = FEWEST) -> DataFrame:
+    """(host, line, pages, share): the lines that more than ``ratio`` of a host's pages hold, with their text."""
+    frequent = frequent_lines(docs, host, text, ratio, fewest)
     side = F.broadcast(frequent) if frequent.count() <= BROADCAST_LINES else frequent
+    single = F.explode(F.array_distinct(F.transform(lines_of(text), lambda s: F.btrim(s, F.lit(EDGES)))))
+    lines = docs.where(F.col(text).isNotNull()).select(F.col(host).alias("host"), single.alias("line")).where(F.col("line") != "").withColumn("h", F.xxhash64("line"))
     found = lines.join(side, F.col("host").eqNullSafe(F.col("site")) & (F.col("h") == F.col("key")))
-    return stored(found.groupBy("host", "line").agg(F.first("pages").alias("pages"), F.first("share").alias("share")), "boilerplate")
+    return found.groupBy("host", "line").agg(F.first("pages").alias("pages"), F.first("share").alias("share"))
 
 
 def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", ratio: float = RATIO, fewest: int = FEWEST, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -51,23 +61,29 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeated rows in the result; the columns in ``carry`` pass through, others are
     ignored.
 
-    A site has at most (lines of a page / ratio) boilerplate lines. Their table is
-    counted: a small one is broadcast, grouped by site; a larger one meets the
-    lines of the pages in a shuffle join, and pages are put together again by row.
+    Lines are compared by 64-bit hashes; an empty table gives an empty result; texts
+    of any length are handled whole. A site has at most (lines of a page / ratio)
+    boilerplate lines. Their hashes are counted: a small table is broadcast, grouped
+    by site; a larger one meets the lines of the pages in a shuffle join, and pages
+    are put together again by row.
     """
-    common = boilerplate(docs, host_col, text_col, ratio, fewest)
+    common = frequent_lines(docs, host_col, text_col, ratio, fewest)
     rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry)).alias("carry"))
     listed = lines_of("text")
     if common.count() <= BROADCAST_LINES:
-        by_site = F.broadcast(common.groupBy(F.col("host").alias("site")).agg(F.collect_list("line").alias("bad")))
+        by_site = F.broadcast(common.groupBy("site").agg(F.collect_list("key").alias("bad")))
         met = rows.join(by_site, F.col("host").eqNullSafe(F.col("site")), "left")
-        kept = F.filter(listed, lambda s: ~F.coalesce(F.array_contains(F.col("bad"), F.btrim(s, F.lit(EDGES))), F.lit(False)))
+        # a hash set of the site's lines meets the page's lines once; what they share is short
+        mine = F.array_intersect(hashed_lines("text"), F.coalesce("bad", F.array().cast("array<bigint>")))
+        met = met.withColumn("mine", mine)
+        good = lambda s: ~F.coalesce(F.array_contains(F.col("mine"), F.xxhash64(F.btrim(s, F.lit(EDGES)))) & (F.btrim(s, F.lit(EDGES)) != ""), F.lit(False))
+        kept = F.when(F.size("mine") == 0, listed).otherwise(F.filter(listed, good))
         out = met.select("id", "host", "text", "carry", listed.alias("all"), kept.alias("kept"))
     else:
         page = rows.withColumn("row", F.struct("id", "host", F.xxhash64("text", "carry").alias("h")))
         exploded = page.select("row", F.posexplode(listed).alias("at", "raw")).withColumn("line", F.btrim("raw", F.lit(EDGES)))
-        mark = common.select(F.col("host").alias("site"), F.col("line").alias("bad"))
-        good = exploded.join(mark, F.col("row.host").eqNullSafe(F.col("site")) & (F.col("line") == F.col("bad")), "left_anti")
+        exploded = exploded.withColumn("h", F.when(F.col("line") != "", F.xxhash64("line")))
+        good = exploded.join(common, F.col("row.host").eqNullSafe(F.col("site")) & (F.col("h") == F.col("key")), "left_anti")
         parts = good.groupBy("row").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("at", "raw")))).alias("parts"))
         parts = parts.select(F.col("row").alias("its"), F.col("parts.raw").alias("left"))
         met = page.join(parts, F.col("row") == F.col("its"), "left")
