@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored
+from .common import forget, map_arrow, stored
 
 SEED = 42
 #: Most distinct fingerprints of a bucket that one cell takes; a larger bucket becomes a grid of cells.
@@ -27,6 +27,8 @@ CHUNK = 4096
 FAN_OUT, LAGS, FRONTIER, GATHER = 4, 4, 1 << 17, 1 << 17
 #: Words hashed and summed at once.
 RUN = 1 << 15
+#: Tables of at most so many counted rows of a few numbers are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -50,18 +52,19 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * total > len(starts)).view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
-    """(id, th, fp): the hash of each row's text and its fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3, row: Column | None = None) -> DataFrame:
+    """(id, th, row, fp): the hash of each row's text, the row's number if there is one, and its fingerprint as a signed long."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            found = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], dtype=np.uint64)
-            return {"id": batch.column(0), "th": batch.column(1), "fp": found.view(np.int64)}
+            found = np.array([fingerprint(t, shingle) for t in batch.column(3).to_pylist()], dtype=np.uint64)
+            return {"id": batch.column(0), "th": batch.column(1), "row": batch.column(2), "fp": found.view(np.int64)}
 
         return work
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, "id long, th long, fp long", make)
+    number = F.lit(0) if row is None else row
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), number.cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
+    return map_arrow(rows, "id long, th long, row long, fp long", make)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -209,34 +212,47 @@ def components(edges: DataFrame) -> DataFrame:
         low = labels.select("node", F.col("root").alias("old")).join(heard, F.col("node") == F.col("u")).select("node", "old", F.least("old", "heard").alias("root"))
         jump = labels.select(F.col("node").alias("at"), F.col("root").alias("to"))
         new = low.join(jump, F.col("root") == F.col("at")).select("node", F.least("root", "to").alias("root"), (F.least("root", "to") != F.col("old")).alias("moved"))
-        labels = stored(new, "labels")
+        before, labels = labels, stored(new, "labels")
+        forget(before)
         if labels.where("moved").isEmpty():
+            forget(both)
             return labels.select("node", "root")
 
 
-def class_heads(found: DataFrame, limit: int) -> DataFrame:
-    """(fp, first, head): first row (nameless, id, th) of each distinct fingerprint and of its class: the smallest id, null last, then text hash."""
-    row = F.struct(F.col("id").isNull().alias("nameless"), "id", "th")
-    distinct = stored(found.groupBy("fp").agg(F.min(row).alias("first")), "distinct")
+def members(found: DataFrame, limit: int) -> DataFrame:
+    """``found`` (id, th, row, fp) with the ``head`` of each row's class: its row (nameless, id, th, row) with the smallest id, null last, then text hash.
+
+    Rows whose fingerprint is their own and has no link head their own class and
+    need no look-up: the others' classes are one counted table, broadcast where
+    small; beyond, a plain join of two stored tables, whose hot fingerprints adaptive
+    execution splits.
+    """
+    own = F.struct(F.col("id").isNull().alias("nameless"), "id", "th", "row")
+    distinct = stored(found.groupBy("fp").agg(F.min(own).alias("first"), F.count("*").alias("n")), "distinct")
     linked = components(links(distinct.select("fp"), limit))
-    members = linked.join(distinct, linked["node"] == distinct["fp"]).select("fp", "root", "first")
-    heads = members.groupBy("root").agg(F.min("first").alias("head"))
-    class_of = members.join(heads, "root").select("fp", "head")
-    return distinct.join(class_of, "fp", "left").select("fp", "first", F.coalesce("head", "first").alias("head"))
+    classed = linked.join(distinct, linked["node"] == distinct["fp"]).select("fp", "root", "first")
+    heads = classed.groupBy("root").agg(F.min("first").alias("head"))
+    shared = classed.join(heads, "root").select(F.col("fp").alias("key"), "head")
+    crowds = distinct.where(F.col("n") > 1).join(shared, F.col("fp") == F.col("key"), "left").select("fp", "first", "head")
+    single = shared.join(distinct.where(F.col("n") == 1), F.col("key") == F.col("fp"), "left_semi")
+    side = stored(crowds.select(F.col("fp").alias("key"), F.coalesce("head", "first").alias("head")).unionAll(single.select("key", "head")), "classes")
+    forget(distinct)
+    small = F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+    return found.join(small, F.col("fp") == F.col("key"), "left").select(*found.columns, F.when(F.col("key").isNull(), own).otherwise(F.col("head")).alias("head"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 3) -> DataFrame:
     """(id, fp, component_id): the class of each row, named by the smallest id reachable from it.
 
     A null or empty text has fingerprint 0 and is linked like any other; a text of
-    fewer words than a shingle is one shingle. Null ids belong to classes but do
-    not name them unless they are alone (the name is then null). Repeated rows give
-    repeated rows of one class; other columns are ignored; an empty table gives an
-    empty result. Copies share a fingerprint and are never paired with each other.
+    fewer words than a shingle is one shingle; a very long text is hashed in runs.
+    Null ids belong to classes but do not name them unless they are alone (the name
+    is then null). Repeated rows give repeated rows of one class; other columns are
+    ignored; an empty table gives an empty result. Copies share a fingerprint and are
+    never paired with each other.
     """
     found = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    every = class_heads(found, limit).select("fp", F.col("head.id").alias("component_id"))
-    return found.join(every, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return members(found, limit).select(F.col("id").alias(id_col), "fp", F.col("head.id").alias("component_id"))
 
 
 def hex_of(fp: str) -> Column:
@@ -244,9 +260,14 @@ def hex_of(fp: str) -> Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 3) -> DataFrame:
-    """``docs`` with one row of each near-duplicate class: the one with the smallest id, null last, then text hash; of repeated rows, one."""
-    found = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    kept = class_heads(found, limit).where(F.col("first") == F.col("head")).select(F.col("head.id").alias("__id"), F.col("head.th").alias("__th"))
-    hashed = docs.withColumn("__hash", F.xxhash64(text_col))
-    one = hashed.join(kept, hashed[id_col].eqNullSafe(kept["__id"]) & (hashed["__hash"] == kept["__th"]), "left_semi")
-    return one.dropDuplicates([id_col, "__hash"]).drop("__hash")
+    """``docs`` with one row of each near-duplicate class: the one with the smallest id, null last, then text hash; of repeated rows, one.
+
+    Rows are told apart by a stored number, so ids may repeat or be null. What goes
+    is joined by that number, and the texts stay where they are unless more than
+    BROADCAST_ROWS rows go.
+    """
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = stored(fingerprints(rows, id_col, text_col, shingle, F.col("__row")), "fingerprints")
+    lost = stored(members(found, limit).where(F.col("row") != F.col("head.row")).select(F.col("row").alias("__lost")), "lost")
+    side = F.broadcast(lost) if lost.count() <= BROADCAST_ROWS else lost
+    return rows.join(side, F.col("__row") == F.col("__lost"), "left_anti").drop("__row")
