@@ -130,7 +130,9 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     every = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     held = every.join(small(keys, keys.count()), F.col("id").eqNullSafe(F.col("kid")) & (F.col("th") == F.col("kth")), "left_semi").dropDuplicates(["id", "th"])
     by_doc = hits.join(small(windows, window_rows), "win").groupBy(F.col("id").alias("hid"), F.col("th").alias("hth")).agg(F.collect_set(F.struct("win", "start", "words")).alias("hits"))
-    met = held.join(by_doc, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")))
+    # cut once: inside the comparison below the texts would be cut for every hit
+    cut = stored(held.select("id", "th", words_of(F.col("text")).alias("w")), "candidate-texts")
+    met = cut.join(by_doc, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")))
 
     def there(h: Column) -> Column:
         if not slop:
@@ -142,7 +144,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
         return F.forall(F.transform(h["words"], near), lambda x: x)
 
-    sure = met.withColumn("w", words_of(F.col("text"))).select("id", "th", F.size("w").alias("size"), F.filter("hits", there).alias("hits")).where(F.size("hits") > 0)
+    sure = met.select("id", "th", F.size("w").alias("size"), F.filter("hits", there).alias("hits")).where(F.size("hits") > 0)
     span = F.transform("hits", lambda h: F.struct(F.greatest(h["start"], F.lit(0)).cast("int").alias("start"), F.least(h["start"] + F.size(h["words"]), F.col("size")).cast("int").alias("end")))
     full = F.exists("hits", lambda h: F.size(h["words"]) >= window)
     exact = stored(sure.select("id", "th", "size", full.alias("full"), F.array_sort(F.array_distinct(span)).alias("spans"), F.array_distinct(F.col("hits.win")).alias("wins")), "exact")
