@@ -31,7 +31,9 @@ CONTEXTS = 32
 OCTAVE, CELLS = 2, 80
 COUNTS = np.dtype([("fit", "<u8"), ("held", "<u8")])
 #: Characters of a bucket.
-PER_BUCKET = 5_000_000
+PER_BUCKET = 8_000_000
+#: Keys of trigrams and longer n-grams, the most there are, travel with 56 bits of their hash: with 10**12 of them one in 70 000 meets another.
+SHORTER = ~np.uint64(0xFF)
 #: EM rounds.
 ROUNDS = 60
 
@@ -63,8 +65,8 @@ class Tokens:
         grams = joined(np.full_like(token, UNIGRAM), token)
         opening = joined(np.array([UNIGRAM]), np.array([START]))
         self.keys, self.at, self.opening = [], [], []
-        for _ in range(order):
-            keys, at = distinct(np.concatenate([grams, opening]))
+        for k in range(order):
+            keys, at = distinct(np.concatenate([grams, opening]) & (SHORTER if k > 1 else ~np.uint64(0)))
             self.keys.append(keys)
             self.at.append(at[:-1])
             self.opening.append(int(at[-1]))
@@ -169,10 +171,11 @@ def expectation_maximisation(weight: np.ndarray, f: np.ndarray, rounds: int = RO
     return lam
 
 
-def weight_table(learned: dict[int, np.ndarray], order: int) -> np.ndarray:
-    """Weights of every context bucket from those learned; a bucket without held-out tokens takes the ones of all together (-1)."""
-    size = max(1, CONTEXTS * (order - 1))
-    lam = np.stack([learned.get(b, learned.get(-1, np.full(order + 1, 1.0 / (order + 1)))) for b in range(size)])
+def weight_table(learned: dict[int, tuple[float, np.ndarray]], order: int) -> np.ndarray:
+    """Weights of every context bucket from (held-out tokens, weights) of those that have any; the others take their mean."""
+    size, mass = max(1, CONTEXTS * (order - 1)), sum(n for n, _ in learned.values())
+    mean = sum(n * lam for n, lam in learned.values()) / mass if mass else np.full(order + 1, 1.0 / (order + 1))
+    lam = np.stack([learned[b][1] if b in learned else mean for b in range(size)])
     # no event may become impossible, and an order whose context does not occur has no say
     lam = np.maximum(lam, 1e-6)
     for b in range(size):
@@ -184,24 +187,22 @@ def weight_table(learned: dict[int, np.ndarray], order: int) -> np.ndarray:
 def learn_weights(gathered: DataFrame, uniform: float, order: int) -> np.ndarray:
     """Weights per context bucket by EM over the cells of all held-out tokens.
 
-    Every bucket is a task of its own, and the pseudo-bucket -1 holds all tokens. A
-    bucket has at most CELLS ** order cells, whatever the corpus. A cell stands for
-    its tokens by their mean estimates, from which each differs by less than half an
-    octave; so the weights are those of EM over single tokens but for second-order
-    terms. Only the weights come to the driver.
+    Every bucket is a group of its own, of at most CELLS ** order cells, whatever the
+    corpus. A cell stands for its tokens by their mean estimates, from which each
+    differs by less than half an octave; so the weights are those of EM over single
+    tokens but for second-order terms. Only the weights come to the driver.
     """
-    sums = [F.sum(c).alias(c) for c in ("weight", *(f"f{k}" for k in range(order)))]
     names = [f"f{k}" for k in range(order)]
-    cells = gathered.unionAll(gathered.withColumn("b", F.lit(-1).cast("long"))).groupBy("b", "cell").agg(*sums)
+    cells = gathered.groupBy("b", "cell").agg(*(F.sum(c).alias(c) for c in ("weight", *names)))
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("cell")
         weight = rows["weight"].to_numpy()
         f = np.column_stack([*(rows[c].to_numpy() / weight for c in names), np.full(len(rows), uniform)])
-        return pd.DataFrame({"b": [int(rows["b"].iloc[0])], "lam": [expectation_maximisation(weight, f).tolist()]})
+        return pd.DataFrame({"b": [int(rows["b"].iloc[0])], "n": [weight.sum()], "lam": [expectation_maximisation(weight, f).tolist()]})
 
-    found = cells.groupBy("b").applyInPandas(learn, "b long, lam array<double>").collect()
-    return weight_table({r["b"]: np.array(r["lam"]) for r in found}, order)
+    found = cells.groupBy("b").applyInPandas(learn, "b long, n double, lam array<double>").collect()
+    return weight_table({r["b"]: (r["n"], np.array(r["lam"])) for r in sorted(found, key=lambda r: r["b"])}, order)
 
 
 class Model:

@@ -63,7 +63,7 @@ def test_no_training_rows(spark):
 def test_weights_follow_the_likelier_part():
     lam = ngram_lm.expectation_maximisation(np.array([90.0, 10.0]), np.array([[0.5, 0.01, 0.001], [0.0, 0.01, 0.001]]))
     assert lam[0] > 0.8 and np.isclose(lam.sum(), 1)
-    table = ngram_lm.weight_table({5: lam}, 2)
+    table = ngram_lm.weight_table({5: (100, lam)}, 2)
     assert table.shape == (ngram_lm.CONTEXTS, 3) and np.allclose(table.sum(axis=1), 1) and table[0, 0] == 0 and np.allclose(table[5], lam, atol=1e-5)
     third = ngram_lm.weight_table({}, 3)
     assert (third[: ngram_lm.CONTEXTS, 0] == 0).all() and (third[ngram_lm.CONTEXTS :] > 0).all() and third[0, 1] == 0
@@ -109,8 +109,7 @@ def brute_interpolation(rows, order, weights=None):
             if f == 3:
                 for b, p in parts(*fitted, w, types):
                     by_bucket.setdefault(b, []).append(p)
-                    by_bucket.setdefault(-1, []).append(p)
-        learned = {b: ngram_lm.expectation_maximisation(np.ones(len(p)), np.array(p)) for b, p in by_bucket.items()}
+        learned = {b: (len(p), ngram_lm.expectation_maximisation(np.ones(len(p)), np.array(p))) for b, p in by_bucket.items()}
         weights = ngram_lm.weight_table(learned, order)
     every = tables(trained)
     return [sum(math.log10(float(weights[b] @ np.array(p))) for b, p in parts(*every, w, types)) for _, w in texts], weights
