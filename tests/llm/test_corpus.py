@@ -601,3 +601,50 @@ def test_pipeline(spark, sf):
     assert set(after) == set(before) - dirty
     before, after = held["mixing"]
     assert all(r["copies"] >= 1 and r["taken"] == r["copies"] * len(r["text"].split()) for r in after.values())
+
+
+EDGE_DOCS = "doc_id long, text string, lang string, source string, n_chars long, row long, hash long, score double, line string, fp long, copies long"
+
+
+def edge_rows():
+    texts = ["the quick brown fox and the lazy dog with them all", "le renard brun et le chien paresseux avec eux tous", "", " \n ", None, "1234 5678", "a", "long " * 30_000]
+    rows = [(k % 9 if k % 4 else None, texts[k % 8], ["en", "fr", None][k % 3], ["x", None, "y"][k % 3], k, k, k, 0.5, "l", 7, 3) for k in range(80)]
+    return rows + [rows[1]] * 30 + [(5, f"shared id but text number {k} of many different ones", "en", "x", 1, 1, 1, 0.5, "l", 7, 3) for k in range(30)]
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stage_edge_cases(spark, sf, k):
+    """Nulls everywhere, empty and long texts, repeated rows, an id of many texts, clashing extra columns, an empty table."""
+    import corpus_pipeline as p
+
+    name, stage = p.STAGES[k]
+    docs = spark.createDataFrame(edge_rows(), EDGE_DOCS)
+    extra = ["copies", "taken"] if name == "mixing" else []
+    got = stage(spark, docs, sf)
+    assert got.columns == [*p.COLUMNS, *extra]
+    rows, before = got.collect(), Counter((r[0], r[1]) for r in edge_rows())
+    after = Counter((r["doc_id"], r["text"]) for r in rows)
+    if name == "language_id":
+        assert after and not {t for _, t in after} & {None, "", " \n ", "1234 5678"}
+        assert all(after[key] == before[key] for key in after)
+    elif name == "line_dedup":
+        assert len(rows) == sum(before.values()) and sum(t is None for _, t in after.elements()) == sum(t is None for _, t in before.elements())
+    elif name == "near_dedup":
+        assert all(n == 1 for n in after.values()) and sum(1 for _, t in after if t is not None and t.startswith("shared id")) >= 20
+    elif name == "decontamination":
+        assert after == before
+    else:
+        assert all(r["copies"] >= 1 and r["taken"] == r["copies"] * len((r["text"] or "").split()) for r in rows) and not after - before
+    assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_language_stage_spares_short_texts_and_rejects_foreign_ones(spark, sf):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*p.COLUMNS)
+    foreign = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
+    code = "xqzv kjwp qqzt vvbx zzkq wjxv pqkz vxjq kzzw qpvx jjkz wqvz xkpq zvjw " * 4
+    extra = [(-1, "Avec.", None, "s", 5), (-2, "Eroö.", None, "s", 5), (-3, foreign * 3, None, "s", 1), (-4, code, None, "s", 1), (-5, "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 3, None, "s", 1)]
+    kept = {r["doc_id"] for r in p.language_id(spark, docs.unionAll(spark.createDataFrame(extra, docs.schema)), sf).collect()}
+    assert kept >= {-1, -2} and not kept & {-4, -5}
+    assert len(kept) >= 0.98 * docs.where("text is not null").count()
