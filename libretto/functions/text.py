@@ -15,9 +15,13 @@ def _c(x: Text) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: White space of any script.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Text) -> Column:
-    """Without white space (of any script) at both ends."""
-    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+\z", "")
+    """Without white space at both ends: only the ends are read, however long a run inside is."""
+    return F.btrim(_c(x), F.lit(SPACES))
 
 
 def collapse(x: Text) -> Column:
@@ -110,6 +114,7 @@ def drop_boilerplate(paragraphs: Column, extra: Iterable[str] = ()) -> Column:
 
 #: Words from which a paragraph is a blob, words of a group it is cut into, fewest words of a paragraph.
 BLOB_WORDS, GROUP_WORDS, MIN_WORDS = 500, 200, 3
+#: Fixed value: where a sentence ends.
 SENTENCE_GAP = r"""(?U)(?<=[.!?…])\s+|(?<=[.!?…]["'])\s+"""
 
 
@@ -136,7 +141,7 @@ def merge_orphans(paragraphs: Column, min_words: int = MIN_WORDS) -> Column:
     def add(acc: Column, p: Column) -> Column:
         last = F.size(acc)
         short = (word_count(p) < min_words) & (last > 0)
-        merged = F.concat(F.slice(acc, F.lit(1), last - 1), F.array(F.concat(F.regexp_replace(F.element_at(acc, -1), r"(?U)\s+\z", ""), F.lit(" "), F.regexp_replace(p, r"(?U)^\s+", ""))))
+        merged = F.concat(F.slice(acc, F.lit(1), last - 1), F.array(F.concat(F.rtrim(F.element_at(acc, -1), F.lit(SPACES)), F.lit(" "), F.ltrim(p, F.lit(SPACES)))))
         return F.when(short, merged).otherwise(F.concat(acc, F.array(p)))
 
     return F.aggregate(paragraphs, F.array().cast("array<string>"), add)
@@ -154,6 +159,7 @@ def fix_paragraphs(paragraphs: Column, blob_words: int = BLOB_WORDS, min_words:
 
 #: Paragraphs from the top that may repeat the chapter's title, and the least similarity.
 HEADING_WINDOW, HEADING_RATIO = 4, 85.0
+#: Fixed value: a heading that says no more than its number.
 BARE_HEADING = r"(?i)^\s*(chapter|ch\.?|vol\.?|volume|book|arc|part)?\s*\d+(\.\d+)?(\s*[-–—:]\s*.{0,80})?\s*$"
 
 

@@ -22,7 +22,7 @@ LISTS, NUMBERS = ("genres", "tags"), ("release_year", "total_chapters")
 
 def unseen(new: DataFrame, old: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Rows of ``new`` whose key is not in ``old``; of repeated keys the first by the remaining columns' order of id."""
-    order = [F.asc("id")] if "id" in new.columns else [F.lit(0)]
+    order = [F.asc(c) for c in sorted(new.columns, key=lambda c: (c != "id", c))]
     once = new.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
     have = old.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
@@ -50,7 +50,9 @@ def source_title_rows(metadata: DataFrame, as_of: Column) -> DataFrame:
 
 def overwrite_sources(new: DataFrame, old: DataFrame) -> DataFrame:
     """Known source titles take the new blob, score and time; unknown ones are added."""
-    fresh = new.select(F.col("source_site").alias("__s"), F.col("source_id").alias("__i"), *(F.col(c).alias(f"__{c}") for c in ("raw_metadata", "quality_score", "last_scraped_at", "updated_at"))).dropDuplicates(["__s", "__i"])
+    # of repeated sources the best record, in one order for every run
+    taken = F.struct("quality_score", "raw_metadata", "last_scraped_at", "updated_at")
+    fresh = new.groupBy(F.col("source_site").alias("__s"), F.col("source_id").alias("__i")).agg(F.max(taken).alias("n")).select("__s", "__i", *(F.col(f"n.{c}").alias(f"__{c}") for c in ("raw_metadata", "quality_score", "last_scraped_at", "updated_at")))
     joined = old.join(fresh, (F.col("source_site") == F.col("__s")) & (F.col("source_id") == F.col("__i")), "left")
     kept = joined.select(*(F.coalesce(f"__{c}", c).alias(c) if f"__{c}" in joined.columns else F.col(c) for c in old.columns))
     return kept.unionByName(conform(unseen(new, old, KEYS["source_titles"]), "source_titles"))
@@ -86,8 +88,10 @@ def stub_rows(listings: DataFrame, source_titles: DataFrame, as_of: Column) -> D
 
 def save_contents(contents: DataFrame, source_chapters: DataFrame, as_of: Column) -> DataFrame:
     """Stubs take their page's content. Empty content counts as missing; a number of 0 does not replace the listing's."""
-    got = contents.where(T.truthy("raw_content").isNotNull()).dropDuplicates(["source_url"]).select(
-        F.col("source_url").alias("__u"), F.col("title").alias("__t"), F.col("chapter_number").alias("__n"), F.col("raw_content").alias("__c"), F.col("content_format").alias("__f")
+    # of pages fetched twice the longer content, then the larger, in one order for every run
+    page = F.struct(F.length("raw_content").alias("size"), "raw_content", "title", "chapter_number", "content_format")
+    got = contents.where(T.truthy("raw_content").isNotNull()).groupBy(F.col("source_url").alias("__u")).agg(F.max(page).alias("p")).select(
+        "__u", F.col("p.title").alias("__t"), F.col("p.chapter_number").alias("__n"), F.col("p.raw_content").alias("__c"), F.col("p.content_format").alias("__f")
     )
     joined = source_chapters.join(got, F.col("source_url") == F.col("__u"), "left")
     hit = F.col("__c").isNotNull()

@@ -7,15 +7,30 @@ from pyspark.sql import functions as F
 
 from libretto.functions import text as T
 from libretto.functions.fuzzy import can_reach, ratio
+from libretto.plans.store import stored
 from libretto.schema import det_id
 
 WORK_RATIO, TRANSLATOR_RATIO, EXACT_RATIO = 90.0, 85.0, 98.0
 
 
-def _grams(key: str, size: int) -> Column:
-    n = F.length(key)
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda k: F.substring(F.col(key), k, F.lit(size)))
-    return F.array_distinct(pieces)
+#: Shortest key that is blocked by groups of three letters.
+LONG = 12
+
+
+def _blocks(side: DataFrame, least: float, both: bool) -> DataFrame:
+    """(id, key, size, band, gram): grams of each key, with the sizes and length bands in which a partner may look for it."""
+    reach = (200 - least) / least
+    n, slack = F.length("key"), reach - 1
+    if slack * 3 < 0.8:
+        edge = int(LONG * reach) + 1
+        sizes = F.when(n < LONG, F.array(F.lit(2))).when(n <= edge, F.array(F.lit(2), F.lit(3))).otherwise(F.array(F.lit(3)))
+    else:
+        sizes = F.array(F.lit(2 if slack < 0.5 else 1))
+    band = F.floor(F.log(n) / F.log(F.lit(reach))).cast("int")
+    bands = F.array(band - 1, band, band + 1) if both else F.array(band)
+    keyed = side.where(n > 0).select("id", "key", F.explode(sizes).alias("size"), bands.alias("bands"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - F.col("size") + 1, F.lit(1))), lambda k: F.substring(F.col("key"), k, F.col("size"))))
+    return keyed.select("id", "key", "size", "bands", F.explode(grams).alias("gram"))
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
@@ -24,22 +39,24 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     Blocking loses nothing. A ratio of ``least`` allows d = (1 - least/100) * (both
     lengths) insertions and deletions, at most (2 * (100 - least) / least) times a
     key's own length. Each spoils at most g grams of g letters, so the keys share one
-    of their g*d + 1 rarest grams, in one order for all. Pairs of letters do for a
-    ratio above 80; below, single letters. Keys that are empty match nothing. Keys
-    are over [a-z0-9 ], so the table of gram counts has at most 37**2 rows.
+    of their g*d + 1 rarest grams, in one order for all. Long keys use grams of three
+    letters, short ones of two, those between both; keys whose lengths lie more than
+    one factor (200 - least) / least apart are never met. Keys that are empty match
+    nothing. Keys are over [a-z0-9 ], so the table of gram counts has at most
+    37**3 + 37**2 rows.
     """
     slack = (100 - least) / least * 2
-    size = 2 if slack < 0.5 else 1
-    keyed = [side.where(F.length("key") > 0).select("id", "key", F.explode(_grams("key", size)).alias("gram")) for side in (left, right)]
+    keyed = [_blocks(left, least, False), _blocks(right, least, True)]
     often = F.broadcast(keyed[1].groupBy("gram").count())
 
     def rare(df: DataFrame) -> DataFrame:
-        order = Window.partitionBy("id").orderBy(F.coalesce("count", F.lit(0)), "gram")
-        allowed = F.floor(F.length("key") * slack + 1e-9) * size + 1
-        return df.join(often, "gram", "left").withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= allowed)
+        order = Window.partitionBy("id", "size").orderBy(F.coalesce("count", F.lit(0)), "gram")
+        allowed = F.floor(F.length("key") * slack + 1e-9) * F.col("size") + 1
+        kept = df.join(often, "gram", "left").withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= allowed)
+        return kept.select("id", "key", "gram", F.explode("bands").alias("band"))
 
     l, r = (rare(k) for k in keyed)
-    joined = l.select(F.col("id").alias("l_id"), F.col("key").alias("l_key"), "gram").join(r.select(F.col("id").alias("r_id"), F.col("key").alias("r_key"), "gram"), "gram")
+    joined = l.select(F.col("id").alias("l_id"), F.col("key").alias("l_key"), "gram", "band").join(r.select(F.col("id").alias("r_id"), F.col("key").alias("r_key"), "gram", "band"), ["gram", "band"])
     near = joined.where(can_reach(F.col("l_key"), F.col("r_key"), least)).select("l_id", "l_key", "r_id", "r_key").distinct()
     score = F.when(F.col("l_key") == F.col("r_key"), 100.0).otherwise(ratio(F.col("l_key"), F.col("r_key")))
     return near.withColumn("score", score).where(F.col("score") >= least).select("l_id", "r_id", "score")
@@ -74,6 +91,57 @@ def match_works(candidates: DataFrame, works: DataFrame, least: float = WORK_RAT
     return hit.unionByName(other)
 
 
+def founders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes (node, rank) that come first: those of which no earlier founder is a neighbour by ``edges`` (earlier, later).
+
+    Decided in rounds, each a stored table: a node founds once all earlier neighbours
+    are known to be none, and is out once one of them is. Rounds are as many as the
+    longest chain of neighbours that wait for each other.
+    """
+    state = stored(nodes.withColumn("found", F.lit(None).cast("boolean")), "founders")
+    while not state.where(F.col("found").isNull()).isEmpty():
+        before = state.select(F.col("node").alias("earlier"), F.col("found").alias("was"))
+        told = edges.join(before, "earlier").groupBy(F.col("later").alias("node")).agg(F.max(F.coalesce("was", F.lit(False))).alias("taken"), F.max(F.col("was").isNull()).alias("waits"))
+        now = F.when(F.col("taken"), False).when(F.coalesce("waits", F.lit(False)), None).otherwise(True)
+        state = stored(state.join(told, "node", "left").select("node", "rank", F.coalesce("found", now).alias("found")), "founders")
+    return state.where("found").select("node", "rank")
+
+
+def match_batch(candidates: DataFrame, works: DataFrame, least: float = WORK_RATIO) -> DataFrame:
+    """``match_works`` as if candidates came one by one, in order of id: each also sees the works that earlier ones made.
+
+    The earliest candidates that match no work and no earlier such one found works.
+    Every other takes the work of its slug, else the most similar title, ties to the
+    works there were, then to the earlier founder. Same columns as ``match_works``.
+    """
+    first = stored(match_works(candidates, works, least), "matched")
+    keyed = stored(first.where(F.col("reason") != "exact_slug").join(candidates.select("id", "title"), "id").withColumn("key", T.token_sort(T.match_key("title"))), "keyed")
+    # alike in slug and key: one node, which stands where its earliest candidate does
+    nodes = stored(keyed.where(F.col("is_new_work") & (F.col("slug") != "")).groupBy("slug", "key").agg(F.min("id").alias("rank")).withColumn("node", det_id("slug", "key")), "nodes")
+    forms = keyed.select(F.col("key").alias("id"), "key").distinct()
+    pairs = stored(fuzzy_pairs(forms, nodes.select(F.col("key").alias("id"), "key").distinct(), least), "pairs")
+    a = nodes.select(F.col("node").alias("earlier"), F.col("rank").alias("a_rank"), F.col("key").alias("l_id"), F.col("slug").alias("a_slug"))
+    b = nodes.select(F.col("node").alias("later"), F.col("rank").alias("b_rank"), F.col("key").alias("r_id"), F.col("slug").alias("b_slug"))
+    alike = a.join(pairs, "l_id").join(b, "r_id").where("a_rank < b_rank").select("earlier", "later")
+    named = a.join(b, (F.col("a_slug") == F.col("b_slug")) & (F.col("a_rank") < F.col("b_rank"))).select("earlier", "later")
+    edges = stored(alike.unionAll(named).distinct(), "edges")
+    made = stored(founders(nodes.select("node", "rank"), edges).join(nodes.select("node", "slug", "key"), "node").select("rank", F.col("slug").alias("f_slug"), F.col("key").alias("f_key"), det_id(F.lit("work"), "slug").alias("f_work")), "made")
+    by_slug = made.groupBy("f_slug").agg(F.min("rank").alias("s_rank"), F.first("f_work").alias("s_work"))
+    close = keyed.select("id", "key").join(pairs, F.col("key") == F.col("l_id")).join(made, F.col("r_id") == F.col("f_key")).where(F.col("rank") < F.col("id"))
+    best = close.groupBy("id").agg(F.min_by(F.struct("f_work", F.col("score").alias("f_score")), F.struct(-F.col("score"), "rank")).alias("b"))
+    met = keyed.join(by_slug, (F.col("slug") == F.col("f_slug")) & (F.col("s_rank") <= F.col("id")), "left").join(best, "id", "left")
+    own = F.col("s_rank") == F.col("id")
+    same = F.col("s_rank") < F.col("id")
+    better = F.col("b").isNotNull() & (F.col("is_new_work") | (F.col("b.f_score") / 100 > F.col("confidence")))
+    placed = met.select(
+        "id", "slug", F.when(own | same, F.col("s_work")).when(better, F.col("b.f_work")).otherwise(F.col("work_id")).alias("work_id"),
+        F.when(own | same, 1.0).when(better, F.col("b.f_score") / 100).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(own, "new").when(same, "exact_slug").when(better, "fuzzy_title").otherwise(F.col("reason")).alias("reason"),
+        F.when(own, True).when(same | better, False).otherwise(F.col("is_new_work")).alias("is_new_work"),
+    )
+    return first.where(F.col("reason") == "exact_slug").unionByName(placed)
+
+
 def find_versions(matched: DataFrame, versions: DataFrame) -> DataFrame:
     """Each matched row (id, work_id, language, translator_group, version_type) with its version by (work, slug), existing or new."""
     rows = matched.withColumn("version_slug", T.version_slug("language", "translator_group"))
@@ -96,7 +164,16 @@ def match_versions(candidates: DataFrame, versions: DataFrame, least: float = TR
     v = versions.select(F.col("id").alias("version_id"), F.col("work_id").alias("v_work"), F.col("language").alias("v_lang"), F.col("translator_group").alias("v_group"), F.col("version_type").alias("v_type"))
     same = (F.col("work_id") == F.col("v_work")) & (F.col("language") == F.col("v_lang"))
     a, b = T.token_sort(F.lower("translator_group")), T.token_sort(F.lower("v_group"))
-    named = candidates.where(has).join(v.where(T.truthy("v_group").isNotNull()), same).where(can_reach(a, b, least)).withColumn("score", ratio(a, b)).where(F.col("score") >= least)
+    # each pair of names of a work and language is compared once, equal ones not at all
+    ours = candidates.where(has).select("work_id", "language", a.alias("a")).distinct()
+    theirs = v.where(T.truthy("v_group").isNotNull()).select("v_work", "v_lang", b.alias("b")).distinct()
+    met = ours.join(theirs, same).where(can_reach(F.col("a"), F.col("b"), least)).select(F.col("work_id").alias("p_work"), F.col("language").alias("p_lang"), "a", "b")
+    alike = F.col("a") == F.col("b")
+    different = met.where(~alike).select("a", "b").distinct().withColumn("score", ratio(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+    scored = met.where(alike).withColumn("score", F.lit(100.0)).unionByName(met.where(~alike).join(different, ["a", "b"]))
+    ours = candidates.where(has).select("id", F.col("work_id").alias("p_work"), F.col("language").alias("p_lang"), a.alias("a"))
+    theirs = v.where(T.truthy("v_group").isNotNull()).select("version_id", F.col("v_work").alias("p_work"), F.col("v_lang").alias("p_lang"), b.alias("b"))
+    named = ours.join(scored, ["p_work", "p_lang", "a"]).join(theirs, ["p_work", "p_lang", "b"])
     best = Window.partitionBy("id").orderBy(F.desc("score"), "version_id")
     by_name = named.withColumn("__n", F.row_number().over(best)).where("__n = 1").select("id", "version_id", (F.col("score") / 100).alias("confidence"), F.when(F.col("score") >= EXACT_RATIO, "translator_exact").otherwise("translator_fuzzy").alias("reason"))
     only = v.groupBy("v_work", "v_lang", "v_type").agg(F.min("version_id").alias("version_id"), F.count("*").alias("n")).where("n = 1")

@@ -12,6 +12,8 @@ from libretto.operators import ingest, match, resolve
 from libretto.schema import DDL, conform, det_id, empty, schema
 from libretto.sources.extract import extract_contents, extract_listings, extract_titles
 
+from .store import stored
+
 Tables = dict[str, DataFrame]
 
 
@@ -35,13 +37,14 @@ def ingest_cycle(tables: Tables, title_pages: DataFrame, listing_pages: DataFram
     """One pass over fetched pages, each (site_key, url, html): metadata, claims, covers, stubs, contents, matching."""
     t = dict(tables)
     key = F.col("site_key")
-    metadata = extract_titles(title_pages, key)
-    t["source_titles"] = ingest.overwrite_sources(ingest.source_title_rows(metadata, as_of), t["source_titles"])
+    # parsed once: sources, claims, covers and works are all made from it
+    metadata = stored(extract_titles(title_pages, key), "metadata")
+    t["source_titles"] = stored(ingest.overwrite_sources(ingest.source_title_rows(metadata, as_of), t["source_titles"]), "source-titles")
     t["metadata_claims"] = ingest.upsert(ingest.claim_rows(metadata, t["source_titles"], as_of), t["metadata_claims"], "metadata_claims")
     t["cover_candidates"] = ingest.upsert(ingest.cover_rows(metadata, t["source_titles"], as_of), t["cover_candidates"], "cover_candidates")
     stubs = ingest.stub_rows(extract_listings(listing_pages, key), t["source_titles"], as_of)
     t["source_chapters"] = ingest.upsert(stubs, t["source_chapters"], "source_chapters")
-    t["source_chapters"] = ingest.save_contents(extract_contents(chapter_pages, key), t["source_chapters"], as_of)
+    t["source_chapters"] = stored(ingest.save_contents(extract_contents(chapter_pages, key), t["source_chapters"], as_of), "source-chapters")
     return link_sources(t, metadata, as_of)
 
 
@@ -50,14 +53,15 @@ def link_sources(tables: Tables, metadata: DataFrame, as_of: Column) -> Tables:
     t = dict(tables)
     open_ = t["source_titles"].where(F.col("version_id").isNull()).select("id", F.col("source_site").alias("__s"), F.col("source_id").alias("__i"))
     named = open_.join(metadata, (F.col("site_key") == F.col("__s")) & (F.col("source_id") == F.col("__i"))).where(F.coalesce("title", F.lit("")) != "")
-    rows = named.select("id", "title", F.coalesce("language", F.lit("en")).alias("language"), "translator_group", F.lit("fan").alias("version_type")).dropDuplicates(["id"])
-    works = match.match_works(rows, t["works"])
-    placed = match.find_versions(works.join(rows, "id"), t["versions"])
+    rows = named.select("id", "title", F.coalesce("language", F.lit("en")).alias("language"), "translator_group", F.lit("fan").alias("version_type"))
+    rows = rows.groupBy("id").agg(F.min(F.struct("title", "language", "translator_group", "version_type")).alias("r")).select("id", "r.*")
+    works = match.match_batch(rows, t["works"])
+    placed = stored(match.find_versions(works.join(rows, "id"), t["versions"]), "placed")
     stamps = {"created_at": as_of, "updated_at": as_of}
     new_works = placed.where("is_new_work").groupBy(F.col("work_id").alias("id"), "slug").agg(F.min_by("title", "id").alias("title"))
     t["works"] = t["works"].unionByName(conform(new_works.withColumns(stamps), "works"))
     new_versions = placed.where("is_new_version").groupBy(F.col("version_id").alias("id"), "work_id", F.col("version_slug").alias("slug")).agg(*(F.min(c).alias(c) for c in ("language", "translator_group", "version_type"))).join(
-        placed.select(F.col("version_id").alias("id"), F.col("version_label").alias("label")).dropDuplicates(["id"]), "id"
+        placed.groupBy(F.col("version_id").alias("id")).agg(F.min("version_label").alias("label")), "id"
     )
     t["versions"] = t["versions"].unionByName(conform(new_versions.withColumns(stamps), "versions"))
     link = placed.select(F.col("id").alias("__st"), F.col("version_id").alias("__v"))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from libretto import oracles as O
 from libretto.fixtures import domain, raw, with_views
 from libretto.functions import scores as S
 from libretto.functions import text as T
@@ -278,7 +279,7 @@ def chapter_sources_audit(spark, sf_dir):
 
 DOUBLED = "replace(text, chr(10), chr(10) || chr(10))"
 PARAS = f"list_filter(list_transform(string_split({DOUBLED}, chr(10) || chr(10)), lambda x: trim(x, e' \\t\\r\\n')), lambda x: x <> '')"
-WORDS = "len(list_filter(regexp_split_to_array(trim({0}, e' \\t\\r\\n'), '\\s+'), lambda w: w <> ''))"
+WORDS = O.WORDS
 
 
 def doubled(text: str = "text") -> Column:
@@ -303,17 +304,12 @@ def _duck_html(x: str) -> str:
     return x
 
 
-ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
-HTML_PARAS = f"list_filter(list_transform(string_split({_duck_html(ARTICLE)}, chr(1)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')"
-
-
-def article(html: str = "html") -> Column:
-    return F.regexp_extract(html, "(?s)<article>(.*?)</article>", 1)
+HTML_PARAS = f"list_filter(list_transform(string_split({_duck_html('html')}, chr(1)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')"
 
 
 @query("html_paragraphs", f"select page_id, cast(len({HTML_PARAS}) as integer) n, md5(array_to_string({HTML_PARAS}, '|')) digest from pages")
 def html_paragraphs(spark, sf_dir):
-    p = raw(spark, sf_dir, "pages").select("page_id", T.html_paragraphs(article()).alias("p"))
+    p = raw(spark, sf_dir, "pages").select("page_id", T.html_paragraphs("html").alias("p"))
     return p.select("page_id", F.size("p").alias("n"), F.md5(F.array_join("p", "|")).alias("digest"))
 
 
@@ -333,15 +329,30 @@ def boilerplate_filter(spark, sf_dir):
 
 
 @query("paragraph_fix", f"""
-    with t as (select doc_id, list_filter({PARAS}, lambda p: {WORDS.format("p")} < 500 and {WORDS.format("p")} >= 3) p from documents)
-    select doc_id, cast(len(p) as integer) n, md5(array_to_string(p, '|')) digest from t""")
+    with recursive src as (select doc_id id, unnest({PARAS}) p, unnest(range(1, len({PARAS}) + 1)) pos from documents),
+    {O.split_blobs("src", "cut")},
+    t as (select id, count(*) n, string_agg(p, '|' order by pos, grp) ps from cut where {WORDS.format("p")} >= 3 group by id)
+    select doc_id, cast(coalesce(n, 0) as integer) n, md5(coalesce(ps, '')) digest from documents left join t on doc_id = id""")
 def paragraph_fix(spark, sf_dir):
-    """Blobs are split; the SQL knows only the paragraphs that are none."""
     p = doc_paragraphs(spark, sf_dir).select("doc_id", T.fix_paragraphs(F.col("p")).alias("p"))
     return p.select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", "|")).alias("digest"))
 
 
-@query("blob_split")
+@query("orphan_merge", f"""
+    with src as (select doc_id, unnest({PARAS}) p, unnest(range(1, len({PARAS}) + 1)) pos from documents),
+    g as (select *, sum(case when pos = 1 or {WORDS.format("p")} >= 8 then 1 else 0 end) over (partition by doc_id order by pos) grp from src),
+    m as (select doc_id, grp, string_agg(p, ' ' order by pos) p from g group by doc_id, grp),
+    t as (select doc_id, count(*) n, string_agg(p, '|' order by grp) ps from m group by doc_id)
+    select doc_id, cast(coalesce(n, 0) as integer) n, md5(coalesce(ps, '')) digest from documents left join t using (doc_id)""")
+def orphan_merge(spark, sf_dir):
+    """Paragraphs of fewer than eight words join the one before."""
+    p = doc_paragraphs(spark, sf_dir).select("doc_id", T.merge_orphans(F.col("p"), 8).alias("p"))
+    return p.select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", "|")).alias("digest"))
+
+
+@query("blob_split", f"""
+    with recursive src as (select doc_id id, 1 pos, trim(regexp_replace(text, '\\s+', ' ', 'g')) p from documents), {O.split_blobs("src", "cut")}
+    select id doc_id, cast(grp - 1 as integer) pos, p paragraph, cast({WORDS.format("p")} as integer) words from cut where grp > 0""")
 def blob_split(spark, sf_dir):
     one = raw(spark, sf_dir, "documents").select("doc_id", T.collapse("text").alias("p")).where(T.word_count("p") >= T.BLOB_WORDS)
     return one.select("doc_id", F.posexplode(T.split_blob(F.col("p"))).alias("pos", "paragraph")).withColumn("words", T.word_count("paragraph"))
@@ -353,33 +364,47 @@ def bare_headings(spark, sf_dir):
     return raw(spark, sf_dir, "pages").select("page_id", T.is_bare_heading(title).alias("bare"), T.is_bare_heading(F.concat(F.col("page_id").cast("string"), F.lit(" - Title"))).alias("numbered"))
 
 
-@query("heading_dedup")
+PAGE_TITLE = "regexp_extract(html, '<title>(.*?)</title>', 1)"
+NEAR_TITLE = O.ratio(O.heading_key("title"), O.heading_key("p"), T.HEADING_RATIO)
+
+
+@query("heading_dedup", f"""
+    with t as (select page_id, {PAGE_TITLE} title, {HTML_PARAS} ps from pages),
+    e as (select page_id, title, unnest(ps) p, unnest(range(1, len(ps) + 1)) pos from t),
+    gone as (select page_id, count(*) n from e where title <> '' and pos <= {T.HEADING_WINDOW} and (regexp_matches(trim(p), '{T.BARE_HEADING}') or {NEAR_TITLE} >= {T.HEADING_RATIO}) group by page_id)
+    select page_id, cast(len(ps) as integer) n_before, cast(len(ps) - coalesce(n, 0) as integer) n_after from t left join gone using (page_id)""")
 def heading_dedup(spark, sf_dir):
-    p = raw(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"), T.html_paragraphs(article()).alias("p"))
+    p = raw(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"), T.html_paragraphs("html").alias("p"))
     p = p.withColumn("alike", clean.heading_likeness(F.col("p"), F.col("title")))
     return p.select("page_id", F.size("p").alias("n_before"), F.size(clean.dedup_heading(F.col("p"), F.col("title"), F.col("alike"))).alias("n_after"))
 
 
-@query("clean_pipeline")
+PLAIN_QUOTES = "translate({0}, '‘’‚‛“”„‟', '" + "\'\'" * 4 + '"' * 4 + "')"
+
+
+@query("clean_pipeline", f"""
+    with recursive src as (select page_id id, {PAGE_TITLE} title, {HTML_PARAS} ps from (select page_id, {PLAIN_QUOTES.format("html")} html from pages)),
+    {O.cleaned("src", "done")},
+    every as (select s.id, coalesce(ps, []) ps, coalesce(list_sum(list_transform(coalesce(ps, []), lambda x: {WORDS.format("x")})), 0) w from (select id from src) s left join done using (id))
+    select id page_id, array_to_string(ps, chr(10) || chr(10)) cleaned_content, cast(len(ps) as integer) paragraph_count, cast(w as integer) word_count, {O.quality("ps", "w")} quality_score, '1.0' cleaner_version from every""")
 def clean_pipeline(spark, sf_dir):
-    p = raw(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"), article().alias("raw"))
+    p = raw(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"), F.col("html").alias("raw"))
     return clean.clean_and_score(p, raw="raw", title="title").select("page_id", "cleaned_content", "paragraph_count", "word_count", "quality_score", "cleaner_version")
 
 
 QUALITY = f"""
     with p as (select doc_id, {PARAS} p from documents),
-    w as (select doc_id, len(p) n, coalesce(list_sum(list_transform(p, lambda x: {WORDS.format("x")})), 0) w, len(regexp_extract_all(array_to_string(p, chr(10)), '{S.HINTS}')) h from p),
+    w as (select doc_id, {O.repeats("p")} again, len(p) n, coalesce(list_sum(list_transform(p, lambda x: {WORDS.format("x")})), 0) w, len(regexp_extract_all(array_to_string(p, chr(10)), '{S.HINTS}')) h from p),
     s as (select doc_id, n, w, h,
         case when w = 0 then 0e0 when w < 500 then w / 500 * 5e-1 when w > 15000 then 5e-1 else 5e-1 + least(w, 2000) / 2000 * 5e-1 end l,
         case when n = 0 then 0e0 when n = 1 then 1e-1 when w / n > 500 then 3e-1 else 4e-1 + least(n, 30) / 30 * 6e-1 end t,
-        greatest(0e0, 1e0 - case when h > 0 then least(h * 1e-1, 4e-1) else 0e0 end) c from w)
+        greatest(0e0, 1e0 - case when h > 0 then least(h * 1e-1, 4e-1) else 0e0 end - case when again then 2e-1 else 0e0 end) c from w)
     select doc_id, cast(w as integer) words, cast(n as integer) paragraphs, cast(h as integer) hits, round(cast(l as double), 6) length_score, round(cast(t as double), 6) structure_score,
            round(cast(c as double), 6) cleanliness_score, cast(round(cast(cast(35e-2 * l + 35e-2 * t + 3e-1 * c as varchar) as decimal(38, 20)), 4) as double) final_score from s"""
 
 
 @query("chapter_quality", QUALITY)
 def chapter_quality(spark, sf_dir):
-    """With the deduction for repetition, which the SQL leaves out."""
     p = doc_paragraphs(spark, sf_dir).withColumn("w", T.total_words(F.col("p")))
     q = p.select("doc_id", S.chapter_quality(F.col("p"), F.col("w")).alias("q"))
     six = lambda c: F.round(F.col(f"q.{c}"), 6).alias(c)
@@ -426,9 +451,15 @@ def title_normalise(spark, sf_dir):
     return variant_titles(spark, sf_dir).select("p_partkey", T.match_key("title").alias("match_key"), T.heading_key("title").alias("heading_key"), T.token_sort("title").alias("token_sort"))
 
 
-@query("slugify", "select doc_id, trim(regexp_replace(translate(replace(lower(left(text, 40)), 'ß', 'ss'), '" + T.ACCENTED + "', '" + T.PLAIN + "'), '[^a-z0-9]+', '-', 'g'), '-') slug from documents")
+FOLDED = f"translate(lower(text), '{T.ACCENTED}', '{T.PLAIN}')"
+for _from, _to in (("ß", "ss"), ("æ", "ae"), ("œ", "oe")):
+    FOLDED = f"replace({FOLDED}, '{_from}', '{_to}')"
+#: Twice, as a digit between two commas belongs to both.
+GROUPED = f"regexp_replace(regexp_replace({FOLDED}, '([0-9]),([0-9])', '\\1\\2', 'g'), '([0-9]),([0-9])', '\\1\\2', 'g')"
+
+
+@query("slugify", f"select doc_id, trim(regexp_replace({GROUPED}, '[^a-z0-9]+', '-', 'g'), '-') slug from documents")
 def slugify(spark, sf_dir):
-    """The whole text; the SQL knows only its first 40 characters."""
     return raw(spark, sf_dir, "documents").select("doc_id", T.slugify("text").alias("slug"))
 
 
@@ -496,13 +527,73 @@ def work_match_exact(spark, sf_dir):
     return m.select("id", F.when(hit, F.col("work_id")).alias("work_id"), hit.alias("matched"))
 
 
-@query("work_match_fuzzy")
+def _duck_key(title: str) -> str:
+    """Sorted words of a title without stop words, in DuckDB SQL."""
+    kept = f"list_filter(regexp_split_to_array(trim(regexp_replace(lower({title}), '[^a-z0-9\\s]', '', 'g')), '\\s+'), lambda w: w <> '' and w not in ({STOPS}))"
+    return f"array_to_string(list_sort({kept}), ' ')"
+
+
+def _duck_slug(title: str) -> str:
+    return f"trim(regexp_replace(lower({title}), '[^a-z0-9]+', '-', 'g'), '-')"
+
+
+def _duck_sorted(x: str) -> str:
+    return f"array_to_string(list_sort(regexp_split_to_array(lower({x}), '\\s+')), ' ')"
+
+
+FUZZY = f"""
+    w as (select 'w' || min(p_partkey) id, min(p_partkey) created_at, {_duck_slug("p_name")} slug, {_duck_key("p_name")} k from part group by p_name),
+    c as (select p_partkey id, {_duck_slug(TITLE)} slug, {_duck_key(TITLE)} k from part),
+    named as (select slug, id from w qualify row_number() over (partition by slug order by created_at, id) = 1)"""
+
+
+@query("work_match_fuzzy", f"""
+    with {FUZZY},
+    scored as (select c.k, w.id, created_at, {O.ratio("c.k", "w.k", 90)} score from (select distinct k from c where k <> '') c, w where w.k <> ''),
+    best as (select * from scored where score >= 90 qualify row_number() over (partition by k order by score desc, created_at, id) = 1)
+    select c.id, c.slug, coalesce(n.id, b.id, md5('work|' || c.slug)) work_id, case when n.id is not null or b.id is null then 1e0 else score / 100 end confidence,
+           case when n.id is not null then 'exact_slug' when b.id is not null then 'fuzzy_title' else 'new' end reason, n.id is null and b.id is null is_new_work
+    from c left join named n on c.slug = n.slug left join best b on c.k = b.k""")
 def work_match_fuzzy(spark, sf_dir):
     c = variant_titles(spark, sf_dir).select(F.col("p_partkey").alias("id"), "title")
     return match.match_works(c, works_of_parts(spark, sf_dir))
 
 
-@query("version_match")
+@query("work_match_batch", f"""
+    with recursive {FUZZY},
+    nodes as (select slug, k, min(id) seen, row_number() over (order by min(id)) n from c group by slug, k),
+    near as (select a.n earlier, b.n later, a.slug = b.slug named, {O.ratio("a.k", "b.k", 90)} score from nodes a join nodes b on a.n < b.n),
+    before as (select later, list(earlier) e from near where score >= 90 or named group by later),
+    f as (
+        select 0::bigint n, []::bigint[] founders
+        union all
+        select f.n + 1, case when len(list_intersect(founders, coalesce(e, []))) = 0 then list_append(founders, f.n + 1) else founders end
+        from f left join before on later = f.n + 1 where f.n < (select max(n) from nodes)),
+    made as (select * from nodes where n in (select unnest(founders) from f where f.n = (select max(n) from nodes))),
+    every as (select c.id, c.slug, n from c join nodes using (slug, k)),
+    sides as (select earlier a, later b, score from near union all select later, earlier, score from near),
+    best as (
+        select e.id, m.slug, score from every e join sides on a = e.n join made m on m.n = b where m.seen < e.id and score >= 90
+        qualify row_number() over (partition by e.id order by score desc, m.seen) = 1)
+    select e.id, e.slug, md5('work|' || coalesce(s.slug, b.slug)) work_id, case when s.slug is not null then 1e0 else b.score / 100 end confidence,
+           case when s.seen = e.id then 'new' when s.slug is not null then 'exact_slug' else 'fuzzy_title' end reason, coalesce(s.seen = e.id, false) is_new_work
+    from every e left join (select slug, min(seen) seen from made group by slug) s on s.slug = e.slug and s.seen <= e.id left join best b on b.id = e.id""")
+def work_match_batch(spark, sf_dir):
+    """All titles come in one batch and no work is there yet: each joins what an earlier one made."""
+    c = variant_titles(spark, sf_dir).select(F.col("p_partkey").alias("id"), "title")
+    return match.match_batch(c, works_of_parts(spark, sf_dir).where("false"))
+
+
+@query("version_match", f"""
+    with c as (select id, work_id, language, {_duck_sorted("translator_group || 's'")} a, version_type from versions),
+    v as (select id version_id, work_id, language, {_duck_sorted("translator_group")} b from versions where translator_group is not null),
+    names as (select a, b, {O.ratio("a", "b", 85)} score from (select distinct a from c where a is not null), (select distinct b from v)),
+    scored as (select c.id, version_id, score from c join v using (work_id, language) join names using (a, b) where score >= 85),
+    best as (select * from scored qualify row_number() over (partition by id order by score desc, version_id) = 1),
+    lone as (select work_id, language, version_type, min(id) version_id from versions group by 1, 2, 3 having count(*) = 1)
+    select id, version_id, score / 100 confidence, case when score >= 98 then 'translator_exact' else 'translator_fuzzy' end reason from best
+    union all
+    select c.id, o.version_id, 6e-1, 'language_only' from c join lone o using (work_id, language, version_type) where a is null""", ("versions",))
 def version_match(spark, sf_dir):
     v = domain(spark, sf_dir, "versions")["versions"]
     c = v.select("id", "work_id", "language", F.when(F.col("translator_group").isNotNull(), F.concat(F.col("translator_group"), F.lit("s"))).alias("translator_group"), "version_type")
