@@ -295,3 +295,17 @@ def int_claim(x: Column) -> Column:
 
 def chapter_label(number: Column, title: Column) -> Column:
     return F.coalesce(truthy(title), F.concat(F.lit("Chapter "), F.floor(number).cast("string")))
+
+
+#: Characters of a description shown.
+PREVIEW = 160
+
+
+def preview(x: Text, size: int = PREVIEW) -> Column:
+    """The start of a text for display."""
+    return F.left(F.coalesce(_c(x), F.lit("")), F.lit(size))
+
+
+def short_date(x: Text) -> Column:
+    """Abbreviated month and day."""
+    return F.date_format(_c(x), "MMM dd")

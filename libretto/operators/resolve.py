@@ -33,18 +33,21 @@ def _claims_of_works(claims: DataFrame, source_titles: DataFrame, versions: Data
 
 def resolve_metadata(works: DataFrame, claims: DataFrame, source_titles: DataFrame, versions: DataFrame, as_of: Column, authoritative_first: bool = False) -> tuple[DataFrame, DataFrame]:
     """(works, claims) after resolution. Works without claims stay as they are."""
+    # one window over the chain gives the winners and, of every claim with a work, whether it won
     owned = _claims_of_works(claims, source_titles, versions)
-    best = winning_claims(owned, ["work_id"], authoritative_first)
-    wide = best.where(F.col("field_name").isin(*WORK_FIELDS)).groupBy("work_id").pivot("field_name", list(WORK_FIELDS)).agg(F.first("value"))
-    wide = wide.select(F.col("work_id").alias("__w"), *(F.col(f).alias(f"__{f}") for f in WORK_FIELDS))
+    first = [F.desc("is_metadata_authoritative")] if authoritative_first else []
+    placed = ranked(owned, ["work_id", "field_name"], *first, F.desc("confidence"), F.desc("created_at"), F.asc("id"), name="__n")
+    value = F.coalesce(truthy("normalised_value"), F.col("raw_value"))
+    chosen = [F.max(F.when((F.col("__n") == 1) & (F.col("field_name") == f), value)).alias(f"__{f}") for f in WORK_FIELDS]
+    told = F.max(F.when((F.col("__n") == 1) & F.col("field_name").isin(*WORK_FIELDS), True)).alias("__any")
+    wide = placed.groupBy(F.col("work_id").alias("__w")).agg(*chosen, told)
     joined = works.join(wide, works["id"] == F.col("__w"), "left")
     new = {c: F.coalesce(truthy(F.col(f"__{f}")), F.col(c)) for f, c in WORK_FIELDS.items()}
-    new["updated_at"] = F.when(F.col("__w").isNotNull(), as_of).otherwise(F.col("updated_at"))
+    new["updated_at"] = F.when(F.col("__any"), as_of).otherwise(F.col("updated_at"))
     out_works = joined.select(*(new.get(c, F.col(c)).alias(c) for c in works.columns))
-    won = best.select(F.col("id").alias("__id"), F.lit(True).alias("__won"))
-    mine = owned.select(F.col("id").alias("__mine")).distinct()
-    flagged = claims.join(mine, claims["id"] == F.col("__mine"), "left").join(won, claims["id"] == F.col("__id"), "left")
-    flag = F.when(F.col("__mine").isNull(), F.col("is_resolved")).otherwise(F.coalesce("__won", F.lit(False)))
+    won = placed.groupBy(F.col("id").alias("__id")).agg(F.max(F.col("__n") == 1).alias("__won"))
+    flagged = claims.join(won, claims["id"] == F.col("__id"), "left")
+    flag = F.coalesce("__won", "is_resolved")
     return out_works, flagged.select(*(flag.alias(c) if c == "is_resolved" else F.col(c) for c in claims.columns))
 
 

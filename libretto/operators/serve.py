@@ -69,8 +69,12 @@ def works_with_tag(t: Tables, tags: list[str]) -> DataFrame:
     return claims_of_works(t).where(F.col("field_name").isin("tags", "genres") & wanted).select("work_id").distinct()
 
 
-def search(t: Tables, q: str = "", status: str | None = None, language: str | None = None, tags: str = "", exclude_tags: str = "", chap_min: int | None = None, chap_max: int | None = None, sort: str = "popular", number: int = 1, size: int = 20) -> DataFrame:
-    """Faceted search: text in title or synopsis, equality filters, tags to have and not to have, chapter bounds."""
+def search(t: Tables, q: str = "", status: str | None = None, language: str | None = None, tags: str = "", exclude_tags: str = "", chap_min: int | None = None, chap_max: int | None = None, sort: str = "popular", number: int = 1, size: int = 20, min_rating: float | None = None) -> DataFrame:
+    """Faceted search: text in title or synopsis, equality filters, tags to have and not to have, chapter bounds.
+
+    ``min_rating`` is accepted and says nothing: works have no ratings. Where neither
+    chapter bounds nor the order need counts, the page is taken before cards are made.
+    """
     w = t["works"]
     tests = [F.lit(True)]
     if q:
@@ -84,12 +88,28 @@ def search(t: Tables, q: str = "", status: str | None = None, language: str | No
         w = w.join(works_with_tag(t, have), F.col("id") == F.col("work_id"), "left_semi")
     if lack := T.parse_csv(exclude_tags):
         w = w.join(works_with_tag(t, lack), F.col("id") == F.col("work_id"), "left_anti")
+    order = orders().get(sort, orders()["popular"])
+    if chap_min is None and chap_max is None and sort in CARD_FREE:
+        # the order reads the works alone: only the page's rows get cards, of claims and chapters that are theirs
+        ids = page(w.select("id", F.coalesce("title", F.lit("")).alias("title"), "created_at", "updated_at"), order, number, size).select(F.col("id").alias("__id"))
+        chosen = w.join(F.broadcast(ids), F.col("id") == F.col("__id"), "left_semi")
+        return cards(narrowed(t | {"works": chosen})).orderBy(*order)
     found = cards(t | {"works": w})
     if chap_min is not None:
         found = found.where(F.col("total_chapters") >= chap_min)
     if chap_max is not None:
         found = found.where(F.col("total_chapters") <= chap_max)
-    return page(found, orders().get(sort, orders()["popular"]), number, size)
+    return page(found, order, number, size)
+
+
+#: Orders that need no more than the works.
+CARD_FREE = frozenset(("updated", "new", "rating", "az"))
+
+
+def narrowed(t: Tables) -> Tables:
+    """Tables with the versions of the works in ``works`` alone, and what hangs on those: few works are not looked up among all."""
+    v = t["versions"].join(F.broadcast(t["works"].select(F.col("id").alias("work_id"))), "work_id", "left_semi")
+    return t | {"versions": v}
 
 
 def listing(t: Tables, status: str | None = None, sort: str = "popular", number: int = 1, size: int = 20) -> DataFrame:
@@ -109,20 +129,22 @@ def terms_of(t: Tables, fields: tuple[str, ...] = ("tags", "genres"), resolved:
 
 def similar(t: Tables, work_id: str, size: int = 12) -> DataFrame:
     """Other works with a claim value that contains one of this work's terms, latest first."""
-    terms = terms_of(t).where(F.col("work_id") == work_id).select("term")
-    joined = F.concat_ws("|", F.transform(F.array_sort(F.collect_set("term")), lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))))
-    pattern = terms.agg(joined.alias("pattern")).where(F.col("pattern") != "")
-    others = claims_of_works(t).where(F.col("field_name").isin("tags", "genres") & (F.col("work_id") != work_id))
-    hits = others.join(F.broadcast(pattern), F.expr("lower(coalesce(nullif(normalised_value, ''), raw_value)) rlike pattern")).select("work_id").distinct()
-    return page(cards(t | {"works": t["works"].join(hits, F.col("id") == F.col("work_id"), "left_semi")}), [F.desc_nulls_last("updated_at"), F.asc("id")], 1, size)
+    mine = terms_of(narrowed(t | {"works": t["works"].where(F.col("id") == work_id).select("id")})).select("term")
+    # one row: the terms of one work
+    terms = mine.agg(F.array_sort(F.collect_set("term")).alias("terms")).where(F.size("terms") > 0)
+    said = F.lower(claim_value())
+    others = claims_of_works(t).where(F.col("field_name").isin("tags", "genres") & (F.col("work_id") != work_id)).select("work_id", said.alias("said"))
+    hits = others.join(F.broadcast(terms), F.exists("terms", lambda x: F.col("said").contains(x))).select("work_id").distinct()
+    chosen = page(t["works"].join(hits, F.col("id") == F.col("work_id"), "left_semi"), [F.desc_nulls_last("updated_at"), F.asc("id")], 1, size)
+    return cards(narrowed(t | {"works": chosen})).orderBy(F.desc_nulls_last("updated_at"), F.asc("id"))
 
 
 def detail(t: Tables, key: str) -> DataFrame:
     """Card, tags and sites of one work."""
-    w = by_id_or_slug(t["works"], key)
-    card = cards(t | {"works": w})
-    tags = terms_of(t).groupBy("work_id").agg(F.slice(F.array_sort(F.collect_set("term")), 1, 12).alias("tags"))
-    sites = claims_of_works(t).groupBy("work_id").agg(F.array_sort(F.collect_set("source_site")).alias("sites"))
+    own = narrowed(t | {"works": by_id_or_slug(t["works"], key)})
+    card = cards(own)
+    tags = terms_of(own).groupBy("work_id").agg(F.slice(F.array_sort(F.collect_set("term")), 1, 12).alias("tags"))
+    sites = claims_of_works(own).groupBy("work_id").agg(F.array_sort(F.collect_set("source_site")).alias("sites"))
     return card.join(tags, card["id"] == tags["work_id"], "left").drop("work_id").join(sites, card["id"] == sites["work_id"], "left").drop("work_id")
 
 

@@ -18,6 +18,7 @@ from libretto.functions import text as T
 from libretto.functions import urls as U
 from libretto.operators import clean, ingest, match, resolve, serve
 from libretto.plans import jobs
+from libretto.plans.store import fresh
 from libretto.sources import discover, extract
 from libretto.sources.sites import get_site
 
@@ -101,10 +102,11 @@ def resolve_covers(spark, sf_dir):
     return resolve.resolve_covers(t["works"], t["cover_candidates"], t["source_titles"], t["versions"])[0].select("id", "selected_cover_id")
 
 
-@query("resolve_chapters", """
+@query("best_offers", """
     select l_orderkey version_id, l_linenumber chapter_number, l_suppkey supplier, l_partkey part, cast(l_discount as double) quality from lineitem
     qualify row_number() over (partition by l_orderkey, l_linenumber order by coalesce(l_discount, 0) desc, l_partkey, l_suppkey, l_shipdate) = 1""")
-def resolve_chapters(spark, sf_dir):
+def best_offers(spark, sf_dir):
+    """The ranking alone, over a large table."""
     rows = raw(spark, sf_dir, "lineitem")
     best = resolve.ranked(rows, ["l_orderkey", "l_linenumber"], F.desc(F.coalesce("l_discount", F.lit(0.0))), F.asc("l_partkey"), F.asc("l_suppkey"), F.asc("l_shipdate"), name="n").where("n = 1")
     return best.select(F.col("l_orderkey").alias("version_id"), F.col("l_linenumber").alias("chapter_number"), F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("part"), F.col("l_discount").alias("quality"))
@@ -705,12 +707,12 @@ def streaming_ingest(spark, sf_dir):
     keys = ("source_title_id", "field_name", "claim_hash")
     claims = lambda e: e.select(F.col("user_id").alias("source_title_id"), F.col("event_type").alias("field_name"), F.md5("props").alias("claim_hash"), F.col("event_id").alias("id"))
     stream_claims(spark, f"{sf_dir}/events*.parquet", schema, f"{root}/claims", f"{root}/checkpoint", claims, keys).awaitTermination()
-    return spark.read.parquet(f"{root}/claims")
+    return spark.read.parquet(f"{root}/claims").drop("part")
 
 
 def _shared(spark: SparkSession) -> str:
-    """A fresh folder that all executors reach: below the checkpoint folder, or below the warehouse where none is named."""
-    import uuid
+    """A fresh folder that all executors reach."""
+    return fresh(spark, "stream")
 
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+from libretto import composites  # noqa: E402, F401  (registers its queries)

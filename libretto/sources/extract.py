@@ -212,6 +212,19 @@ def next_page(html: str, base_url: str) -> str | None:
     return None
 
 
+def next_pages(pages: DataFrame, base_url: str) -> DataFrame:
+    """``pages`` (url, html) with the address of each one's next page, or null."""
+    schema = "url string, html string, next_url string"
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [next_page(h, base_url) if h else None for h in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, type=pa.string())], schema=out)
+
+    return pages.select("url", "html").mapInArrow(run, schema)
+
+
 def _extract(pages: DataFrame, site: str | Column, schema: str, each: Callable[[SiteSpec, str, str], list[dict]]) -> DataFrame:
     """Rows that ``each`` makes of every page; pages of unknown sites and null pages make none."""
     ddl = "site_key string, page_url string, " + schema

@@ -11,19 +11,34 @@ from pyspark.sql.streaming import StreamingQuery
 from libretto.operators.ingest import unseen
 
 
-def append_unseen(target: str, keys: tuple[str, ...]) -> Callable[[DataFrame, int], None]:
-    """A batch writer that skips keys the target holds: a batch that is tried again adds nothing twice."""
+#: Parts of a target, by hash of the key: a batch meets only the parts its keys are in.
+PARTS = 64
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def append_unseen(target: str, keys: tuple[str, ...], parts: int = PARTS) -> Callable[[DataFrame, int], None]:
+    """A batch writer that skips keys the target holds: a batch that is tried again adds nothing twice.
+
+    The target is partitioned by a hash of the key, and only the partitions that the
+    batch's keys fall in are read.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        new = batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")).persist()
         try:
-            old = spark.read.schema(batch.schema).parquet(target)
-            old.head(1)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = spark.createDataFrame([], batch.schema)
-        unseen(batch, old, keys).write.mode("append").parquet(target)
+            if _exists(spark, target):
+                mine = [r["part"] for r in new.select("part").distinct().collect()]  # as many as there are parts at most
+                old = spark.read.schema(new.schema).parquet(target).where(F.col("part").isin(mine))
+            else:
+                old = spark.createDataFrame([], new.schema)
+            unseen(new, old, keys).write.mode("append").partitionBy("part").parquet(target)
+        finally:
+            new.unpersist()
 
     return write
 
