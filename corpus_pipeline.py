@@ -19,7 +19,7 @@ from libretto.llm.common import remainder, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Cosine that a long text must reach with some language, and what a text needs per character until then: a few words say little.
-LEAST_COSINE, COSINE_PER_CHAR = 0.2, 0.0016
+LEAST_COSINE, COSINE_PER_CHAR = 0.2, 0.001
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
