@@ -152,8 +152,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     stat = rows.agg(F.count("*").alias("n"), F.count_if(asked).alias("q"), F.max(F.size("v")).alias("width")).first()
     width = max(1, stat["width"] or 0)
     blocks = max(1, min(stat["q"], -(-stat["q"] * width * 8 // BLOCK_BYTES)))
-    # as many shards as their size asks for, and enough for all cores
-    shards = max(min(stat["n"], -(-stat["n"] * width * 8 // SHARD_BYTES)), min(rows.sparkSession.sparkContext.defaultParallelism, -(-stat["n"] // SEGMENT)), 1)
+    # as many shards as their size asks for, and a few for every core
+    shards = max(min(stat["n"], -(-stat["n"] * width * 8 // SHARD_BYTES)), min(4 * rows.sparkSession.sparkContext.defaultParallelism, -(-stat["n"] // SEGMENT)), 1)
     place = F.xxhash64("id", "v")
 
     pilot = rows.orderBy(F.desc("norm"), "id").limit(max(k + 1, min(PILOT, PILOT_BYTES // (8 * width)))).select("id", "v").toPandas()
