@@ -18,7 +18,7 @@ from libretto.functions import text as T
 from libretto.functions import urls as U
 from libretto.operators import clean, ingest, match, resolve, serve
 from libretto.plans import jobs
-from libretto.plans.store import fresh
+from libretto.plans.store import fresh, stored
 from libretto.sources import discover, extract
 from libretto.sources.sites import get_site
 
@@ -655,7 +655,8 @@ def metadata_completeness(spark, sf_dir):
     select md5('novelfull|' || k) source_title_id, x.f field_name, x.v raw_value, md5(x.v) claim_hash, cast(confidence as double) confidence from c where x.v <> ''""")
 def ingest_claims(spark, sf_dir):
     at = F.lit("2026-01-01").cast("timestamp")
-    meta = extract.extract_titles(part_pages(spark, sf_dir), F.col("site_key"))
+    # parsed once: the sources and their claims are both made from it
+    meta = stored(extract.extract_titles(part_pages(spark, sf_dir), F.col("site_key")), "metadata")
     st = ingest.source_title_rows(meta, at)
     return ingest.claim_rows(meta, st, at).select("source_title_id", "field_name", "raw_value", "claim_hash", "confidence")
 
