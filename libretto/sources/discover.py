@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from libretto.functions import urls as U
+from libretto.plans.store import stored
 
 #: Fetch tiers, their names and delays in seconds.
 TIERS = ((1, "httpx", 1.0), (2, "cloudscraper", 2.0), (3, "curl_cffi", 3.0), (4, "scrapling", 5.0))
@@ -29,16 +32,18 @@ def sitemap_urls(sitemaps: DataFrame, xml: str = "xml") -> DataFrame:
 def discover(seeds: DataFrame, links: DataFrame, max_depth: int = MAX_DEPTH, max_pages: int | None = None, max_novels: int | None = None) -> DataFrame:
     """(url, depth, source, slug) of title pages reached breadth-first from ``seeds`` (url, source).
 
-    One join and one anti-join per level. ``max_pages`` bounds the addresses seen in
+    One join and one anti-join per level; links and levels are stored, so that no
+    level computes those before it again. ``max_pages`` bounds the addresses seen in
     order of depth and address, ``max_novels`` the rows returned; both are features
     of the operator and off unless asked for.
     """
-    seen = seeds.groupBy("url").agg(F.min("source").alias("source")).select("url", F.lit(0).alias("depth"), "source")
+    seen = stored(seeds.groupBy("url").agg(F.min("source").alias("source")).select("url", F.lit(0).alias("depth"), "source"), "frontier")
+    links = stored(links.select("url", "link", "is_listing"), "links")
     frontier = seen
     for depth in range(1, max_depth):
         step = frontier.join(links, "url").groupBy("link").agg(F.max("is_listing").alias("listed"), F.min("source").alias("source"))
         new = step.select(F.col("link").alias("url"), F.lit(depth).alias("depth"), F.when(F.col("listed"), "listing").otherwise(F.col("source")).alias("source"))
-        frontier = new.join(seen.select("url"), "url", "left_anti")
+        frontier = stored(new.join(seen.select("url"), "url", "left_anti"), "frontier")
         seen = seen.unionByName(frontier)
     if max_pages is not None:
         seen = seen.orderBy("depth", "url").limit(max_pages)
@@ -76,18 +81,18 @@ def probe_sites(tiers: DataFrame, novels: DataFrame) -> DataFrame:
 def paginate(pages: DataFrame, first: DataFrame, limit: int = 200) -> DataFrame:
     """(start, page, url, html): pages of each list in order, following next-page links at most ``limit`` pages.
 
-    ``pages``: (url, html, next_url). Each round joins only the lists still going on.
+    ``pages``: (url, html, next_url). Each round joins only the lists still going on,
+    to stored links without the texts, and is stored itself; a list ends where it
+    would come back to one of its own pages.
     """
-    at = first.select(F.col("url").alias("start"), F.col("url"), F.lit(1).alias("page"))
-    out, n = at.join(pages, "url").select("start", "page", "url", "html", "next_url"), 1
-    done, going = out, out.where(F.col("next_url").isNotNull())
-    while n < limit and not going.isEmpty():
-        n += 1
-        seen = done.select(F.col("start").alias("__s"), F.col("url").alias("__u"))
-        nxt = going.select("start", F.col("next_url").alias("url"), F.lit(n).alias("page"))
-        going = nxt.join(pages, "url").select("start", "page", "url", "html", "next_url").join(seen, (F.col("start") == F.col("__s")) & (F.col("url") == F.col("__u")), "left_anti")
-        done = done.unionByName(going)
-        going = going.where(F.col("next_url").isNotNull())
-    return done.drop("next_url")
-
-
+    links = stored(pages.select("url", "next_url"), "next-links")
+    begin = first.select(F.col("url").alias("start"), "url", F.lit(1).alias("page")).withColumn("trail", F.array("url"))
+    rounds = [stored(begin.join(links, "url"), "lists")]
+    while len(rounds) < limit:
+        going = rounds[-1].where(F.col("next_url").isNotNull() & ~F.array_contains("trail", F.col("next_url")))
+        if going.isEmpty():
+            break
+        step = going.select("start", F.col("next_url").alias("url"), F.lit(len(rounds) + 1).alias("page"), F.array_append("trail", F.col("next_url")).alias("trail"))
+        rounds.append(stored(step.join(links, "url"), "lists"))
+    places = reduce(DataFrame.unionByName, [r.select("start", "page", "url") for r in rounds])
+    return places.join(pages.select("url", "html"), "url").select("start", "page", "url", "html")
