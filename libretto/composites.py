@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from libretto import oracles as O
 from libretto import schema
+from libretto import site_pages as P
 from libretto.fixtures import domain, raw
 from libretto.functions import scores as S
 from libretto.functions import text as T
@@ -445,6 +446,36 @@ def probe_sites(spark, sf_dir):
     return discover.probe_sites(tiers, novels)
 
 
+# -- pages of every site ----------------------------------------------------------------------
+
+AT = P.filled_sql
+
+
+@query("site_titles", f"""
+    with {P.ANSWERS} select site_key, base || {AT("address")} source_url, {AT("source_id")} source_id, replace(p_name, ' ', ' & ') title, case when has_author then p_brand end author, status from p""")
+def site_titles(spark, sf_dir):
+    """A title page of each of the 26 sites in turn."""
+    return extract.extract_titles(P.title_pages(spark, sf_dir), F.col("site_key")).select("site_key", "source_url", "source_id", "title", "author", "status")
+
+
+@query("site_listings", f"""
+    with {P.ANSWERS}, c as (select *, unnest([1, 2]) c from p)
+    select site_key, base || {AT("address")} page_url, {AT("chapter_id", "cast(c as varchar)")} source_chapter_id, base || {AT("chapter", "cast(c as varchar)")} source_url, 'Chapter ' || c title, cast(c as double) chapter_number from c""")
+def site_listings(spark, sf_dir):
+    """A list of two chapters of each site."""
+    return extract.extract_listings(P.listing_pages(spark, sf_dir), F.col("site_key")).select("site_key", "page_url", "source_chapter_id", "source_url", "title", "chapter_number")
+
+
+@query("site_contents", f"""
+    with {P.ANSWERS}
+    select site_key, base || {AT("chapter", "'1'")} source_url, {AT("chapter_id", "'1'")} source_chapter_id, 'Chapter 1' title, 1e0 chapter_number,
+           case when site_key = 'archiveofourown' then 'Chapter 1' else 'Text of ' || replace(p_name, ' ', ' &amp; ') end body from p""")
+def site_contents(spark, sf_dir):
+    """A chapter page of each site: its content without tags."""
+    found = extract.extract_contents(P.chapter_pages(spark, sf_dir), F.col("site_key"))
+    return found.select("site_key", "source_url", "source_chapter_id", "title", "chapter_number", F.regexp_replace("raw_content", "<[^>]*>", "").alias("body"))
+
+
 @query("image_headers", """
     select p_partkey, case p_partkey % 4 when 0 then 'png' when 1 then 'gif' when 2 then 'jpeg' end image_format, case when p_partkey % 4 < 3 then p_size * 7 end width, case when p_partkey % 4 < 3 then p_size * 9 + 1 end height,
            'covers/' || p_partkey || '.' || case p_partkey % 4 when 0 then 'png' when 1 then 'gif' when 2 then 'jpeg' else 'jpg' end path from part""")

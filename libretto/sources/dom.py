@@ -13,6 +13,12 @@ CLOSES = {"li": ("li",), "p": ("p",), "option": ("option",), "dt": ("dt", "dd"),
 
 #: Elements past which an omitted end tag does not reach.
 BOUNDS = frozenset("ul ol dl table tbody thead select div section article body td th blockquote".split())
+#: Elements whose text is no markup.
+RAW = ("script", "style")
+
+
+def escaped(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
 
 
 class Node:
@@ -51,10 +57,11 @@ class Node:
             self.parent = None
 
     def html(self) -> str:
-        inner = "".join(c if isinstance(c, str) else c.html() for c in self.children)
+        said = (lambda c: c) if self.tag in RAW else escaped
+        inner = "".join(said(c) if isinstance(c, str) else c.html() for c in self.children)
         if self.tag == "#root":
             return inner
-        attrs = "".join(f' {k}="{v}"' for k, v in self.attrs.items())
+        attrs = "".join(f' {k}="{escaped(v).replace(chr(34), "&quot;")}"' for k, v in self.attrs.items())
         return f"<{self.tag}{attrs}>" + ("" if self.tag in VOID else f"{inner}</{self.tag}>")
 
     def select(self, selector: str) -> list[Node]:

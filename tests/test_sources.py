@@ -111,3 +111,19 @@ def test_images(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(png)
     r = images.read_covers(spark, str(tmp_path)).first()
     assert (r["image_format"], r["width"], r["quality_score"]) == ("png", 300, 0.86)
+
+
+def test_markup_of_text_stays_text():
+    page = parse("<div class='chapter-content' title='a &quot;b&quot;'><p>1 &lt; 2 &amp;amp; &lt;b&gt;no tag&lt;/b&gt;</p><style>p > a {}</style></div>")
+    assert page.first("div").html() == '<div class="chapter-content" title="a &quot;b&quot;"><p>1 &lt; 2 &amp;amp; &lt;b&gt;no tag&lt;/b&gt;</p><style>p > a {}</style></div>'
+
+
+def test_long_lists_end(spark):
+    """Lists of thirty pages, one that bites its tail, and the limit."""
+    rows = [(f"a{k}", "h", f"a{k + 1}" if k < 29 else None) for k in range(30)] + [("b0", "h", "b1"), ("b1", "h", "b0")]
+    pages = spark.createDataFrame(rows, "url string, html string, next_url string")
+    first = spark.createDataFrame([("a0",), ("b0",), ("gone",)], "url string")
+    got = [(r["start"], r["page"], r["url"]) for r in discover.paginate(pages, first).collect()]
+    assert sorted(got) == sorted([("a0", k + 1, f"a{k}") for k in range(30)] + [("b0", 1, "b0"), ("b0", 2, "b1")])
+    assert discover.paginate(pages, first, limit=3).count() == 5
+    assert discover.paginate(pages, first.limit(0)).count() == 0
