@@ -79,6 +79,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_deleted_interpolation": op2_deleted_interpolation,
@@ -90,6 +103,8 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash_gray": op9_simhash_gray,
     "op10_language_id": op10_language_id,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 #: A-Z to lower case, and the separators of decontamination words, in DuckDB.
@@ -151,4 +166,26 @@ ORACLES: dict[str, str] = {
             from rows q join rows c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)
         select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) "rank", vec_id, score
         from scored qualify "rank" <= 5""",
+    "op11_exact_dedup": r"""
+        with texts as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) text_sha256 from documents)
+        select doc_id, min(doc_id) over same keep_id, count(*) over same group_size, doc_id = min(doc_id) over same kept, text_sha256
+        from texts window same as (partition by text_sha256)""",
+    "op12_hard_negatives": """
+        with rows as (
+            select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v
+            from embeddings
+            where vec_id is not null and label is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        scored as (
+            select a.vec_id anchor_id, c.vec_id, a.label = c.label same,
+                   cast(coalesce(list_sum(list_transform(list_zip(a.v, c.v), lambda p: coalesce(p[1] * p[2], 0))), 0) as bigint) score
+            from rows a join rows c on a.vec_id % 50 = 0 and c.vec_id <> a.vec_id),
+        positives as (
+            select anchor_id, vec_id positive_id, score positive_score from scored where same
+            qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+        select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as integer) "rank",
+               vec_id negative_id, positive_score, score negative_score
+        from positives join scored using (anchor_id)
+        where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+        qualify "rank" <= 3""",
 }
