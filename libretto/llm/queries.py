@@ -92,6 +92,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(table(spark, sf_dir, "embeddings").withColumn("label", moved))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_deleted_interpolation": op2_deleted_interpolation,
@@ -105,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op10_language_id": op10_language_id,
     "op11_exact_dedup": op11_exact_dedup,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 #: A-Z to lower case, and the separators of decontamination words, in DuckDB.
@@ -188,4 +195,33 @@ ORACLES: dict[str, str] = {
         from positives join scored using (anchor_id)
         where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
         qualify "rank" <= 3""",
+    "op13_source_divergence": f"""
+        with docs as (
+            select coalesce(lang, '') lang, coalesce(source, '') source,
+                   list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') w
+            from documents),
+        groups as (select distinct lang, source from docs),
+        said as (select lang, source, unnest(w) term from docs),
+        kept as (select lang, term from (select lang, unnest(list_distinct(w)) term from docs) group by lang, term having count(*) >= 10),
+        vocabulary as (select lang, count(*) v from kept group by lang),
+        counts as (select lang, source, term, count(*) n from said semi join kept using (lang, term) group by lang, source, term),
+        full_counts as (select g.lang, g.source, k.term, coalesce(n, 0) n from groups g join kept k using (lang) left join counts using (lang, source, term)),
+        ps as (
+            select lang, source, term, n, 1 + (1000000000::hugeint * (n + 2)) // (sum(n) over (partition by lang, source) + 2 * v) p
+            from full_counts join vocabulary using (lang)),
+        totals as (select lang, term, sum(n) n from full_counts group by lang, term),
+        qs as (select lang, term, 1 + (1000000000::hugeint * (n + 2)) // (sum(n) over (partition by lang) + 2 * v) q from totals join vocabulary using (lang)),
+        sums as (
+            select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) value
+            from ps a join ps b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+        pairs as (
+            select a.lang, a.source, 'pair' part, b.source item, cast(coalesce(value, 0) as bigint) value
+            from groups a join groups b on a.lang = b.lang and a.source <> b.source left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+        terms as (
+            select lang, source, 'term' part, term item, cast((p - q) * (p - q) // (p + q) as bigint) value
+            from ps join qs using (lang, term) where n > 0 and p > q),
+        ranked as (
+            select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) "rank"
+            from (select * from pairs union all select * from terms))
+        select * from ranked where part = 'pair' or "rank" <= 10""",
 }
