@@ -120,7 +120,8 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc
         place = place + F.when(F.col("id").cast("double") <= cut, 0).otherwise(1)
     rows = rows.withColumn("batch", place)
     path = _fresh(spark, "digest-index")
-    buckets = min(MOST_PARTS, max(-(-n // BUCKET_ROWS), min(spark.sparkContext.defaultParallelism, max(1, n))))
+    # with fewer buckets than shuffle partitions Spark would rather shuffle the index
+    buckets = min(MOST_PARTS, max(-(-n // BUCKET_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     index = DigestIndex.create(spark, path, buckets, dict(rows.dtypes)["id"])
     at, fs = _hadoop(spark, path)
     fs.deleteOnExit(at)
