@@ -2,64 +2,120 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from libretto.functions import text as T
 from libretto.functions.fuzzy import can_reach, ratio
-from libretto.plans.store import stored
+from libretto.plans.store import forget, stored
 from libretto.schema import det_id
 
 WORK_RATIO, TRANSLATOR_RATIO, EXACT_RATIO = 90.0, 85.0, 98.0
 
 
-#: Shortest key that is blocked by groups of three letters.
-LONG = 12
+#: Letters of a key's signature, twelve to a long: of each, up to five occurrences are told apart.
+LETTERS = ("abcdefghijkl", "mnopqrstuvwx", "yz0123456789")
+#: Rows of one segment from which on it counts as hot, and most segments that can be hot.
+HOT_ROWS, MOST_HOT = 4096, 100_000
+
+
+def signature(key: Column) -> list[Column]:
+    """Longs that differ in at most as many bits as letters have to be put in or taken out to make one key of another."""
+    many = lambda c: F.length(key) - F.length(F.replace(key, F.lit(c), F.lit("")))
+    unary = lambda c: F.call_function("shiftleft", F.lit(1), F.least(many(c), F.lit(5))) - 1
+    return [reduce(lambda a, b: a + b, (F.shiftleft(unary(c).cast("long"), 5 * k) for k, c in enumerate(letters))) for letters in LETTERS]
+
+
+def edits(least: float, total: Column) -> Column:
+    """Most letters that two keys of ``total`` letters may have apart at a ratio of ``least``."""
+    return F.floor((100 - least) / 100 * total + 1e-9).cast("int")
+
 
+def _parts(n: Column, least: float) -> Column:
+    """Segments of a key of ``n`` letters: one more than the edits to its longest partner."""
+    return edits(least, n + F.floor(n * (200 - least) / least + 1e-9)) + 1
 
-def _blocks(side: DataFrame, least: float, both: bool) -> DataFrame:
-    """(id, key, size, band, gram): grams of each key, with the sizes and length bands in which a partner may look for it."""
-    reach = (200 - least) / least
-    n, slack = F.length("key"), reach - 1
-    if slack * 3 < 0.8:
-        edge = int(LONG * reach) + 1
-        sizes = F.when(n < LONG, F.array(F.lit(2))).when(n <= edge, F.array(F.lit(2), F.lit(3))).otherwise(F.array(F.lit(3)))
-    else:
-        sizes = F.array(F.lit(2 if slack < 0.5 else 1))
-    band = F.floor(F.log(n) / F.log(F.lit(reach))).cast("int")
-    bands = F.array(band - 1, band, band + 1) if both else F.array(band)
-    keyed = side.where(n > 0).select("id", "key", F.explode(sizes).alias("size"), bands.alias("bands"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - F.col("size") + 1, F.lit(1))), lambda k: F.substring(F.col("key"), k, F.col("size"))))
-    return keyed.select("id", "key", "size", "bands", F.explode(grams).alias("gram"))
+
+def indexed_segments(side: DataFrame, least: float) -> DataFrame:
+    """(segment, id, n, s0, s1, s2): each key (id, key) cut into even segments, each known by the key's length, its own place and its letters."""
+    n = F.length("key")
+    cut = side.where(n > 0).select("id", "key", n.alias("n"), _parts(n, least).alias("m")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    start = F.floor(F.col("j") * F.col("n") / F.col("m")).cast("int")
+    end = F.floor((F.col("j") + 1) * F.col("n") / F.col("m")).cast("int")
+    letters = F.substring(F.col("key"), start + 1, end - start)
+    signs = [s.alias(f"s{k}") for k, s in enumerate(signature(F.col("key")))]
+    return cut.select(F.xxhash64("n", "j", letters).alias("segment"), "id", "n", *signs)
+
+
+def probed_segments(side: DataFrame, least: float) -> DataFrame:
+    """(segment, id, n, s0, s1, s2): where a partner's segments may stand in each key (id, key).
+
+    For each partner's length, and each of its segments j: some segment is whole, with
+    exactly j edits before it and the rest of them behind it. So it has moved by j, j -
+    2, ... or -j letters, and what the lengths still differ by has to fit behind it.
+    """
+    own, reach = F.col("n"), (200 - least) / least
+    signs = [s.alias(f"s{k}") for k, s in enumerate(signature(F.col("key")))]
+    keyed = side.where(F.length("key") > 0).select("id", "key", F.length("key").alias("n"), *signs)
+    lengths = F.sequence(F.ceil(own / reach - 1e-9).cast("int"), F.floor(own * reach + 1e-9).cast("int"))
+    cut = keyed.withColumn("other", F.explode(lengths))
+    cut = cut.withColumns({"most": edits(least, own + F.col("other")), "m": _parts(F.col("other"), least)})
+    cut = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.least(F.col("m") - 1, F.col("most")))))
+    cut = cut.withColumn("moved", F.explode(F.sequence(-F.col("j"), F.col("j"), F.when(F.col("j") > 0, 2).otherwise(1))))
+    start = F.floor(F.col("j") * F.col("other") / F.col("m")).cast("int")
+    size = F.floor((F.col("j") + 1) * F.col("other") / F.col("m")).cast("int") - start
+    cut = cut.withColumns({"start": start + F.col("moved"), "size": size})
+    fits = (F.abs(own - F.col("other") - F.col("moved")) <= F.col("most") - F.col("j")) & (F.col("start") >= 0) & (F.col("start") + F.col("size") <= own)
+    letters = F.substring(F.col("key"), F.col("start") + 1, F.col("size"))
+    return cut.where(fits).select(F.xxhash64(F.col("other"), "j", letters).alias("segment"), "id", "n", "s0", "s1", "s2")
+
+
+def close_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(l_id, r_id): distinct pairs of (id, key) rows that share a segment and whose letters do not already differ too much.
+
+    All pairs of a ratio of at least ``least`` are among them, and few others. A hot
+    segment's rows are dealt into cells of about HOT_ROWS on either side, each side
+    repeated for the other's; that there are few hot segments follows from their size.
+    """
+    held, asked = stored(indexed_segments(right, least), "segments"), stored(probed_segments(left, least), "probes")
+    sizes = stored(held.groupBy("segment").agg(F.count("*").alias("held")).join(asked.groupBy("segment").agg(F.count("*").alias("asked")), "segment"), "segment-sizes")
+    total = sizes.agg(F.sum(F.col("held") + F.col("asked"))).first()[0] or 0
+    limit = max(HOT_ROWS, -(-total // MOST_HOT))
+    hot = F.broadcast(sizes.where((F.col("held") > limit) | (F.col("asked") > limit)).select("segment", F.ceil(F.col("held") / limit).cast("int").alias("rows"), F.ceil(F.col("asked") / limit).cast("int").alias("columns")))
+
+    def celled(df: DataFrame, own: str, other: str) -> DataFrame:
+        # a row stands in one line of cells of its own side, and in all of the other's
+        spread = df.join(hot, "segment", "left").withColumn(own[0], F.pmod(F.xxhash64("id"), F.coalesce(own, F.lit(1))).cast("int"))
+        return spread.withColumn(other[0], F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).drop("rows", "columns")
+
+    l, r = celled(asked, "columns", "rows"), celled(held, "rows", "columns")
+    r = r.select("segment", "r", "c", F.col("id").alias("r_id"), F.col("n").alias("r_n"), *(F.col(f"s{k}").alias(f"t{k}") for k in range(3)))
+    apart = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))) for k in range(3)))
+    met = l.join(r, ["segment", "r", "c"]).where(apart <= edits(least, F.col("n") + F.col("r_n")))
+    out = stored(met.select(F.col("id").alias("l_id"), "r_id").distinct(), "close-pairs")
+    forget(held, asked, sizes)
+    return out
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(l_id, r_id, score): pairs of (id, key) rows whose keys have an indel ratio of at least ``least``.
+    """(l_id, r_id, score): pairs of (id, key) rows, ids distinct on either side, whose keys have an indel ratio of at least ``least``.
 
     Blocking loses nothing. A ratio of ``least`` allows d = (1 - least/100) * (both
-    lengths) insertions and deletions, at most (2 * (100 - least) / least) times a
-    key's own length. Each spoils at most g grams of g letters, so the keys share one
-    of their g*d + 1 rarest grams, in one order for all. Long keys use grams of three
-    letters, short ones of two, those between both; keys whose lengths lie more than
-    one factor (200 - least) / least apart are never met. Keys that are empty match
-    nothing. Keys are over [a-z0-9 ], so the table of gram counts has at most
-    37**3 + 37**2 rows.
+    lengths) letters put in or taken out. The right key, cut into more than d segments,
+    keeps one whole, which stands in the left key near its place. So keys meet by
+    (length, number of the segment, its letters); pairs whose letters alone, counted,
+    differ by more than d go before the similarity is computed. Keys that are empty
+    match nothing. ``least`` has to be above 200 / 3: below, segments would be shorter
+    than a letter.
     """
-    slack = (100 - least) / least * 2
-    keyed = [_blocks(left, least, False), _blocks(right, least, True)]
-    often = F.broadcast(keyed[1].groupBy("gram").count())
-
-    def rare(df: DataFrame) -> DataFrame:
-        order = Window.partitionBy("id", "size").orderBy(F.coalesce("count", F.lit(0)), "gram")
-        allowed = F.floor(F.length("key") * slack + 1e-9) * F.col("size") + 1
-        kept = df.join(often, "gram", "left").withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= allowed)
-        return kept.select("id", "key", "gram", F.explode("bands").alias("band"))
-
-    l, r = (rare(k) for k in keyed)
-    joined = l.select(F.col("id").alias("l_id"), F.col("key").alias("l_key"), "gram", "band").join(r.select(F.col("id").alias("r_id"), F.col("key").alias("r_key"), "gram", "band"), ["gram", "band"])
-    near = joined.where(can_reach(F.col("l_key"), F.col("r_key"), least)).select("l_id", "l_key", "r_id", "r_key").distinct()
+    if least <= 200 / 3:
+        raise ValueError("a ratio of 66.7 or less leaves no segment whole")
+    pairs = close_pairs(left, right, least)
+    keyed = pairs.join(left.select(F.col("id").alias("l_id"), F.col("key").alias("l_key")), "l_id").join(right.select(F.col("id").alias("r_id"), F.col("key").alias("r_key")), "r_id")
     score = F.when(F.col("l_key") == F.col("r_key"), 100.0).otherwise(ratio(F.col("l_key"), F.col("r_key")))
-    return near.withColumn("score", score).where(F.col("score") >= least).select("l_id", "r_id", "score")
+    return keyed.withColumn("score", score).where(F.col("score") >= least).select("l_id", "r_id", "score")
 
 
 def match_works(candidates: DataFrame, works: DataFrame, least: float = WORK_RATIO) -> DataFrame:
@@ -103,7 +159,9 @@ def founders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         before = state.select(F.col("node").alias("earlier"), F.col("found").alias("was"))
         told = edges.join(before, "earlier").groupBy(F.col("later").alias("node")).agg(F.max(F.coalesce("was", F.lit(False))).alias("taken"), F.max(F.col("was").isNull()).alias("waits"))
         now = F.when(F.col("taken"), False).when(F.coalesce("waits", F.lit(False)), None).otherwise(True)
-        state = stored(state.join(told, "node", "left").select("node", "rank", F.coalesce("found", now).alias("found")), "founders")
+        done = stored(state.join(told, "node", "left").select("node", "rank", F.coalesce("found", now).alias("found")), "founders")
+        forget(state)
+        state = done
     return state.where("found").select("node", "rank")
 
 

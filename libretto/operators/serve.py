@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from libretto.functions import text as T
 
+from .search_index import TextIndex
+
 Tables = dict[str, DataFrame]
 
 #: Sort orders of the catalogue; an unknown name means the first. The id makes every order total.
@@ -69,21 +71,25 @@ def works_with_tag(t: Tables, tags: list[str]) -> DataFrame:
     return claims_of_works(t).where(F.col("field_name").isin("tags", "genres") & wanted).select("work_id").distinct()
 
 
-def search(t: Tables, q: str = "", status: str | None = None, language: str | None = None, tags: str = "", exclude_tags: str = "", chap_min: int | None = None, chap_max: int | None = None, sort: str = "popular", number: int = 1, size: int = 20, min_rating: float | None = None) -> DataFrame:
+def search(t: Tables, q: str = "", status: str | None = None, language: str | None = None, tags: str = "", exclude_tags: str = "", chap_min: int | None = None, chap_max: int | None = None, sort: str = "popular", number: int = 1, size: int = 20, min_rating: float | None = None, index: TextIndex | None = None) -> DataFrame:
     """Faceted search: text in title or synopsis, equality filters, tags to have and not to have, chapter bounds.
 
+    With an ``index`` of the works' texts no work is tested for ``q`` but the few that the index finds.
+
     ``min_rating`` is accepted and says nothing: works have no ratings. Where neither
     chapter bounds nor the order need counts, the page is taken before cards are made.
     """
     w = t["works"]
     tests = [F.lit(True)]
-    if q:
+    if q and index is None:
         tests.append(F.col("title").ilike(f"%{q}%") | F.col("synopsis").ilike(f"%{q}%"))
     if status:
         tests.append(F.col("status") == status)
     if language:
         tests.append(F.col("original_language") == language)
     w = w.where(reduce(lambda a, b: a & b, tests))
+    if q and index is not None:
+        w = w.join(index.ids(q).withColumnRenamed("id", "__hit"), F.col("id") == F.col("__hit"), "left_semi")
     if have := T.parse_csv(tags):
         w = w.join(works_with_tag(t, have), F.col("id") == F.col("work_id"), "left_semi")
     if lack := T.parse_csv(exclude_tags):

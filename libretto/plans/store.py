@@ -18,8 +18,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def hadoop(spark: SparkSession, path: str):
+    """A path and its file system, as Hadoop's objects."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/libretto/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    folder = f"{shared_dir(spark)}/libretto/{name}-{uuid.uuid4().hex}"
+    at, fs = hadoop(spark, folder)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{folder}/data"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -27,6 +38,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh(spark, name)
     df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df`` stored, and its number of rows."""
+    out = stored(df, name)
+    return out, out.count()
+
+
+def forget(*dfs: DataFrame) -> None:
+    """Delete stored steps that nothing reads any more."""
+    for df in dfs:
+        at, fs = hadoop(df.sparkSession, df.stored_at)
+        fs.delete(at, True)
