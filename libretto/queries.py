@@ -716,4 +716,4 @@ def _shared(spark: SparkSession) -> str:
     return fresh(spark, "stream")
 
 
-from libretto import composites, requests  # noqa: E402, F401  (they register their queries)
+from libretto import composites, requests, stateful  # noqa: E402, F401  (they register their queries)
