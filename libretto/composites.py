@@ -5,6 +5,8 @@ Fixtures are SQL that Spark and DuckDB both run over the driver's tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from libretto import site_pages as P
 from libretto.fixtures import domain, raw
 from libretto.functions import scores as S
 from libretto.functions import text as T
+from libretto.functions.repair import misread, repaired
 from libretto.operators import clean, ingest, resolve, serve
 from libretto.plans import api, jobs
 from libretto.plans.store import fresh
@@ -377,6 +380,20 @@ def quality_notes(spark, sf_dir):
     return p.select("doc_id", F.array_join(S.chapter_quality(F.col("p"), F.col("w"))["notes"], "; ").alias("notes"))
 
 
+#: How each seventh of the documents was misread before it is repaired: not at all, once, twice or three times over.
+DAMAGE = ((), ("latin-1",), ("cp1252",), ("cp1252", "cp1252"), ("latin-1", "cp1252", "cp1252"), ("mac_roman",), ("latin-1", "cp437"))
+
+
+@query("text_repair", r"select doc_id, doc_id % 7 kind, md5(text) digest, regexp_matches(text, '[^\x00-\x7F]') beyond_ascii from documents")
+def text_repair(spark, sf_dir):
+    """Every document damaged in one of six ways, or not, and restored: the texts of the table have no quotes or ligatures that repair would rewrite."""
+    said = F.col("text")
+    for k, names in enumerate(DAMAGE):
+        said = F.when(F.col("doc_id") % len(DAMAGE) == k, reduce(misread, names, F.col("text"))).otherwise(said)
+    rows = raw(spark, sf_dir, "documents").select("doc_id", said.alias("said"), F.col("text").rlike(r"[^\x00-\x7F]").alias("beyond_ascii"))
+    return rows.select("doc_id", (F.col("doc_id") % 7).alias("kind"), F.md5(repaired(F.col("said"))).alias("digest"), "beyond_ascii")
+
+
 # -- sources ----------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from libretto.functions import scores as S
 from libretto.functions import text as T
 from libretto.functions import urls as U
 from libretto.functions.fuzzy import indel_ratio, lcs
-from libretto.functions.repair import fix_text
+from libretto.functions.repair import fix_text, misread, reading, repaired
 from libretto.operators.clean import clean
 
 
@@ -121,3 +121,53 @@ def test_similarity():
 
 def test_repair():
     assert fix_text("cafÃ© “x” ﬁn\r\n") == 'café "x" fin\n' and fix_text(None) is None and fix_text("plain") == "plain"
+
+
+SENTENCES = (
+    "L’été “déjà” vu… – naïve coöperation", "¿Dónde está? ¡Aquí, señor!", "Straße, Größe, ÄÖÜ „gut“", "Привет, мир: как дела?", "日本語の本 です", "SCHÖN IST’S, ÜBERALL!! NICHTS GEHÖRT DÖ!!",
+    "5 € – 10 £ ±3° ½", "emoji 😀 ok", "Ελληνικά γράμματα", "plain words", "",
+)
+#: Text that looks like damage in part, and is none.
+CLEAN = ("été…» dit-il", "LIBERTÉ» et MAÇû» fin", "РІК УКРАЇНИ Її", "CAFÉ—bar, word—élan", "──┤ box ├──", "AT&T <b>", "«é» et «à»")
+
+
+def damaged(text, *names):
+    for name in names:
+        text = text.encode().decode("latin-1").translate({128 + k: c for k, c in enumerate(reading(name))})
+    return text
+
+
+@pytest.mark.parametrize("names", [("latin-1",), ("cp1252",), ("cp1252", "cp1252"), ("latin-1", "cp1252", "cp1252"), ("cp1252", "latin-1")])
+def test_repair_of_nested_damage(names):
+    for text in (*SENTENCES, "\n".join(SENTENCES)):
+        assert fix_text(damaged(text, *names)) == fix_text(text)
+    assert fix_text(f"good é and {damaged('bad é', *names)}") == "good é and bad é"
+
+
+@pytest.mark.parametrize("name", ["mac_roman", "cp437"])
+def test_repair_of_western_text(name):
+    for text in (SENTENCES[0], SENTENCES[1], SENTENCES[2], SENTENCES[5]):
+        assert fix_text(damaged(text, name)) == fix_text(text)
+
+
+def test_repair_of_cyrillic_and_windows_controls():
+    assert fix_text(damaged("Привет, как дела", "cp1251")) == "Привет, как дела"
+    assert fix_text("he said \x93yes\x94\x85") == 'he said "yes"…' and fix_text("Ｆｕｌｌ　ｗｉｄｔｈ\x1b[31m") == "Full width"
+
+
+@pytest.mark.parametrize("text", CLEAN)
+def test_clean_text_is_left_alone(text):
+    assert fix_text(text) == text
+
+
+def test_misread_is_what_python_reads(spark):
+    rows = spark.createDataFrame([(t,) for t in SENTENCES], "t string")
+    for name in ("latin-1", "cp1252", "mac_roman", "cp1251"):
+        got = rows.select("t", misread(F.col("t"), name).alias("bad"), repaired(misread(F.col("t"), name)).alias("good")).collect()
+        assert all(r["bad"] == damaged(r["t"], name) for r in got)
+        assert all(r["good"] == fix_text(r["bad"]) for r in got)
+
+
+def test_long_damaged_lines():
+    text = "Größe und Maß, déjà vu. " * 8000
+    assert fix_text(damaged(text, "cp1252")) == text
