@@ -17,7 +17,7 @@ from libretto.fixtures import domain, raw
 from libretto.functions import scores as S
 from libretto.functions import text as T
 from libretto.functions.repair import misread, repaired
-from libretto.operators import clean, ingest, resolve, serve
+from libretto.operators import bulk, clean, ingest, resolve, serve
 from libretto.plans import api, jobs
 from libretto.plans.store import fresh
 from libretto.queries import CARD_TABLES, CARDS, CLAIMS, OWNED, PARAS, SCORE, SORTS, VALUE, WORDS, doc_paragraphs, part_pages, query
@@ -184,12 +184,16 @@ STUBS = "stubs as (select p_partkey k, unnest(range(1, p_partkey % 4 + 1)) n fro
            'Chapter ' || n || case when n < k % 4 then ': Told' else ': Part' end source_title_text, case when n < k % 4 then '<div id="chapter-content"><p>Words of ' || k || '</p></div>' end raw_content from stubs""")
 def ingest_chapters(spark, sf_dir):
     """Stubs of the listings, and contents of the chapters fetched."""
-    return cycle(spark, sf_dir)["source_chapters"].select("source_title_id", "source_chapter_id", "source_url", "chapter_number", "source_title_text", "raw_content")
+    pages, chapters = fetched(spark, sf_dir)
+    t, _ = jobs.ingest_titles(jobs.new_tables(spark), pages, at())
+    t = jobs.ingest_contents(jobs.ingest_listings(t, pages, at()), chapters, at())
+    return t["source_chapters"].select("source_title_id", "source_chapter_id", "source_url", "chapter_number", "source_title_text", "raw_content")
 
 
 @query("ingest_covers", "select md5('novelfull|' || p_partkey) source_title_id, 'https://novelfull.com/c/' || p_partkey || '.jpg' source_url from part")
 def ingest_covers(spark, sf_dir):
-    return cycle(spark, sf_dir)["cover_candidates"].select("source_title_id", "source_url")
+    t, _ = jobs.ingest_titles(jobs.new_tables(spark), fetched(spark, sf_dir)[0], at())
+    return t["cover_candidates"].select("source_title_id", "source_url")
 
 
 @query("ingest_sources", """
@@ -268,14 +272,17 @@ def route_job(spark, sf_dir):
     return api.call(domain(spark, sf_dir, "ingestion_jobs"), "GET", "/api/v1/ingestion/jobs/7")
 
 
-@query("route_new_job", "select 'novelfull' source_site, 'https://novelfull.com/a' source_url, 'full' job_type, 'pending' status")
+@query("route_new_job", "select 'novelfull' source_site, 'https://novelfull.com/' || max(p_partkey) || '.html' source_url, 'full' job_type, 'pending' status from part")
 def route_new_job(spark, sf_dir):
-    row = api.call(jobs.new_tables(spark), "POST", "/api/v1/ingestion/jobs", site="novelfull", url="https://novelfull.com/a", as_of=at())
+    """A job for the page of the last part."""
+    url = f"https://novelfull.com/{raw(spark, sf_dir, 'part').agg(F.max('p_partkey')).first()[0]}.html"
+    row = api.call(jobs.new_tables(spark), "POST", "/api/v1/ingestion/jobs", site="novelfull", url=url, as_of=at())
     return row.select("source_site", "source_url", "job_type", "status")
 
 
-@query("route_adapters", """
-    select * from (values
+@query("route_adapters", f"""
+    with {P.ANSWERS}, n as (select site_key, count(*) pages from p group by 1)
+    select t.*, coalesce(pages, 0) pages from (values
         ('boxnovel', 'BoxNovel', 'https://boxnovel.com', 1e0), ('foxaholic', 'Foxaholic', 'https://foxaholic.com', 1e0), ('novelbuddy', 'NovelBuddy', 'https://novelbuddy.com', 1e0), ('novelfire', 'NovelFire', 'https://novelfire.net', 1e0),
         ('novelfull', 'NovelFull', 'https://novelfull.com', 1e0), ('novelbin', 'NovelBin', 'https://novelbin.com', 1e0), ('readnovelfull', 'Read Novel Full', 'https://readnovelfull.com', 1e0),
         ('archiveofourown', 'Archive of Our Own', 'https://archiveofourown.org', 5e-1), ('chrysanthemumgarden', 'Chrysanthemum Garden', 'https://chrysanthemumgarden.com', 5e-1), ('creativenovels', 'Creative Novels', 'https://creativenovels.com', 5e-1),
@@ -283,9 +290,11 @@ def route_new_job(spark, sf_dir):
         ('hostednovel', 'Hosted Novel', 'https://hostednovel.com', 1e0), ('lightnovelworld', 'LightNovelWorld', 'https://www.lightnovelworld.com', 1e0), ('novelhall', 'Novel Hall', 'https://www.novelhall.com', 1e0),
         ('ranobes', 'Ranobes', 'https://ranobes.net', 5e-1), ('relibrary', 'Re:Library', 'https://re-library.com', 5e-1), ('royalroad', 'Royal Road', 'https://www.royalroad.com', 1e0), ('scribblehub', 'ScribbleHub', 'https://www.scribblehub.com', 1e0),
         ('tapas', 'Tapas', 'https://tapas.io', 5e-1), ('wanderinginn', 'The Wandering Inn', 'https://wanderinginn.com', 5e-1), ('wattpad', 'Wattpad', 'https://www.wattpad.com', 5e-1), ('webnovel', 'WebNovel', 'https://www.webnovel.com', 5e-1),
-        ('wuxiacity', 'Wuxia.city', 'https://wuxia.city', 1e0), ('wuxiaworld', 'WuxiaWorld', 'https://www.wuxiaworld.com', 5e-1)) t(site_key, site_name, base_url, rps)""")
+        ('wuxiacity', 'Wuxia.city', 'https://wuxia.city', 1e0), ('wuxiaworld', 'WuxiaWorld', 'https://www.wuxiaworld.com', 5e-1)) t(site_key, site_name, base_url, rps) left join n using (site_key)""")
 def route_adapters(spark, sf_dir):
-    return sites_table(spark)
+    """Every adapter, with the title pages there are of its site."""
+    pages = P.title_pages(spark, sf_dir).groupBy("site_key").agg(F.count("*").alias("pages"))
+    return sites_table(spark).join(pages, "site_key", "left").fillna(0, ["pages"])
 
 
 @query("route_new_work", "select regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') slug, p_name title, 'ongoing' status, md5('work|' || regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g')) id from part where p_partkey = 5")
@@ -324,20 +333,20 @@ def route_work_chapters(spark, sf_dir):
     return api.call(domain(spark, sf_dir, "works", "versions", "version_chapters"), "GET", "/api/novel/11/chapters", size=25)
 
 
-@query("route_work_versions", "select v.id, created_at, cast(count(c.id) as bigint) chapter_count from versions v left join version_chapters c on v.id = c.version_id where work_id = '11' group by 1, 2 order by created_at, v.id limit 5", ("works", "versions", "version_chapters"))
+@query("route_work_versions", "select v.id, created_at, cast(count(c.id) as bigint) chapter_count, row_number() over (order by created_at, v.id) place from versions v left join version_chapters c on v.id = c.version_id where work_id = '11' group by 1, 2", ("works", "versions", "version_chapters"))
 def route_work_versions(spark, sf_dir):
-    return api.call(domain(spark, sf_dir, "works", "versions", "version_chapters"), "GET", "/api/v1/works/11/versions").limit(5).select("id", "created_at", "chapter_count")
+    return bulk.placed(api.call(domain(spark, sf_dir, "works", "versions", "version_chapters"), "GET", "/api/v1/works/11/versions").select("id", "created_at", "chapter_count"))
 
 
-@query("route_work_claims", f"with {OWNED} select work_id, field_name, {VALUE} \"value\", confidence, id from owned where work_id = '11' order by field_name, confidence desc, id limit 9", ("works", *CLAIMS))
+@query("route_work_claims", f"with {OWNED} select work_id, field_name, {VALUE} \"value\", confidence, id, row_number() over (order by field_name, confidence desc, id) place from owned where work_id = '11'", ("works", *CLAIMS))
 def route_work_claims(spark, sf_dir):
-    found = api.call(domain(spark, sf_dir, "works", *CLAIMS), "GET", "/api/v1/admin/works/11/claims").limit(9)
-    return found.select("work_id", "field_name", serve.claim_value().alias("value"), "confidence", "id")
+    found = api.call(domain(spark, sf_dir, "works", *CLAIMS), "GET", "/api/v1/admin/works/11/claims")
+    return bulk.placed(found.select("work_id", "field_name", serve.claim_value().alias("value"), "confidence", "id"))
 
 
-@query("route_site_sources", "select id, created_at from source_titles where source_site = '5-LOW' order by created_at desc, id limit 30", ("source_titles",))
+@query("route_site_sources", "select id, created_at, row_number() over (order by created_at desc, id) place from source_titles where source_site = '5-LOW'", ("source_titles",))
 def route_site_sources(spark, sf_dir):
-    return api.call(domain(spark, sf_dir, "source_titles"), "GET", "/api/v1/admin/sources/5-LOW").limit(30).select("id", "created_at")
+    return bulk.placed(api.call(domain(spark, sf_dir, "source_titles"), "GET", "/api/v1/admin/sources/5-LOW").select("id", "created_at"))
 
 
 @query("route_resolve", f"""
@@ -347,9 +356,9 @@ def route_resolve(spark, sf_dir):
     return serve.claims_of_works(done).where("is_resolved").agg(F.lit("resolved").alias("what"), F.count("*").alias("n"))
 
 
-@query("filter_chapters", "select id from version_chapters where version_id in ('5', '6', '7') and (contains(lower(coalesce(title, '')), 'ter 2') or contains(cast(cast(chapter_number as int) as varchar), 'ter 2'))", ("version_chapters",))
+@query("filter_chapters", "select id from version_chapters where (contains(lower(coalesce(title, '')), 'ter 2') or contains(cast(cast(chapter_number as int) as varchar), 'ter 2'))", ("version_chapters",))
 def filter_chapters(spark, sf_dir):
-    return serve.filter_chapters(domain(spark, sf_dir, "version_chapters")["version_chapters"].where(F.col("version_id").isin("5", "6", "7")), "ter 2", newest_first=True).select("id")
+    return serve.filter_chapters(domain(spark, sf_dir, "version_chapters")["version_chapters"], "ter 2", newest_first=True).select("id")
 
 
 @query("card_display", "select id, left(coalesce(synopsis, ''), 160) preview, strftime(updated_at, '%b %d') updated from works", ("works",))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from libretto.plans.store import fresh
+from libretto.plans.store import fresh, stored
 
 from .search_index import containing
 from .serve import Tables, claim_value, claims_of_works, terms_of
@@ -64,6 +64,17 @@ class RankedPages:
         return rows.orderBy(*self.order).offset(first - met[0]["before"]).limit(size)
 
 
+def placed(df: DataFrame, order: list[Column] | None = None, name: str = "place") -> DataFrame:
+    """Rows with their place, from 1, in a total order, or as they come from a sort: sorted in ranges, numbered in each, the ranges' sizes added before them. No task sees all rows."""
+    laid = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    rows = stored(laid.withColumns({"__range": F.spark_partition_id(), "__n": F.monotonically_increasing_id()}), "ranges")
+    sizes = rows.groupBy("__range").agg(F.count("*").alias("__rows"))
+    # a row for each range
+    before = sizes.select("__range", F.coalesce(F.sum("__rows").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.col("__n").bitwiseAND((1 << 33) - 1)
+    return rows.join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + own + 1).drop("__range", "__n", "__before")
+
+
 def nearest_many(chapters: DataFrame, requests: DataFrame, group: str = "work_id", number: str = "chapter_number", tie: str = "id") -> DataFrame:
     """(request, group, target, number, id): the chapter nearest to each request (request, group, target).
 

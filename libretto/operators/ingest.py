@@ -24,7 +24,7 @@ def unseen(new: DataFrame, old: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Rows of ``new`` whose key is not in ``old``; of repeated keys the first by the remaining columns' order of id."""
     order = [F.asc(c) for c in sorted(new.columns, key=lambda c: (c != "id", c))]
     once = new.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
-    have = old.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
+    have = old.select(*(F.col(k).alias(f"__{k}") for k in keys))
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     condition = same[0]
     for s in same[1:]:

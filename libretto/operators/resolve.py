@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from libretto.functions.scores import cover_score
 from libretto.functions.text import truthy
+from libretto.plans.store import stored
 from libretto.schema import conform, det_id
 
 from .clean import clean_and_score, stale
@@ -72,7 +73,8 @@ def resolve_chapters(version_chapters: DataFrame, source_chapters: DataFrame, so
     Numbered source chapters are mapped to a chapter of their version, made where it
     is missing; raw ones are cleaned and scored; each chapter takes the cleaned text
     of the best score (null counts as 0, ties to the smaller id) and keeps a title it
-    has. ``report`` counts mapped, cleaned, promoted and skipped per version.
+    has. ``report`` counts mapped, cleaned, promoted and skipped per version. Texts are
+    cleaned once, here: all three results read the stored outcome.
     """
     st = source_titles.select(F.col("id").alias("source_title_id"), "version_id")
     owned = source_chapters.join(st.where(F.col("version_id").isNotNull()), "source_title_id")
@@ -85,7 +87,7 @@ def resolve_chapters(version_chapters: DataFrame, source_chapters: DataFrame, so
     old = owned.where(~stale())
     cleaned = clean_and_score(owned.where(stale()), content_format=F.coalesce("content_format", F.lit("html")) if "content_format" in owned.columns else "html").withColumn("last_cleaned_at", as_of)
     columns = [*source_chapters.columns, "version_id"]
-    both = old.select(*columns, F.lit(0).alias("__new")).unionByName(cleaned.select(*columns, F.lit(1).alias("__new")))
+    both = stored(old.select(*columns, F.lit(0).alias("__new")).unionByName(cleaned.select(*columns, F.lit(1).alias("__new"))), "cleaned")
     ids = chapters.select(F.col("id").alias("__vc"), F.col("version_id").alias("__v"), F.col("chapter_number").alias("__n"))
     mapped = both.join(ids, (F.col("version_id") == F.col("__v")) & (F.col("chapter_number") == F.col("__n")), "left")
     mapped = mapped.withColumn("version_chapter_id", F.coalesce("__vc", "version_chapter_id"))

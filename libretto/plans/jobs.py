@@ -33,18 +33,32 @@ def save(tables: Tables, root: str) -> str:
     return target
 
 
-def ingest_cycle(tables: Tables, title_pages: DataFrame, listing_pages: DataFrame, chapter_pages: DataFrame, as_of: Column) -> Tables:
-    """One pass over fetched pages, each (site_key, url, html): metadata, claims, covers, stubs, contents, matching."""
+def ingest_titles(tables: Tables, title_pages: DataFrame, as_of: Column) -> tuple[Tables, DataFrame]:
+    """Sources, claims and covers of fetched title pages (site_key, url, html); and the metadata they were made from, parsed once."""
     t = dict(tables)
-    key = F.col("site_key")
-    # parsed once: sources, claims, covers and works are all made from it
-    metadata = stored(extract_titles(title_pages, key), "metadata")
+    metadata = stored(extract_titles(title_pages, F.col("site_key")), "metadata")
     t["source_titles"] = stored(ingest.overwrite_sources(ingest.source_title_rows(metadata, as_of), t["source_titles"]), "source-titles")
     t["metadata_claims"] = ingest.upsert(ingest.claim_rows(metadata, t["source_titles"], as_of), t["metadata_claims"], "metadata_claims")
     t["cover_candidates"] = ingest.upsert(ingest.cover_rows(metadata, t["source_titles"], as_of), t["cover_candidates"], "cover_candidates")
-    stubs = ingest.stub_rows(extract_listings(listing_pages, key), t["source_titles"], as_of)
-    t["source_chapters"] = ingest.upsert(stubs, t["source_chapters"], "source_chapters")
-    t["source_chapters"] = stored(ingest.save_contents(extract_contents(chapter_pages, key), t["source_chapters"], as_of), "source-chapters")
+    return t, metadata
+
+
+def ingest_listings(tables: Tables, listing_pages: DataFrame, as_of: Column) -> Tables:
+    """Chapter stubs of fetched listings."""
+    stubs = ingest.stub_rows(extract_listings(listing_pages, F.col("site_key")), tables["source_titles"], as_of)
+    return tables | {"source_chapters": ingest.upsert(stubs, tables["source_chapters"], "source_chapters")}
+
+
+def ingest_contents(tables: Tables, chapter_pages: DataFrame, as_of: Column) -> Tables:
+    """Contents of fetched chapters."""
+    told = ingest.save_contents(extract_contents(chapter_pages, F.col("site_key")), tables["source_chapters"], as_of)
+    return tables | {"source_chapters": stored(told, "source-chapters")}
+
+
+def ingest_cycle(tables: Tables, title_pages: DataFrame, listing_pages: DataFrame, chapter_pages: DataFrame, as_of: Column) -> Tables:
+    """One pass over fetched pages, each (site_key, url, html): metadata, claims, covers, stubs, contents, matching."""
+    t, metadata = ingest_titles(tables, title_pages, as_of)
+    t = ingest_contents(ingest_listings(t, listing_pages, as_of), chapter_pages, as_of)
     return link_sources(t, metadata, as_of)
 
 
@@ -89,9 +103,14 @@ def audited(tables: Tables, site: str, url: str, work, as_of: str, job_type: str
     return out
 
 
+def refresh_order() -> list[Column]:
+    """Those not scraped for longest first, never scraped ones last."""
+    return [F.asc_nulls_last("last_scraped_at"), F.asc("id")]
+
+
 def refresh_queue(source_titles: DataFrame) -> DataFrame:
-    """Source titles, those not scraped for longest first, never scraped ones last."""
-    return source_titles.orderBy(F.asc_nulls_last("last_scraped_at"), "id")
+    """Source titles in the order of their turn."""
+    return source_titles.orderBy(*refresh_order())
 
 
 def refresh_jobs(source_titles: DataFrame, as_of: Column) -> DataFrame:

@@ -16,7 +16,7 @@ from libretto.fixtures import domain, raw, with_views
 from libretto.functions import scores as S
 from libretto.functions import text as T
 from libretto.functions import urls as U
-from libretto.operators import clean, ingest, match, resolve, serve
+from libretto.operators import bulk, clean, ingest, match, resolve, serve
 from libretto.plans import jobs
 from libretto.plans.store import fresh, stored
 from libretto.sources import discover, extract
@@ -142,11 +142,19 @@ def recent_jobs(spark, sf_dir):
     return serve.recent_jobs(domain(spark, sf_dir, "ingestion_jobs")["ingestion_jobs"], status="failed", size=200)
 
 
-@query("refresh_queue", "select id, source_site, last_scraped_at, row_number() over (order by last_scraped_at asc nulls last, id) turn from source_titles order by turn limit 500", ("source_titles",))
+@query("refresh_queue", "select id, source_site, last_scraped_at, row_number() over (order by last_scraped_at asc nulls last, id) turn from source_titles", ("source_titles",))
 def refresh_queue(spark, sf_dir):
-    top = jobs.refresh_queue(domain(spark, sf_dir, "source_titles")["source_titles"]).select("id", "source_site", "last_scraped_at").limit(500)
-    numbered = top.select(F.row_number().over(Window.orderBy(F.asc_nulls_last("last_scraped_at"), "id")).cast("long").alias("turn"), "*")
-    return numbered.select("id", "source_site", "last_scraped_at", "turn")
+    """The whole queue, every source with its turn."""
+    rows = domain(spark, sf_dir, "source_titles")["source_titles"].select("id", "source_site", "last_scraped_at")
+    return bulk.placed(rows, jobs.refresh_order(), "turn")
+
+
+@query("refresh_jobs", """
+    select md5(id || '|2026-01-01 00:00:00') id, source_site, source_url, id source_title_id, 'refresh' job_type, 'pending' status from source_titles""", ("source_titles",))
+def refresh_jobs(spark, sf_dir):
+    """A pending job for every source."""
+    done = jobs.refresh_jobs(domain(spark, sf_dir, "source_titles")["source_titles"], F.lit("2026-01-01").cast("timestamp"))
+    return done.select("id", "source_site", "source_url", "source_title_id", "job_type", "status")
 
 
 @query("unseen_anti_join", "select doc_id, source, n_chars from documents where doc_id not in (select doc_id from labels)")
