@@ -70,6 +70,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of a stored step's files."""
+    at, fs = _hadoop(df.sparkSession, df.stored_at)
+    return fs.getContentSummary(at).getLength()
+
+
 #: Most buckets that Spark lets a table have.
 MOST_PARTS = 100_000
 

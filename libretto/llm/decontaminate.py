@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import forget, stored
+from .common import forget, stored, stored_bytes
 
 #: Separators: ASCII that is no letter or digit.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -23,8 +23,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW, RAREST = 10, 2
 #: Share of a document's words that items of fewer words than a window must make up for it to go.
 SHORT_SHARE = 0.5
-#: Test-side tables of at most so many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Test-side tables of at most so many rows, and bytes as stored, are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def lowered(text: Column) -> Column:
@@ -47,8 +47,9 @@ def n_words(cut: Column) -> Column:
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """Marked for broadcast where its counted rows allow it."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """Marked for broadcast where its counted rows, and its bytes if it is a stored table, allow it."""
+    fits = rows <= BROADCAST_ROWS and (not hasattr(df, "stored_at") or stored_bytes(df) <= BROADCAST_BYTES)
+    return F.broadcast(df) if fits else df
 
 
 def test_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
@@ -58,7 +59,7 @@ def test_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> t
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)))
     every = stored(rows.select("item", F.explode(F.transform(starts, lambda k: F.slice("w", k, window))).alias("words")).distinct(), "windows")
     named = stored(every.select("words").distinct().withColumn("win", F.monotonically_increasing_id()), "named-windows")
-    return named, every.join(named, "words").select("win", "item")
+    return named, stored(every.join(named, "words").select("win", "item"), "holders")
 
 
 def met_terms(tokens: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
@@ -148,7 +149,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     span = F.transform("hits", lambda h: F.struct(F.greatest(h["start"], F.lit(0)).cast("int").alias("start"), F.least(h["start"] + F.size(h["words"]), F.col("size")).cast("int").alias("end")))
     full = F.exists("hits", lambda h: F.size(h["words"]) >= window)
     exact = stored(sure.select("id", "th", "size", full.alias("full"), F.array_sort(F.array_distinct(span)).alias("spans"), F.array_distinct(F.col("hits.win")).alias("wins")), "exact")
-    named = exact.select("id", "th", F.explode("wins").alias("win")).join(small(holders, window_rows), "win")
+    named = exact.select("id", "th", F.explode("wins").alias("win")).join(small(holders, holders.count()), "win")
     owners = named.groupBy(F.col("id").alias("owner"), F.col("th").alias("owner_th")).agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = exact.join(owners, F.col("id").eqNullSafe(F.col("owner")) & (F.col("th") == F.col("owner_th"))).select("id", "th", "size", "full", "spans", "items")
     return stored(found, "matches")

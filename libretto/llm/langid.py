@@ -14,17 +14,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, remainder
+from .common import map_arrow, remainder, stored
 
 #: Length of the vectors.
 DIMENSION = 1024
-#: Largest number of distinct languages that a model may hold; it is shipped whole to every task.
-MAX_LANGUAGES = 4096
+#: Languages whose prototypes are shipped to every task at once; more are compared in turns of so many.
+LANGUAGES_AT_ONCE = 4096
 UNKNOWN = "und"
-#: Characters and documents of one dense block of trigram counts.
-BLOCK_CHARS, BLOCK_DOCS = 1 << 20, 256
+#: Characters and documents of one block of texts, and characters whose trigrams are counted at once.
+BLOCK_CHARS, BLOCK_DOCS, PIECE_CHARS = 1 << 20, 256, 1 << 18
 #: Alphabets beyond this count trigrams by sorting instead of in a dense table.
 DENSE_ALPHABET = 128
+#: Distinct trigrams whose vectors stand in memory at once, and numbers of a table of documents by trigrams.
+SLICE_GRAMS, SLICE_CELLS = 4096, 1 << 22
+#: Letters that an encoder remembers before it begins anew: their vectors depend on nothing but the letter.
+MOST_LETTERS = 1 << 15
 
 
 class Encoder:
@@ -36,7 +40,7 @@ class Encoder:
         self.letters: list[str] = []
         self.ids: dict[str, int] = {}
         # letter 0 is the gap between words
-        self.last, self.middle, self.first = (np.zeros((0, dimension), dtype=np.int8) for _ in range(3))
+        self.last, self.middle, self.first = (np.zeros((64, dimension), dtype=np.int8) for _ in range(3))
         self._add("")
 
     def _add(self, letter: str) -> int:
@@ -44,11 +48,12 @@ class Encoder:
             key = (self.seed << 32) + (ord(letter[0]) + 1 if letter else 0)
             bits = np.frombuffer(np.random.Philox(key=key).random_raw(self.dimension // 64 + 1).tobytes(), dtype=np.uint8)
             vector = (np.unpackbits(bits)[: self.dimension].astype(np.int8) << 1) - 1
-            self.ids[letter] = len(self.letters)
+            n = self.ids[letter] = len(self.letters)
             self.letters.append(letter)
-            self.last = np.vstack([self.last, vector])
-            self.middle = np.vstack([self.middle, np.roll(vector, 1)])
-            self.first = np.vstack([self.first, np.roll(vector, 2)])
+            if n == len(self.last):
+                # twice the room: adding a letter costs the same however many there are
+                self.last, self.middle, self.first = (np.vstack([t, np.zeros_like(t)]) for t in (self.last, self.middle, self.first))
+            self.last[n], self.middle[n], self.first[n] = vector, np.roll(vector, 1), np.roll(vector, 2)
         return self.ids[letter]
 
     def _codes(self, points: np.ndarray) -> np.ndarray:
@@ -60,12 +65,11 @@ class Encoder:
             codes = self.code[points]
         return codes
 
-    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(trigram vectors' letter ids (3, U), document of each entry, trigram of each entry, count) over ``texts``."""
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(trigrams' letter ids (3, U), text of each entry, trigram of each entry) over padded ``texts``."""
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        # each text stands between two gaps
-        points = np.frombuffer((" " + "  ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        doc = np.repeat(np.arange(len(texts)), sizes + 2)
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        doc = np.repeat(np.arange(len(texts)), sizes)
         codes = self._codes(points)
         keep = np.ones(len(codes), dtype=bool)
         keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0) | (doc[1:] != doc[:-1])
@@ -88,13 +92,68 @@ class Encoder:
         return (self.first[grams[0]] * self.middle[grams[1]] * self.last[grams[2]]).astype(np.float32)
 
     def bundle(self, texts: list[str], groups: np.ndarray, n: int) -> np.ndarray:
-        """Sum of the trigram vectors of each of ``n`` groups of texts, (n, dimension)."""
-        if not texts:
-            return np.zeros((n, self.dimension), dtype=np.float32)
-        grams, doc, column = self.counts(texts)
-        width = grams.shape[1]
-        table = np.bincount(groups[doc] * width + column, minlength=n * width).reshape(n, width)
-        return table.astype(np.float32) @ self.vectors(grams)
+        """Sum of the trigram vectors of each of ``n`` groups of texts, (n, dimension).
+
+        Long texts are taken piece by piece, and trigrams in slices: what stands in
+        memory is bounded, whatever the texts and their alphabet.
+        """
+        out = np.zeros((n, self.dimension), dtype=np.float32)
+        for part, of in pieces(texts, groups):
+            if len(self.letters) > MOST_LETTERS:
+                self.__init__(self.dimension, self.seed)
+            grams, doc, column = self.counts(part)
+            doc = of[doc]
+            # entries in order of trigram, so that a slice of trigrams is a run of them
+            order = np.argsort(column, kind="stable") if grams.shape[1] > SLICE_GRAMS else slice(None)
+            doc, column = doc[order], column[order]
+            step = max(1, min(SLICE_GRAMS, SLICE_CELLS // max(1, n)))
+            ends = np.searchsorted(column, np.arange(0, grams.shape[1] + step, step)) if isinstance(order, np.ndarray) else None
+            for k in range(0, grams.shape[1], step):
+                width = min(step, grams.shape[1] - k)
+                if ends is None:
+                    inside = (column >= k) & (column < k + width)
+                    d, c = doc[inside], column[inside] - k
+                else:
+                    a, b = ends[k // step], ends[k // step + 1]
+                    d, c = doc[a:b], column[a:b] - k
+                table = np.bincount(d * width + c, minlength=n * width).reshape(n, width)
+                out += table.astype(np.float32) @ self.vectors(grams[:, k : k + width])
+        return out
+
+
+def cut(text: str):
+    """The text between two gaps, in pieces of about PIECE_CHARS characters.
+
+    A piece starts with the last two letters of the one before (or a gap and a letter),
+    so that every trigram is in one piece. What a run of other characters has beyond
+    the first is a gap all the same, and goes.
+    """
+    text, at = f" {text} ", 0
+    while len(text) - at > PIECE_CHARS:
+        end = edge = at + PIECE_CHARS
+        while end < len(text) and not text[end - 1].isalpha():
+            end += 1
+        if end == len(text):
+            yield text[at:edge]
+            return
+        yield text[at:edge] if end == edge else text[at:edge] + text[end - 1]
+        at = end - 2
+    yield text[at:]
+
+
+def pieces(texts: list[str], groups: np.ndarray):
+    """Texts in lists of about PIECE_CHARS characters, padded, with the group of each."""
+    part, of, size = [], [], 0
+    for text, group in zip(texts, groups.tolist(), strict=True):
+        for piece in cut(text):
+            if part and size + len(piece) > PIECE_CHARS:
+                yield part, np.array(of)
+                part, of, size = [], [], 0
+            part.append(piece)
+            of.append(group)
+            size += len(piece)
+    if part:
+        yield part, np.array(of)
 
 
 def blocks(texts: list[str]):
@@ -109,12 +168,33 @@ def blocks(texts: list[str]):
         yield start, len(texts)
 
 
-def learn(docs: DataFrame, text_col: str, lang_col: str, where: Column, dimension: int = DIMENSION) -> tuple[list[str], np.ndarray]:
-    """Language names in order and their unit prototypes, from every labelled text that ``where`` admits.
+class Model:
+    """Prototypes of languages as a stored table (lang, v), taken LANGUAGES_AT_ONCE at a time in order of name."""
+
+    def __init__(self, table: DataFrame, dimension: int):
+        self.table, self.dimension = table, dimension
+
+    def parts(self):
+        """(names, unit prototypes) of the next languages, until there are none; at least one part, if an empty one."""
+        last, first = None, True
+        while True:
+            rest = self.table if last is None else self.table.where(F.col("lang") > last)
+            found = sorted(rest.orderBy("lang").limit(LANGUAGES_AT_ONCE).collect(), key=lambda r: r["lang"].encode("utf-8", "surrogatepass"))
+            if found or first:
+                profiles = np.array([r["v"] for r in found], dtype=np.float64).reshape(len(found), self.dimension)
+                norms = np.linalg.norm(profiles, axis=1, keepdims=True)
+                yield [r["lang"] for r in found], (profiles / np.where(norms == 0, 1, norms)).astype(np.float32)
+            if len(found) < LANGUAGES_AT_ONCE:
+                return
+            last, first = found[-1]["lang"], False
+
+
+def learn(docs: DataFrame, text_col: str, lang_col: str, where: Column, dimension: int = DIMENSION) -> Model:
+    """Prototypes of the languages of every labelled text that ``where`` admits.
 
     Tasks add up one partial prototype per language; Spark adds those up by
-    (language, position), so no task sees more than its share. Only the model
-    itself, of at most MAX_LANGUAGES vectors, comes to the driver.
+    (language, position), so no task sees more than its share. A task holds the
+    prototypes of the languages of one batch of rows.
     """
 
     def make():
@@ -126,7 +206,9 @@ def learn(docs: DataFrame, text_col: str, lang_col: str, where: Column, dimensio
             group = {n: k for k, n in enumerate(known)}
             total = np.zeros((len(known), dimension), dtype=np.float64)
             for a, b in blocks(texts):
-                total += encoder.bundle(texts[a:b], np.array([group[n] for n in names[a:b]]), len(known))
+                # the languages of the block alone
+                mine, of = np.unique([group[n] for n in names[a:b]], return_inverse=True)
+                total[mine] += encoder.bundle(texts[a:b], of, len(mine))
             return {"lang": known, "part": total.astype(np.int64).tolist()}
 
         return work
@@ -135,24 +217,33 @@ def learn(docs: DataFrame, text_col: str, lang_col: str, where: Column, dimensio
     parts = map_arrow(rows, "lang string, part array<long>", make)
     sums = parts.select("lang", F.posexplode("part").alias("pos", "n")).groupBy("lang", "pos").agg(F.sum("n").alias("n"))
     model = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("v")).select("lang", F.col("v.n").alias("v"))
-    found = model.limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    found.sort(key=lambda r: r["lang"])
-    profiles = np.array([r["v"] for r in found], dtype=np.float64).reshape(len(found), dimension)
-    norms = np.linalg.norm(profiles, axis=1, keepdims=True)
-    return [r["lang"] for r in found], (profiles / np.where(norms == 0, 1, norms)).astype(np.float32)
+    return Model(stored(model, "prototypes"), dimension)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", dimension: int = DIMENSION) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (cosine, cut to 0..1) in place of any columns so named.
 
     A text that is null or holds no letter is ``und`` with score 0, and so is every
     text under a model without languages. Ties go to the first language by code
-    point. Map-only; whole texts; repeated rows give repeated rows.
+    point. Map-only; whole texts, piece by piece; repeated rows give repeated rows.
+    With more than LANGUAGES_AT_ONCE languages the rows are gone through once for each
+    so many, and what was best so far goes with them.
     """
-    names, profiles = model
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    best_so_far = ("__lang", "__cosine")
+    out, turn = docs.select(*kept), 0
+    for names, profiles in model.parts():
+        if turn:
+            out = stored(out, "scored")
+        out = _compared(out, names, profiles, kept, text_col, turn > 0, model.dimension)
+        turn += 1
+    sure = F.col("__lang").isNotNull()
+    score = F.when(sure, F.least(F.greatest(F.col("__cosine"), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    return out.withColumns({"lang_pred": F.coalesce("__lang", F.lit(UNKNOWN)), "score": score}).drop(*best_so_far)
+
+
+def _compared(rows: DataFrame, names: list[str], profiles: np.ndarray, kept: list[str], text_col: str, again: bool, dimension: int) -> DataFrame:
+    """Rows with the best language (``__lang``, null for a text without letters) and its cosine, of these and of those before."""
     at = kept.index(text_col)
 
     def make():
@@ -160,26 +251,22 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
 
         def work(batch: pa.RecordBatch) -> dict:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            langs, scores = [], []
-            for a, b in blocks(texts):
+            langs, cosines = (batch.column(len(kept) + k).to_pylist() if again else [None] * len(texts) for k in range(2))
+            for a, b in blocks(texts) if names else ():
                 v = encoder.bundle(texts[a:b], np.arange(b - a), b - a)
                 norm = np.linalg.norm(v, axis=1)
-                letters = np.array([any(map(str.isalpha, t)) for t in texts[a:b]])
-                if len(names):
-                    cosine = (v @ profiles.T) / np.where(norm == 0, 1, norm)[:, None]
-                    best = cosine.argmax(axis=1)
-                    top = np.clip(cosine[np.arange(b - a), best], 0.0, 1.0)
+                cosine = (v @ profiles.T) / np.where(norm == 0, 1, norm)[:, None]
+                best = cosine.argmax(axis=1)
                 for k in range(b - a):
-                    sure = bool(len(names)) and bool(letters[k])
-                    langs.append(names[best[k]] if sure else UNKNOWN)
-                    scores.append(float(top[k]) if sure else 0.0)
-            return {**{c: batch.column(i) for i, c in enumerate(kept)}, "lang_pred": langs, "score": scores}
+                    found = float(cosine[k, best[k]])
+                    if (cosines[a + k] is None or found > cosines[a + k]) and any(map(str.isalpha, texts[a + k])):
+                        langs[a + k], cosines[a + k] = names[best[k]], found
+            return {**{c: batch.column(i) for i, c in enumerate(kept)}, "__lang": langs, "__cosine": cosines}
 
         return work
 
-    rows = docs.select(*kept)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return map_arrow(rows, f"{fields}, lang_pred string, score double", make)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept)
+    return map_arrow(rows, f"{fields}, __lang string, __cosine double", make)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, held: int = 2) -> DataFrame:

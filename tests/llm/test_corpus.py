@@ -313,6 +313,28 @@ def test_contamination_brute(spark):
     assert decontaminate.contamination(docs_of(spark, rows).limit(0), bench).count() == 0
 
 
+def test_items_that_share_a_window(spark, monkeypatch):
+    """What is broadcast is counted itself: few windows may have many holders."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 100)
+    asked = []
+    small = decontaminate.small
+
+    def counted(df, rows):
+        asked.append((df.count(), rows))
+        return small(df, rows)
+
+    monkeypatch.setattr(decontaminate, "small", counted)
+    shared = "one prompt that ten thousand items of the test share"
+    items = spark.createDataFrame([(k, shared) for k in range(500)] + [(900, "x" * 5_000), (901, None)], "item_id long, text string")
+    docs = docs_of(spark, [(1, f"before {shared} after", "s"), (2, "nothing of it", "s"), (3, "x" * 5_000, "s")])
+    got = {r["doc_id"]: r for r in decontaminate.contamination(docs, items).collect()}
+    assert (got[1]["n_hit"], len(got[1]["items"])) == (10, 500) and got[2]["n_hit"] == 0 and got[3]["items"] == ["900"]
+    assert all(rows >= have for have, rows in asked) and any(rows == 501 for _, rows in asked)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 10**6)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 1)
+    assert {r["doc_id"]: len(r["items"]) for r in decontaminate.contamination(docs, items).collect()} == {1: 500, 2: 0, 3: 1}
+
+
 def test_contamination_of_repeated_rows(spark):
     items = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"), (2, "single")]
     dirty, clean = f"x y {items[0][1]} z", "nothing of that kind stands in here"

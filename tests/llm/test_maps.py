@@ -2,9 +2,11 @@
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from libretto.llm import html_blocks, langid, pii
 
@@ -318,3 +320,52 @@ def test_bundle_matches_plain_sum():
     letters = [e.ids[x] for x in ("", "a", "b", "", "c", "")]
     want = sum(e.first[a].astype(int) * e.middle[b] * e.last[c] for a, b, c in zip(letters, letters[1:], letters[2:], strict=False))
     assert np.array_equal(v, want)
+
+
+def test_pieces_hold_every_trigram_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    letters = list("abcdé  ,,1") + ["日", "—", " \n"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 400))) for _ in range(60)] + ["", " ", "a", "ab", "1" * 300, "a" + " " * 200 + "b", " " * 90 + "word", "word" + "." * 90, "a1" * 100, "x" * 200]
+    groups = np.arange(len(texts)) % 7
+    whole = langid.Encoder(128).bundle(texts, groups, 7)
+    for size in (5, 17, 64):
+        monkeypatch.setattr(langid, "PIECE_CHARS", size)
+        assert np.array_equal(langid.Encoder(128).bundle(texts, groups, 7), whole)
+    for size, cells in ((3, 1 << 22), (4096, 10)):
+        monkeypatch.setattr(langid, "SLICE_GRAMS", size)
+        monkeypatch.setattr(langid, "SLICE_CELLS", cells)
+        assert np.array_equal(langid.Encoder(128).bundle(texts, groups, 7), whole)
+    monkeypatch.setattr(langid, "MOST_LETTERS", 3)
+    assert np.array_equal(langid.Encoder(128).bundle(texts, groups, 7), whole)
+
+
+def test_a_long_text_of_many_letters():
+    import resource
+    import time
+
+    rng = np.random.default_rng(7)
+    alphabet = np.array([c for c in map(chr, range(0x3400, 0xA000)) if c.isalpha()][:20_000])
+    text = "".join(alphabet[rng.integers(0, len(alphabet), 2_000_000)])
+    before, start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.perf_counter()
+    v = langid.Encoder().bundle([text], np.array([0]), 1)
+    took, more = time.perf_counter() - start, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024
+    assert v.any() and took < 60 and more < 1000
+
+
+def test_more_languages_than_are_held_at_once(spark, monkeypatch):
+    words = {f"l{k:02d}": f"{'abcdefghijklm'[k]}{'nopqrstuvwxyz'[k]} " * 30 for k in range(13)}
+    rows = [(k, words[lang], lang) for k, lang in enumerate(list(words) * 6)] + [(500, None, None), (501, "12", None), (502, words["l12"], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rounded = lambda: Counter((*r[:3], round(r[3], 4)) for r in langid.identify(docs).collect())
+    once = rounded()
+    monkeypatch.setattr(langid, "LANGUAGES_AT_ONCE", 4)
+    assert rounded() == once
+    assert {r[2] for r in once} == {*words, "und"}
+
+
+def test_language_ties_and_clashing_names(spark):
+    rows = [(k, "same words here", lang) for k, lang in enumerate(["zz", "aa", "mm"] * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"lang_pred": F.lit(1), "score": F.lit("x")})
+    model = langid.learn(docs, "text", "lang", F.lit(True))
+    got = langid.predict(docs, model)
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and {r["lang_pred"] for r in got.collect()} == {"aa"}
