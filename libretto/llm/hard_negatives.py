@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import forget, stored
 
 #: Bytes of vectors in a shard, in a block of anchors, and of pilot vectors; number of pilot vectors at most.
-SHARD_BYTES, BLOCK_BYTES, PILOT_BYTES, PILOT = 8 << 20, 256 << 10, 2 << 20, 2048
+SHARD_BYTES, BLOCK_BYTES, PILOT_BYTES, PILOT = 64 << 20, 256 << 10, 2 << 20, 2048
 #: Leading components that are rotated at most; the others stay as they are.
 ROTATED = 1024
 #: Pairs of vectors that are bounded at once, and numbers that are multiplied at once for survivors.
@@ -72,7 +72,7 @@ class Side:
 
     @classmethod
     def of(cls, ids, rows, labels, whole: np.ndarray, turn: np.ndarray) -> Side:
-        k = len(turn)
+        k, whole = len(turn), whole.astype(np.float64)
         with np.errstate(all="ignore"):
             turned = np.hstack([whole[:, :k] @ turn, whole[:, k:]])
             tails = np.append(np.cumsum((turned**2)[:, ::-1], axis=1)[:, ::-1], np.zeros((len(whole), 1)), axis=1)
@@ -197,6 +197,14 @@ def matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def narrow(whole: np.ndarray) -> np.ndarray:
+    """Whole numbers in as few bytes as hold them all, to travel."""
+    for kind in (np.int8, np.int16, np.int32):
+        if np.abs(whole).max(initial=0) <= np.iinfo(kind).max:
+            return whole.astype(kind)
+    return whole
+
+
 def second_moment(rows: DataFrame, width: int) -> np.ndarray:
     """Sum of the outer products of all vectors (leading ROTATED components), added up by row of the matrix on the executors."""
 
@@ -283,14 +291,14 @@ def mine(vectors: DataFrame, positives: int = 5, negatives: int = 3, low: int =
     pilot = (*(pilot[c].to_numpy(dtype=np.int64) for c in ("id", "row", "label")), matrix(pilot["v"], width))
 
     def shard(part: pd.DataFrame) -> pd.DataFrame:
-        data = (*(part[c].to_numpy(dtype=np.int64) for c in ("id", "row", "label")), matrix(part["v"], width))
+        data = (*(part[c].to_numpy(dtype=np.int64) for c in ("id", "row", "label")), narrow(matrix(part["v"], width)))
         return pd.DataFrame({"shard": part["shard"].iloc[:1], "data": [pickle.dumps(data)]})
 
     def packed(part: pd.DataFrame, slots: list[tuple[int, int, int, int]], same: bool, k: int) -> pd.DataFrame:
         """A block of anchors with slots (anchor's place, lowest score, highest, tag) and floors from the pilot vectors."""
         owner, least, most, tags = (np.array(x, dtype=np.int64) for x in zip(*slots, strict=True)) if slots else (np.zeros(0, dtype=np.int64),) * 4
         ids, at, labels = (part[c].to_numpy(dtype=np.int64) for c in ("id", "row", "label"))
-        block = Block(ids, at, labels, matrix(part["v"], width), owner, least, most, least.copy(), tags)
+        block = Block(ids, at, labels, narrow(matrix(part["v"], width)), owner, least, most, least.copy(), tags)
         block.floor = sought(block, Side.of(*pilot, turn), turn, slack, k, same).floor
         return pd.DataFrame({"block": part["block"].iloc[:1], "data": [pickle.dumps(block)]})
 

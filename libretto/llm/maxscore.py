@@ -19,13 +19,14 @@ import pickle
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, stored
 
 #: Bytes of vectors in a shard and in a block of queries; bytes and number of pilot vectors.
-SHARD_BYTES, BLOCK_BYTES, PILOT_BYTES, PILOT = 8 << 20, 8 << 20, 2 << 20, 2048
+SHARD_BYTES, BLOCK_BYTES, PILOT_BYTES, PILOT = 32 << 20, 1 << 20, 2 << 20, 2048
 #: Vectors of a shard that are traversed before the threshold is raised, and terms probed at once.
 SEGMENT, PROBE = 2048, 8
 #: Products and sums of integers up to this are exact in doubles.
@@ -138,8 +139,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     empty result. A vector is held whole, whatever its length.
 
     The postings of a shard, at most SHARD_BYTES of vectors, are built once and
-    stored. The stated query set meets them in blocks of at most BLOCK_BYTES: each
-    pass ships one block to all shards, and no vector is shuffled or copied again.
+    stored. The stated query set meets them in blocks of at most BLOCK_BYTES, all in
+    one job: every block streams past every shard, and no vector moves again.
     """
     v, x = F.col("v"), F.col(id_col).cast("long")
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c * 256) < F.lit(float("inf"))))
@@ -178,24 +179,22 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     queries = stored(rows.where(asked).withColumn("block", F.pmod(place, F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(start, "block int, data binary"), "query-blocks")
     index = stored(rows.withColumn("shard", F.pmod(place, F.lit(shards)).cast("int")).repartition(shards, "shard").groupBy("shard").applyInPandas(build, "shard int, data binary"), "postings")
 
-    near = None
-    for block in range(blocks):
-        if (row := queries.where(F.col("block") == block).first()) is None:
-            continue
-        shipped = rows.sparkSession.sparkContext.broadcast(bytes(row["data"]))
-
-        def search(batches, shipped=shipped):
-            q_ids, q, floors = (a for a in pickle.loads(shipped.value))
-            for batch in batches:
-                for data in batch["data"]:
-                    (names, found, scores), _ = top_of(q, q_ids, floors, pickle.loads(data), k)
-                    yield pd.DataFrame({"query_id": names, "vec_id": found, "score": scores})
-
-        found = index.select("data").mapInPandas(search, "query_id long, vec_id long, score long")
-        near = stored(found, "near") if near is None else near.unionAll(stored(found, "near"))
-        shipped.unpersist()
+    # one job: a part holds one shard's postings at a time and takes the blocks in turn
+    every = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", "block", "data")
+    laid = index.select("shard", F.lit(-1).alias("block"), "data").unionAll(every).repartition(shards, "shard").sortWithinPartitions("shard", "block")
+
+    def search(batches):
+        here, postings = None, None
+        for batch in batches:
+            for shard, block, data in zip(*(batch.column(c) for c in range(3)), strict=True):
+                if block.as_py() == -1:
+                    here, postings = shard.as_py(), pickle.loads(data.as_py())
+                elif shard.as_py() == here:
+                    q_ids, q, floors = pickle.loads(data.as_py())
+                    (names, found, scores), _ = top_of(q, q_ids, floors, postings, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (names, found, scores)], names=["query_id", "vec_id", "score"])
+
+    near = stored(laid.mapInArrow(search, "query_id long, vec_id long, score long"), "near")
     forget(rows, queries, index)
-    if near is None:
-        near = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
