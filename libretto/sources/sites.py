@@ -126,6 +126,7 @@ NOVELFULL = SiteSpec(
     chapters="ul.list-chapter li a", chapter_title=("h2, .chapter-title, h1",), content=("div#chapter-content",),
 )
 
+#: Fixed values, here and in the specs below: addresses, selectors, id patterns, labels and rates as the sites have them.
 SITES: dict[str, SiteSpec] = {}
 
 

@@ -1,5 +1,9 @@
 """Column functions against tables of cases."""
 
+import random
+import re
+from html.parser import HTMLParser
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +175,48 @@ def test_misread_is_what_python_reads(spark):
 def test_long_damaged_lines():
     text = "Größe und Maß, déjà vu. " * 8000
     assert fix_text(damaged(text, "cp1252")) == text
+
+
+class Plain(HTMLParser):
+    """Paragraphs as an event parser sees them, with none of the rewriting steps."""
+
+    BREAKS, INLINE = {"p", "div", "blockquote", "br", "hr"}, {"em", "strong", "i", "b", "u", "span"}
+    BLOCKS = set("h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tr td th section article main aside header footer nav pre form figure figcaption address body html head title".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts = [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BREAKS:
+            self.parts.append("")
+        elif tag in self.INLINE or tag in self.BLOCKS:
+            self.parts[-1] += " "
+
+    handle_startendtag = handle_starttag
+
+    def handle_endtag(self, tag):
+        self.handle_starttag(tag, ())
+
+    def handle_data(self, data):
+        self.parts[-1] += data
+
+
+def parsed(page):
+    parser = Plain()
+    parser.feed(page)
+    parser.close()
+    return [p for p in (" ".join(x.split()) for x in parser.parts) if p]
+
+
+def test_html_paragraphs_against_a_parser(spark):
+    rng = random.Random(2)
+    tags = [f"<{t}>" for t in "p div blockquote em span h1 ul li table td section a sup custom-x".split()] + ["</p>", "</div>", "</em>", "</a>", "</li>", "<br>", "<br/>", "<hr />", '<p class="x y">', "<A HREF='u'>", "<!-- a <b> c -->", "<!DOCTYPE html>"]
+    words = ["one", "two", " ", "\n", "  x ", "&amp;", "&lt;b&gt;", "&nbsp;", "&rdquo;", "é", "5 > 4", "AT&T", "&hellip;"]
+    pages = ["".join(rng.choice(tags) if rng.random() < 0.4 else rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    pages += [re.sub(r"(?s)<(script|style)>.*?</\1>", "", r["html"]) for r in table]
+    got = spark.createDataFrame(list(enumerate(pages)), "k long, html string").select("k", T.html_paragraphs(F.col("html")).alias("p")).collect()
+    assert len(got) > 440
+    for r in got:
+        assert r["p"] == parsed(pages[r["k"]]), pages[r["k"]]
