@@ -19,6 +19,7 @@ from libretto.functions import text as T
 from libretto.functions.repair import misread, repaired
 from libretto.operators import bulk, clean, ingest, resolve, serve
 from libretto.plans import api, jobs
+from libretto.plans.snapshots import Snapshots
 from libretto.plans.store import fresh
 from libretto.queries import CARD_TABLES, CARDS, CLAIMS, OWNED, PARAS, SCORE, SORTS, VALUE, WORDS, doc_paragraphs, part_pages, query
 from libretto.sources import discover, extract
@@ -213,12 +214,11 @@ def ingest_sources(spark, sf_dir):
     union all select 'metadata_claims', sum(7 + case when p_size % 2 = 0 then 1 else 0 end) from part union all select 'jobs completed', 2 union all select 'jobs failed', 1
     union all select 'chapters found', 2 * n from n union all select 'chapters new', n from n union all select 'chapters updated', c from n""")
 def ingest_twice(spark, sf_dir):
-    """The same pages twice through an audited cycle, then saved and loaded again: the second run adds nothing. A third fails and is written down."""
-    t = jobs.new_tables(spark)
+    """The same pages twice through an audited cycle, a version each: the second run adds nothing. A third fails and is written down."""
+    store = Snapshots(spark, fresh(spark, "saved"))
     for day in ("2026-01-01", "2026-01-02"):
-        t = jobs.audited(t, "novelfull", "https://novelfull.com", lambda tables: cycle(spark, sf_dir, tables), day)
-    t = jobs.audited(t, "novelfull", "https://novelfull.com", lambda tables: {}["no such table"], "2026-01-03")
-    t = jobs.load(spark, jobs.save(t, fresh(spark, "saved")))
+        jobs.transact(store, lambda t: jobs.audited(t, "novelfull", "https://novelfull.com", lambda tables: cycle(spark, sf_dir, tables), day))  # noqa: B023
+    t = jobs.checkout(jobs.transact(store, lambda t: jobs.audited(t, "novelfull", "https://novelfull.com", lambda tables: {}["no such table"], "2026-01-03")))
     out = None
     for name in ("source_titles", "cover_candidates", "source_chapters", "metadata_claims"):
         n = t[name].agg(F.lit(name).alias("table"), F.count("*").alias("n_rows"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import traceback
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from libretto.operators import ingest, match, resolve
 from libretto.schema import DDL, conform, det_id, empty, schema
 from libretto.sources.extract import extract_contents, extract_listings, extract_titles
 
+from .snapshots import Conflict, Snapshot, Snapshots
 from .store import stored
 
 Tables = dict[str, DataFrame]
@@ -33,6 +35,41 @@ def save(tables: Tables, root: str) -> str:
     return target
 
 
+def checkout(snapshot: Snapshot) -> Tables:
+    """The eight tables of a version; those it lacks are empty."""
+    return {name: snapshot.read(name) if name in snapshot.tables else empty(snapshot.spark, name) for name in DDL}
+
+
+def commit(tables: Tables, store: Snapshots) -> Snapshot:
+    """All eight tables as the next version: all of them, or none."""
+    tx = store.begin()
+    for name in DDL:
+        tx.write(name, conform(tables[name], name))
+    return tx.commit()
+
+
+def transact(store: Snapshots, work: Callable[[Tables], Tables], tries: int = 3) -> Snapshot:
+    """Run ``work`` over the latest version and commit the tables it changed.
+
+    Where another writer commits meanwhile, ``work`` runs again over what that one
+    left; after ``tries`` such conflicts the last is raised. A job that fails leaves
+    the version as it was.
+    """
+    for left in reversed(range(tries)):
+        tx = store.begin()
+        before = checkout(tx.base)
+        after = work(dict(before))
+        for name in DDL:
+            if after[name] is not before[name] or name not in tx.base.tables:
+                tx.write(name, conform(after[name], name))
+        try:
+            return tx.commit()
+        except Conflict:
+            if not left:
+                raise
+    raise ValueError("no try was allowed")
+
+
 def ingest_titles(tables: Tables, title_pages: DataFrame, as_of: Column) -> tuple[Tables, DataFrame]:
     """Sources, claims and covers of fetched title pages (site_key, url, html); and the metadata they were made from, parsed once."""
     t = dict(tables)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_operators import at, t, table  # noqa: F401  (the small domain tables)
 
 from libretto.operators import resolve
-from libretto.plans import incremental, snapshots
+from libretto.plans import incremental, jobs, snapshots
 from libretto.plans.snapshots import Conflict, Snapshots
 from libretto.streaming import ingest as streams
 
@@ -221,3 +221,56 @@ def test_sessions(spark, tmp_path):
     got = sorted((r["user_id"], minutes(r["session_window"]["start"]), minutes(r["session_window"]["end"]), r["n"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == sessions(batches, 25, 150) and len(got) > 10
     assert sum(r[3] for r in got) < 200  # some were too late
+
+
+# -- jobs in transactions ---------------------------------------------------------------
+
+
+def test_a_job_runs_again_after_a_conflict(spark, t, tmp_path):  # noqa: F811
+    store = Snapshots(spark, f"file://{tmp_path}/s")
+    jobs.commit(t, store)
+    runs = []
+
+    def add(name):
+        row = table(spark, "works", [{"id": name, "slug": name}])
+        return lambda tables: tables | {"works": tables["works"].unionByName(row)}
+
+    def slow(tables):
+        runs.append(store.latest().version)
+        if len(runs) == 1:
+            jobs.transact(store, add("other"))
+        return add("slow")(tables)
+
+    done = jobs.transact(store, slow)
+    assert runs == [1, 2] and done.version == 3 and {"other", "slow"} < set(ids(done.read("works")))
+    # what a job does not touch keeps its files
+    assert done.folders("versions") == store.at(1).folders("versions")
+    with pytest.raises(Conflict):
+        jobs.transact(store, lambda tables: (jobs.transact(store, add("x")), add("y")(tables))[1], tries=1)
+
+
+def test_a_failed_job_changes_nothing(spark, t, tmp_path):  # noqa: F811
+    store = Snapshots(spark, f"file://{tmp_path}/s")
+    jobs.commit(t, store)
+    with pytest.raises(Exception):
+        jobs.transact(store, lambda tables: tables | {"works": tables["works"].limit(0), "versions": tables["versions"].withColumn("id", F.raise_error(F.lit("midway")))})
+    assert store.latest().version == 1 and ids(store.latest().read("works")) == ["w1", "w2", "w3"]
+    done = jobs.transact(store, lambda tables: resolve.resolve_all(tables, at()))
+    assert {r["id"]: r["title"] for r in done.read("works").collect()}["w1"] == "High" and done.version == 2
+    assert jobs.checkout(Snapshots(spark, f"file://{tmp_path}/new").latest())["works"].count() == 0
+
+
+def test_a_periodic_trigger_runs_again_and_again(spark, tmp_path):
+    source, store = f"{tmp_path}/in", Snapshots(spark, f"file://{tmp_path}/s")
+    keys = ("user_id", "event_type")
+    written(spark, source, [(0, 1)])
+    q = streams.stream_claims_once(spark, source, spark.createDataFrame([], EVENTS).schema, store, "claims", f"{tmp_path}/cp", lambda e: e.select(*keys), keys, "periodic", trigger={"processingTime": "1 second"})
+    try:
+        for more in ([(1, 2), (2, 1)], [(3, 3), (4, 2)]):
+            q.processAllAvailable()
+            written(spark, source, more)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert len({p["batchId"] for p in q.recentProgress if p["numInputRows"]}) == 3
+    assert sorted(r["user_id"] for r in store.latest().read("claims").collect()) == [1, 2, 3]
