@@ -84,7 +84,8 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         exploded = page.select("row", F.posexplode(listed).alias("at", "raw")).withColumn("line", F.btrim("raw", F.lit(EDGES)))
         exploded = exploded.withColumn("h", F.when(F.col("line") != "", F.xxhash64("line")))
         good = exploded.join(common, F.col("row.host").eqNullSafe(F.col("site")) & (F.col("h") == F.col("key")), "left_anti")
-        parts = good.groupBy("row").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("at", "raw")))).alias("parts"))
+        # a set where the lines are: of a row that repeats each task sends its lines once
+        parts = good.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("at", "raw"))).alias("parts"))
         parts = parts.select(F.col("row").alias("its"), F.col("parts.raw").alias("left"))
         met = page.join(parts, F.col("row") == F.col("its"), "left")
         out = met.select("id", "host", "text", "carry", listed.alias("all"), F.when(F.col("text").isNotNull(), F.coalesce("left", F.array().cast("array<string>"))).alias("kept"))

@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from libretto.llm import decontaminate, exchange, line_dedup, maxscore, mixing, ngram_lm, simhash, substring_dedup
 
@@ -495,6 +496,17 @@ def test_lines(spark, monkeypatch):
     assert {(r["host"], r["line"], r["pages"]) for r in table} == {("h", "menu", 9), ("h", "foot", 8), (None, "menu", 4)}
 
 
+def test_lines_of_a_row_that_repeats(spark, monkeypatch):
+    """Beyond the broadcast, a row of which there are thousands sends its lines once a task."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", -1)
+    pages = docs_of(spark, [(k, f"menu\nline {k}", "h") for k in range(20)])
+    many = docs_of(spark, [(99, "menu\nsame\nsame\n", "h")]).join(spark.range(3000).select(F.lit("h").alias("source")), "source").select(*pages.columns)
+    found = line_dedup.drop_boilerplate(pages.unionAll(many), ratio=0.3)
+    got = [(r["text"], r["n_lines"], r["n_dropped"]) for r in found.where("doc_id = 99").collect()]
+    assert got == [("same\nsame\n", 4, 1)] * 3000 and found.where("doc_id < 99 and n_dropped = 1").count() == 20
+    assert "partial_collect_set" in found._jdf.queryExecution().toString()
+
+
 def test_lines_of_a_long_text(spark):
     rows = [(k, "head\n" + "\n".join(f"line {j} of {k}" for j in range(20_000)) + "\nhead", "h") for k in range(4)]
     got = line_dedup.drop_boilerplate(docs_of(spark, rows), ratio=0.5).collect()
