@@ -220,14 +220,20 @@ def chapter_sources(t: Tables, version_id: str | None = None, number: float | No
     return out if number is None else out.orderBy(F.desc_nulls_last("quality_score"), "id")
 
 
+def latest_jobs(jobs: DataFrame) -> DataFrame:
+    """(source_site, id, status, created_at) of each site's latest job, ties to the larger id: one pass with map-side combine."""
+    best = F.max_by(F.struct("id", "status", "created_at"), F.struct("created_at", "id"))
+    return jobs.groupBy("source_site").agg(best.alias("j")).select("source_site", "j.*")
+
+
 def source_health(t: Tables) -> DataFrame:
     """Per site: titles, chapters, mean quality of scored chapters (0 reads as none), latest job. Three aggregates, each joined by site."""
     st = t["source_titles"]
     titles = st.groupBy("source_site").agg(F.count("*").alias("title_count"))
     sc = t["source_chapters"].join(st.select(F.col("id").alias("source_title_id"), "source_site"), "source_title_id")
     chapters = sc.groupBy("source_site").agg(F.count("*").alias("chapter_count"), F.nullif(F.avg("quality_score"), F.lit(0.0)).alias("avg_quality"))
-    jobs = t["ingestion_jobs"].groupBy("source_site").agg(F.max_by(F.struct("status", "created_at"), F.struct("created_at", "id")).alias("j"))
-    return titles.join(chapters, "source_site", "left").join(jobs, "source_site", "left").select("source_site", "title_count", F.coalesce("chapter_count", F.lit(0)).alias("chapter_count"), "avg_quality", F.col("j.status").alias("last_job_status"), F.col("j.created_at").alias("last_job_at")).orderBy("source_site")
+    jobs = latest_jobs(t["ingestion_jobs"]).select("source_site", F.col("status").alias("last_job_status"), F.col("created_at").alias("last_job_at"))
+    return titles.join(chapters, "source_site", "left").join(jobs, "source_site", "left").select("source_site", "title_count", F.coalesce("chapter_count", F.lit(0)).alias("chapter_count"), "avg_quality", "last_job_status", "last_job_at").orderBy("source_site")
 
 
 def sources_of_site(t: Tables, site: str) -> DataFrame:

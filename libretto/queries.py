@@ -133,8 +133,8 @@ def claims_by_field(spark, sf_dir):
 
 @query("latest_job_per_site", "select event_type source_site, event_id id, ts created_at from events qualify row_number() over (partition by event_type order by ts desc, event_id desc) = 1")
 def latest_job_per_site(spark, sf_dir):
-    e = raw(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("source_site")).agg(F.max_by(F.struct("event_id", "ts"), F.struct("ts", "event_id")).alias("j")).select("source_site", F.col("j.event_id").alias("id"), F.col("j.ts").alias("created_at"))
+    rows = raw(spark, sf_dir, "events").select(F.col("event_type").alias("source_site"), F.col("event_id").alias("id"), F.lit("done").alias("status"), F.col("ts").alias("created_at"))
+    return serve.latest_jobs(rows).drop("status")
 
 
 @query("recent_jobs", "select * from ingestion_jobs where status = 'failed' order by created_at desc, id limit 200", ("ingestion_jobs",))
@@ -159,7 +159,7 @@ def refresh_jobs(spark, sf_dir):
 
 @query("unseen_anti_join", "select doc_id, source, n_chars from documents where doc_id not in (select doc_id from labels)")
 def unseen_anti_join(spark, sf_dir):
-    return raw(spark, sf_dir, "documents").join(raw(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", "source", "n_chars")
+    return ingest.unseen(raw(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), raw(spark, sf_dir, "labels"), ("doc_id",))
 
 
 # -- catalogue --------------------------------------------------------------------
