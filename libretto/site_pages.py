@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from libretto.fixtures import raw
+from libretto.fixtures import raw, spread
 
 MADARA_TITLE = '<div class="post-title"><h1>{n}</h1></div><div class="author-content"><a href="/a">{b}</a></div><div class="post-content_item"><div class="summary-heading">Status</div><div class="summary-content">Completed</div></div>'
 MADARA_ROW = '<li class="wp-manga-chapter"><a href="{base}/novel/b{k}/chapter-{c}/">Chapter {c}</a></li>'
@@ -61,7 +61,8 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(k, *r) for k, r in enumerate(PAGES)]
     kinds = ", ".join(f"{c} {'boolean' if c == 'has_author' else 'string'}" for c in COLUMNS)
     sites = F.broadcast(spark.createDataFrame(rows, f"site int, {kinds}"))
-    return raw(spark, sf_dir, "part").join(sites, F.col("p_partkey") % len(PAGES) == F.col("site"))
+    # dealt as parts, which are smaller than their pages
+    return spread(raw(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")).join(sites, F.col("p_partkey") % len(PAGES) == F.col("site"))
 
 
 def title_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

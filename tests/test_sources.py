@@ -127,3 +127,15 @@ def test_long_lists_end(spark):
     assert sorted(got) == sorted([("a0", k + 1, f"a{k}") for k in range(30)] + [("b0", 1, "b0"), ("b0", 2, "b1")])
     assert discover.paginate(pages, first, limit=3).count() == 5
     assert discover.paginate(pages, first.limit(0)).count() == 0
+
+
+def test_pages_are_dealt_over_all_tasks(spark, sf):
+    """A table of parts is one small file; its pages, which take long to read, are not left to one task."""
+    from libretto import queries
+    from libretto import composites, site_pages  # isort: skip
+
+    many = spark.sparkContext.defaultParallelism
+    made = [f(spark, sf) for f in (queries.part_pages, site_pages.title_pages, site_pages.listing_pages, site_pages.chapter_pages)]
+    for pages in (*made, *composites.fetched(spark, sf)):
+        total, sizes = pages.count(), [r["count"] for r in pages.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) >= many and max(sizes) <= total / many
