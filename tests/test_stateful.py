@@ -274,3 +274,18 @@ def test_a_periodic_trigger_runs_again_and_again(spark, tmp_path):
         q.stop()
     assert len({p["batchId"] for p in q.recentProgress if p["numInputRows"]}) == 3
     assert sorted(r["user_id"] for r in store.latest().read("claims").collect()) == [1, 2, 3]
+
+
+def test_claims_travel_once_to_their_source(spark, sf):
+    """With shuffled joins throughout: claims meet titles that know their work, are ranked once, and are not joined back to themselves."""
+    from libretto.queries import QUERIES
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        moves = {q: QUERIES[q](spark, sf)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for q in ("resolve_works", "resolved_claims", "route_resolve")}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert moves["resolved_claims"] <= 9 and moves["route_resolve"] <= 9 and moves["resolve_works"] <= 24, moves
