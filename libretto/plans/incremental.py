@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from libretto.functions.text import truthy
-from libretto.operators.resolve import WORK_FIELDS
+from libretto.operators.resolve import WORK_FIELDS, owners
 
 from .snapshots import Snapshot, Snapshots, Transaction
 from .store import stored
@@ -33,23 +33,23 @@ def winners(owned: DataFrame) -> DataFrame:
     return owned.groupBy("work_id", "field_name").agg(best.alias("b")).select("work_id", "field_name", "b.*")
 
 
-def owned_claims(claims: DataFrame, source_titles: DataFrame, versions: DataFrame) -> DataFrame:
-    """Claims with the work they are about."""
-    st = source_titles.select(F.col("id").alias("source_title_id"), "version_id")
-    v = versions.select(F.col("id").alias("version_id"), "work_id")
+def owned_claims(claims: DataFrame, known: DataFrame) -> DataFrame:
+    """Claims with the work they are about, by the ``owners`` known."""
     value = F.coalesce(truthy("normalised_value"), F.col("raw_value"))
-    return claims.join(st, "source_title_id").join(v, "version_id").select("work_id", "field_name", value.alias("value"), "confidence", F.col("created_at").cast("timestamp").alias("created_at"), "id")
+    return claims.join(known, "source_title_id").select("work_id", "field_name", value.alias("value"), "confidence", F.col("created_at").cast("timestamp").alias("created_at"), "id")
 
 
-def apply_claims(store: Snapshots, claims: DataFrame, source_titles: DataFrame, versions: DataFrame, parts: int = PARTS, tx: Transaction | None = None) -> tuple[Snapshot, DataFrame]:
+def apply_claims(store: Snapshots, claims: DataFrame, source_titles: DataFrame, versions: DataFrame, parts: int = PARTS, tx: Transaction | None = None, known: DataFrame | None = None) -> tuple[Snapshot, DataFrame]:
     """Take a batch of claims into the state. Returns the new version and what changed: (work_id, field_name, value, id).
 
     The state is what resolving all claims so far at once would give, in whatever
     batches they came; a batch that comes again changes nothing. Claims without a work
-    yet are left out: ``refresh`` their work once they are linked.
+    yet are left out: ``refresh`` their work once they are linked. Many batches over the
+    same titles and versions may share ``known``, their stored ``owners``.
     """
     tx = tx or store.begin()
-    new = stored(winners(owned_claims(claims, source_titles, versions)).withColumn("part", part_of(F.col("work_id"), parts)), "batch-winners")
+    known = owners(source_titles, versions) if known is None else known
+    new = stored(winners(owned_claims(claims, known)).withColumn("part", part_of(F.col("work_id"), parts)), "batch-winners")
     if STATE not in tx.base.tables:
         tx.write(STATE, new, "part")
         return tx.commit(), new.select("work_id", "field_name", "value", "id")
@@ -69,7 +69,7 @@ def refresh(store: Snapshots, works: DataFrame, claims: DataFrame, source_titles
     tx = store.begin()
     own = works.select("work_id").distinct()
     titles = source_titles.join(versions.join(own, "work_id", "left_semi").select(F.col("id").alias("version_id")), "version_id", "left_semi")
-    again = winners(owned_claims(claims, titles, versions)).withColumn("part", part_of(F.col("work_id"), parts))
+    again = winners(owned_claims(claims, owners(titles, versions))).withColumn("part", part_of(F.col("work_id"), parts))
     touched = [str(r["part"]) for r in own.select(part_of(F.col("work_id"), parts).alias("part")).distinct().collect()]
     kept = tx.base.read(STATE, touched).join(own, "work_id", "left_anti")
     merged = stored(kept.unionByName(again), "refreshed")

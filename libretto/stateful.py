@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from libretto import schema
 from libretto.composites import ALL, BEST, at, told_tables
 from libretto.fixtures import domain, raw
+from libretto.operators.resolve import owners
 from libretto.plans import incremental
 from libretto.plans.snapshots import Conflict, Snapshots
-from libretto.plans.store import fresh
+from libretto.plans.store import fresh, stored
 from libretto.queries import CLAIMS, query
 from libretto.streaming import ingest as streams
 
@@ -26,9 +27,10 @@ def resolved_in_batches(spark: SparkSession, sf_dir: str) -> tuple[dict[str, Dat
     """The domain tables, and the state after the claims came in three batches, of which the second came twice."""
     t = told_tables(spark, sf_dir)
     store = Snapshots(spark, fresh(spark, "resolved"))
+    known = stored(owners(t["source_titles"], t["versions"]).select("source_title_id", "work_id"), "owners")
     for k in (0, 1, 1, 2):
         batch = t["metadata_claims"].where(F.expr(f"{NUMBER} % {BATCHES} = {k}"))
-        done, _ = incremental.apply_claims(store, batch, t["source_titles"], t["versions"], parts=16)
+        done, _ = incremental.apply_claims(store, batch, t["source_titles"], t["versions"], parts=16, known=known)
     return t, done.read(incremental.STATE)
 
 

@@ -289,3 +289,19 @@ def test_claims_travel_once_to_their_source(spark, sf):
         for k, v in kept.items():
             spark.conf.set(k, v)
     assert moves["resolved_claims"] <= 9 and moves["route_resolve"] <= 9 and moves["resolve_works"] <= 24, moves
+
+
+def test_batches_share_the_owners_of_sources(spark, sf):
+    """Titles and versions meet once for all batches, and the state is the same."""
+    from libretto.fixtures import domain
+    from libretto.operators.resolve import owners
+    from libretto.plans.store import fresh, stored
+
+    t = domain(spark, sf, "metadata_claims", "source_titles", "versions")
+    told = []
+    for known in (None, stored(owners(t["source_titles"], t["versions"]), "owners")):
+        store = Snapshots(spark, fresh(spark, "shared-owners"))
+        for k in (0, 1):
+            done, _ = incremental.apply_claims(store, t["metadata_claims"].where(f"length(id) % 2 = {k}"), t["source_titles"], t["versions"], parts=4, known=known)
+        told.append(sorted(done.read(incremental.STATE).select("work_id", "field_name", "value", "id").collect()))
+    assert told[0] == told[1] and told[0]
