@@ -6,6 +6,8 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from libretto import site_pages
+from libretto.plans import jobs
 from libretto.sources import discover, extract, images, sites
 from libretto.sources.dom import parse
 
@@ -139,3 +141,19 @@ def test_pages_are_dealt_over_all_tasks(spark, sf):
     for pages in (*made, *composites.fetched(spark, sf)):
         total, sizes = pages.count(), [r["count"] for r in pages.groupBy(F.spark_partition_id()).count().collect()]
         assert len(sizes) >= many and max(sizes) <= total / many
+
+
+def test_pages_of_both_kinds_are_parsed_once(spark, sf, monkeypatch):
+    # title, list and what the title's rules take out in one page of each site
+    titles, lists = site_pages.title_pages(spark, sf), site_pages.listing_pages(spark, sf)
+    pages = titles.join(lists.select("url", F.col("html").alias("more")), "url").select("site_key", "url", F.concat("html", "more").alias("html")).limit(60).localCheckpoint()
+    both = extract.extract_titles_listed(pages, F.col("site_key"))
+    assert sorted(both.drop("chapters").collect(), key=str) == sorted(extract.extract_titles(pages, F.col("site_key")).collect(), key=str)
+    listed = both.select("site_key", "page_url", F.explode("chapters").alias("c")).select("site_key", "page_url", "c.*").collect()
+    assert sorted(listed, key=str) == sorted(extract.extract_listings(pages, F.col("site_key")).collect(), key=str) and len(listed) > 60
+    # the cycle reads such pages by no other way
+    for name in ("extract_titles", "extract_listings"):
+        monkeypatch.setattr(jobs, name, lambda *a: 1 / 0)
+    same = pages.limit(3).localCheckpoint()
+    t = jobs.ingest_cycle(jobs.new_tables(spark), same, same, same.limit(0), F.lit("2026-01-01").cast("timestamp"))
+    assert t["source_titles"].count() == 3
