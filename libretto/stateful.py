@@ -7,12 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from libretto import schema
 from libretto.composites import ALL, BEST, at, told_tables
 from libretto.fixtures import domain, raw
 from libretto.operators.resolve import owners
 from libretto.plans import incremental
-from libretto.plans.snapshots import Conflict, Snapshots
+from libretto.plans.snapshots import Conflict, Snapshots, delete_rows
 from libretto.plans.store import fresh, stored
 from libretto.queries import CLAIMS, query
 from libretto.streaming import ingest as streams
@@ -79,9 +78,7 @@ def snapshot_commits(spark, sf_dir):
         fails.commit()
     except KeyError:
         pass
-    base = {n: deletes.base.read(n) for n in ALL if n != "ingestion_jobs"}
-    for name, df in schema.delete_rows(base, "works", F.col("id") == "7").items():
-        deletes.write(name, df)
+    delete_rows(deletes, "works", F.col("id") == "7", tuple(n for n in ALL if n != "ingestion_jobs"))
     deletes.commit()
     conflicts = 0
     try:

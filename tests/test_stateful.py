@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import at, t, table  # noqa: F401  (the small domain tables)
 
+from libretto import schema
 from libretto.operators import resolve
 from libretto.plans import incremental, jobs, snapshots
 from libretto.plans.snapshots import Conflict, Snapshots
@@ -81,6 +82,33 @@ def test_parts_that_do_not_change_keep_their_files(spark, tmp_path):
     assert ids(store.latest().read("a")) == ids(third.schema("a") and small.read("a")) and store.expire(1) == 0
 
 
+def test_a_delete_keeps_the_files_it_does_not_touch(spark, t, tmp_path):  # noqa: F811
+    store = Snapshots(spark, f"file://{tmp_path}/s")
+    names = ("works", "versions", "source_titles", "version_chapters", "source_chapters")
+    linked = t["source_chapters"].withColumn("version_chapter_id", F.lit("vc1"))
+    tables = {n: t[n] for n in names} | {"source_chapters": linked}
+    tx = store.begin()
+    for n in names:
+        # rows of work "other" lie in files of their own
+        far = tables[n].limit(1).select(*(F.lit("far").alias(f.name) if f.name == "id" or (n, f.name) in {(c, k) for c, k, *_ in schema.FOREIGN_KEYS} else F.col(f.name) for f in tables[n].schema))
+        tx.write(n, tables[n]).append(n, far)
+    first = tx.commit()
+    tx = store.begin()
+    snapshots.delete_rows(tx, "works", F.col("id") == "w1", names)
+    after = tx.commit()
+    want = schema.delete_rows({n: first.read(n) for n in names}, "works", F.col("id") == "w1")
+    for n in names:
+        assert sorted(map(str, after.read(n).collect())) == sorted(map(str, want[n].collect())), n
+        assert "far" in ids(after.read(n))
+        far = {r[0] for r in first.read(n).where("id = 'far'").select(F.input_file_name()).collect()}
+        assert far <= set(after.read(n).inputFiles()), n
+    # an older version is as it was, and a delete of nothing writes nothing
+    assert ids(first.read("works")) == ids(store.at(1).read("works")) and "w1" in ids(store.at(1).read("works"))
+    tx = store.begin()
+    snapshots.delete_rows(tx, "works", F.col("id") == "none", names)
+    assert tx.tables == after.tables
+
+
 def test_empty_tables(spark, tmp_path):
     store = Snapshots(spark, f"file://{tmp_path}/s")
     done = store.begin().write("a", numbers(spark, 1).where("false"), "part").write("b", numbers(spark, 1).where("false")).commit()
