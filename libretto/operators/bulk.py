@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from libretto.plans.store import fresh, stored
+from libretto.functions import text as T
+from libretto.plans.store import counted, fresh, stored
 
-from .search_index import containing
-from .serve import Tables, claim_value, claims_of_works, terms_of
+from .search_index import SMALL, containing
+from .serve import Tables, claim_value, claims_of_works
 
 #: Rows in a block of ranked rows.
 BLOCK_ROWS = 50_000
@@ -106,12 +107,20 @@ def similar_all(t: Tables, size: int = 12) -> DataFrame:
     share a common term are formed.
     """
     latest = [F.desc_nulls_last("updated_at"), F.asc("work_id")]
-    said = claims_of_works(t).where(F.col("field_name").isin("tags", "genres")).select("work_id", F.lower(claim_value()).alias("value")).distinct()
-    dated = said.join(t["works"].select(F.col("id").alias("work_id"), "updated_at"), "work_id")
+    # claims meet their works once: a row for each different value of a work
+    claims = t["metadata_claims"].where(F.col("field_name").isin("tags", "genres"))
+    told = claims_of_works(t | {"metadata_claims": claims}).select("work_id", claim_value().alias("value"), "is_resolved")
+    told = stored(told.groupBy("work_id", "value").agg(F.max("is_resolved").alias("is_resolved")), "told-values")
+    dates = t["works"].select(F.col("id").alias("work_id"), "updated_at")
     top = lambda df, key: df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*latest))).where(F.col("place") <= size + 1).drop("place")
-    terms = terms_of(t)
-    held = containing(dated.select("value"), terms)
-    of_term = top(held.join(top(dated, "value"), "value").select("term", "work_id", "updated_at").distinct(), "term")
-    met = terms.withColumnRenamed("work_id", "own").join(of_term, "term").where(F.col("own") != F.col("work_id")).select("own", "work_id", "updated_at").distinct()
+    # dealt by work, rows are told apart and meet their work's date where they are
+    said = told.select("work_id", F.lower("value").alias("value")).repartition("work_id").distinct()
+    top_said = stored(top(said.join(dates, "work_id"), "value"), "latest-of-values")
+    tags = F.explode(T.parse_tags(F.col("value"))).alias("term")
+    held = containing(top_said.select("value"), told.where("is_resolved").select("value").distinct().select(tags))
+    of_term, n = counted(top(held.join(top_said, "value").select("term", "work_id", "updated_at").distinct(), "term"), "latest-of-terms")
+    terms = told.where("is_resolved").select(F.col("work_id").alias("own"), tags).repartition("own").distinct()
+    # where the lists of terms are broadcast, a work's rows stay together from here on
+    met = terms.join(F.broadcast(of_term) if n <= SMALL else of_term, "term").where(F.col("own") != F.col("work_id")).select("own", "work_id", "updated_at").distinct()
     ranked = met.withColumn("place", F.row_number().over(Window.partitionBy("own").orderBy(*latest))).where(F.col("place") <= size)
     return ranked.select(F.col("own").alias("work_id"), "place", F.col("work_id").alias("similar_id"))

@@ -172,6 +172,15 @@ def test_similar_of_all_works(spark, t):  # noqa: F811
     assert got == {w: found for w, found in one_by_one.items() if found} == {"w1": ["w2"], "w2": ["w1"]}
 
 
+def test_similar_works_of_all_meet_their_claims_once(spark, t, monkeypatch):  # noqa: F811
+    met, kept = [], bulk.claims_of_works
+    monkeypatch.setattr(bulk, "claims_of_works", lambda t: met.append(1) or kept(t))
+    t = t | {"metadata_claims": t["metadata_claims"].withColumn("is_resolved", F.lit(True))}
+    plan = bulk.similar_all(t)._jdf.queryExecution().executedPlan().toString()
+    # one exchange: the terms, dealt by work, meet a broadcast; no pairs of works travel
+    assert met == [1] and plan.count("hashpartitioning(") == plan.count("hashpartitioning(own") == 1, plan
+
+
 def test_search_route_with_an_index(spark, t):  # noqa: F811
     index = search_index.TextIndex.build(t["works"])
     assert [r["id"] for r in serve.search(t, q="TW", index=index).collect()] == ["w2"]
